@@ -12,7 +12,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value evaluated once; keeps nested expressions from growing by repetition."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
 def nocase(c: Column | str) -> Column:
