@@ -86,6 +86,12 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"][:n], _powers["i"][:n]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer of 64-bit hashes, by multiplication and shifts."""
     with np.errstate(over="ignore"):

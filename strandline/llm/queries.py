@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from strandline.llm import line_dedup, quality, token_count
+from strandline.llm import decontaminate, line_dedup, near_dedup, quality, token_count, toxicity
 from strandline.llm.common import documents
 
 QUERIES = {
     "op1_line_dedup": lambda spark, d: line_dedup.op1(documents(spark, d)),
     "op2_quality_rules": lambda spark, d: quality.op2(documents(spark, d)),
+    "op3_near_dedup": lambda spark, d: near_dedup.op3(documents(spark, d)),
+    "op4_toxicity": lambda spark, d: toxicity.op4(documents(spark, d), documents(spark, d, "labels")),
     "op5_token_counts": lambda spark, d: token_count.op5(documents(spark, d)),
+    "op7_decontamination": lambda spark, d: decontaminate.op7(documents(spark, d), documents(spark, d, "benchmark")),
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE_OP1,

@@ -1,10 +1,10 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
-A word enters as a hashed word vector plus the mean of hashed vectors of its character 3- and 4-grams, so inflected forms share what
+A word enters as a hashed word vector plus the mean of hashed vectors of its character 4-grams, so inflected forms share what
 their stems teach. Windows of `width` words overlap by `width - stride`; a window's attention-pooled states give a logit, and a text's
 score is that of its highest window. All windows of every text are scored.
 
-Training: a bounded sample of labelled rows (TRAIN_ROWS per class, in hash order, texts up to TRAIN_BYTES) is fitted on the driver. Texts
+Training: a bounded sample of labelled rows (TRAIN_ROWS toxic rows and three times as many others, in hash order, texts up to TRAIN_BYTES) is fitted on the driver. Texts
 carry the label, so each epoch trains on the window of each text that scores highest at the time. Vectors start from smoothed log-odds of
 their word or n-gram in the sample.
 
@@ -26,10 +26,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandline.llm.common import Words, pieces, prefix_hash, span_hash, utf8
 
-TRAIN_ROWS, TRAIN_BYTES = 700, 40_000
-BUCKETS, DIM, HID, ATT = 1 << 14, 12, 8, 8
-WIDTH, STRIDE = 48, 32
+TRAIN_ROWS, TRAIN_BYTES = 400, 40_000  # rows that carry the label; three times as many that don't
+BUCKETS, DIM, HID, ATT = 1 << 14, 8, 6, 6
+WIDTH, STRIDE = 64, 56
 THRESHOLD = 0.7
+DECAY = 2e-5
 _inner = np.zeros(256, bool)
 _inner[list(b"0123456789abcdefghijklmnopqrstuvwxyz'")] = True
 _inner[128:] = True
@@ -66,7 +67,7 @@ class Vocab:
         grams, owner = [], []
         sums = prefix_hash(flat)
         of = np.repeat(np.arange(n), size + 2)
-        for k in (3, 4):
+        for k in (4,):
             at = np.arange(max(len(flat) - k + 1, 0))
             at = at[of[at] == of[at + k - 1]] if len(at) else at
             grams.append((span_hash(sums, at, at + k) % np.uint64(BUCKETS)).astype(np.int64))
@@ -185,17 +186,60 @@ class Net:
             np.add.at(d_vec, flat_i, flat_d @ W.T)
         return g, d_vec
 
-    def score_windows(self, v: Vocab, start: np.ndarray, length: np.ndarray, chunk: int = 1024) -> np.ndarray:
-        """Logits of windows, `chunk` at a time."""
+    def score_windows(self, v: Vocab, start: np.ndarray, length: np.ndarray, chunk: int = 512) -> np.ndarray:
+        """Logits of windows, `chunk` of like lengths at a time; both directions step together."""
+        p, side = self.p, ("f", "b")
         vectors = self.word_vectors(v)
-        proj = {s: vectors @ self.p[f"W{s}"] + self.p[f"c{s}"] for s in "fb"}
+        gate = lambda m, i: m[..., i * HID : (i + 1) * HID]
+        proj = np.concatenate([gate(vectors @ p[f"W{s}"] + p[f"c{s}"], i) for i in range(3) for s in side], 1).astype(np.float32)
+        zero = np.zeros((HID, HID), np.float32)
+        U = np.block([[gate(p["Uf"], i) if s == "f" else zero for i in range(3) for s in side], [zero if s == "f" else gate(p["Ub"], i) for i in range(3) for s in side]]).astype(np.float32)
+        proj[:, : 4 * HID] *= 0.5  # sigmoid(x) = (1 + np.tanh(x / 2)) / 2
+        U[:, : 4 * HID] *= 0.5
+        # rows of full width, so that a step adds one gathered row of each direction
+        front, back = proj.copy(), proj.copy()
+        for i in range(3):
+            front[:, (2 * i + 1) * HID : (2 * i + 2) * HID] = 0
+            back[:, 2 * i * HID : (2 * i + 1) * HID] = 0
         ids = np.append(v.ids, len(v.word))
         out = np.empty(len(start), np.float32)
         order = np.argsort(length, kind="stable")
         for i in range(0, len(start), chunk):
             o = order[i : i + chunk]
             index, mask = window_index(ids, start[o], length[o])
-            out[o] = self.forward(vectors, index, mask, proj=proj)[0]
+            full = bool(mask.all())
+            steps, n = index.shape
+            h = np.zeros((n, 2 * HID), np.float32)
+            states = np.empty((steps, n, 2 * HID), np.float32)
+            x, y = np.empty((n, 6 * HID), np.float32), np.empty((n, 6 * HID), np.float32)
+            for t in range(steps):
+                np.take(front, index[t], 0, out=x, mode="clip")
+                np.take(back, index[steps - 1 - t], 0, out=y, mode="clip")
+                x += y
+                a = h @ U
+                zr = x[:, : 4 * HID] + a[:, : 4 * HID]
+                np.tanh(zr, out=zr)
+                zr += 1
+                zr *= 0.5
+                c = a[:, 4 * HID :]
+                c *= zr[:, 2 * HID :]
+                c += x[:, 4 * HID :]
+                c = np.tanh(c)
+                new = h - c
+                new *= zr[:, : 2 * HID]
+                new += c
+                if not full:
+                    new[:, :HID] = np.where(mask[t][:, None] > 0, new[:, :HID], h[:, :HID])
+                    new[:, HID:] = np.where(mask[steps - 1 - t][:, None] > 0, new[:, HID:], h[:, HID:])
+                h = new
+                states[t, :, :HID] = h[:, :HID]
+                states[steps - 1 - t, :, HID:] = h[:, HID:]
+            s = np.tanh(states.reshape(-1, 2 * HID) @ p["A"]) @ p["v"]
+            s = s.reshape(steps, n) + (mask - 1) * 30
+            s -= s.max(0)
+            w = np.exp(s) * (mask + (mask.sum(0) == 0))
+            val = (states.reshape(-1, 2 * HID) @ p["w"]).reshape(steps, n)
+            out[o] = (w * val).sum(0) / w.sum(0) + p["b"][0]
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -215,7 +259,7 @@ def window_index(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> tupl
     return ids[np.where(inside, start + t, len(ids) - 1)], inside.astype(np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 7, batch: int = 96, rate: float = 0.01, seed: int = 7) -> Net:
+def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 96, rate: float = 0.01, seed: int = 7) -> Net:
     """Fits a net to texts and 0/1 labels."""
     net, r = Net.new(seed), np.random.default_rng(seed)
     data, offsets = utf8(pa.array(texts, pa.large_string()))
@@ -231,8 +275,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 7, batch: int = 96
         seen = np.unique(owner * BUCKETS + feature)
         d, f = seen // BUCKETS, seen % BUCKETS
         pos, neg = np.bincount(f, labels[d], BUCKETS), np.bincount(f, 1 - labels[d], BUCKETS)
-        odds = np.log((pos + 0.5) / (labels.sum() + 1)) - np.log((neg + 0.5) / ((1 - labels).sum() + 1))
-        net.p[name][:, 0] = np.where(pos + neg >= 3, np.clip(odds, -2, 3) / 2, 0)
+        lift = (1 - labels).sum() / max(labels.sum(), 1)
+        odds = np.log((pos * lift + 4) / (neg + 4))
+        net.p[name][:, 0] = np.where(pos + neg >= 6, np.clip(odds, -2, 3) / 2, 0)
     hint = net.word_vectors(v)[ids, 0]
     index, mask = window_index(ids, start, length)
     strength = np.where(mask > 0, hint[np.where(mask > 0, start + np.arange(len(mask))[:, None], len(hint) - 1)], -9).max(0)
@@ -245,7 +290,6 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 7, batch: int = 96
         extra = r.integers(0, len(doc), len(texts) // 3)
         extra = extra[labels[doc[extra]] == 0]  # any window of a clean text is clean
         todo = r.permutation(np.concatenate([top, extra]))
-        weight = np.where(labels > 0, (1 - labels).sum() / max(labels.sum(), 1), 1.0).clip(0.5, 3)
         for i in range(0, len(todo), batch):
             o = todo[i : i + batch]
             step += 1
@@ -254,14 +298,16 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 7, batch: int = 96
             vectors = np.zeros((len(used), DIM), np.float32)
             real = used < len(v.word)
             vectors[real] = net.word_vectors(sub)[:-1]
+            drop = (r.random(real.sum()) < 0.5).astype(np.float32)[:, None]  # words must be known by their parts, too
+            vectors[real] -= drop * net.p["Ew"][sub.word]
             m = mask[: max(int(length[o].max()), 1), o]
             logit, saved = net.forward(vectors, local.reshape(m.shape), m, keep=True)
             y = labels[doc[o]]
-            d = ((sigmoid(logit) - y) * weight[doc[o]] / len(o)).astype(np.float32)
+            d = ((sigmoid(logit) - y) / len(o)).astype(np.float32)
             grads, d_vec = net.backward(vectors, saved, d)
             d_vec = d_vec[real]
-            grads["Ew"] = (sub.word, d_vec)
-            grads["Ec"] = (sub.grams, (d_vec / np.maximum(sub.n_grams, 1)[:, None])[sub.gram_word])
+            grads["Ew"] = (sub.word, d_vec * (1 - drop) + DECAY * net.p["Ew"][sub.word])
+            grads["Ec"] = (sub.grams, (d_vec / np.maximum(sub.n_grams, 1)[:, None])[sub.gram_word] + DECAY / 4 * net.p["Ec"][sub.grams])
             lr = rate * min(1.0, step / 20) * (1 - 0.7 * epoch / epochs)
             for k, grad in grads.items():
                 _adam(net.p[k], moment.setdefault(k, [np.zeros_like(net.p[k]), np.zeros_like(net.p[k])]), grad, lr, step)
@@ -297,14 +343,14 @@ def fold_of(key: str):
 
 
 def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Net | None:
-    """A net trained on at most `rows` labelled rows of each class, none of them held out; None if a class is missing."""
+    """A net trained on at most `rows` toxic and 3 `rows` other labelled rows, none of them held out; None if a class is missing."""
     own = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold_of(key) != 1)).select(key, F.col(label).cast("int").alias("_y")).dropDuplicates([key])
     texts = docs.filter(F.col(text).isNotNull() & (F.octet_length(text) <= max_bytes) & (fold_of(key) != 1)).select(key, F.col(text).alias("_text"))
     order = F.xxhash64(F.lit(11), key)
     # ids first, so that only the sample's texts move
-    chosen = own.filter("_y = 1").orderBy(order).limit(rows * 2).unionByName(own.filter("_y = 0").orderBy(order).limit(rows * 2))
+    chosen = own.filter("_y = 1").orderBy(order).limit(rows * 2).unionByName(own.filter("_y = 0").orderBy(order).limit(rows * 6))
     got = texts.join(F.broadcast(chosen), key).dropDuplicates([key]).select("_y", "_text", order.alias("o")).toPandas().sort_values("o")
-    got = got.groupby("_y").head(rows)
+    got = got[got.groupby("_y").cumcount() < np.where(got["_y"] == 1, rows, 3 * rows)]
     y = got["_y"].to_numpy().astype(np.float32)
     if not (y == 1).any() or not (y == 0).any():
         return None
