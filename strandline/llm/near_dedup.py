@@ -115,31 +115,66 @@ def passing(n1: np.ndarray, n2, h1: np.ndarray, h2: np.ndarray, similarity: floa
     return most >= similarity * (both - most) - 1e-9, gap
 
 
-def bucket_links(table: pa.Table, take: int, similarity: float) -> pa.Table:
-    """Of one bucket (or two blocks of it): for each node up to `take` nearest others in other classes that pass the bound."""
-    n = table["n"].to_numpy()
+def group_links(n, side, comp, hist, take: int, similarity: float) -> tuple[list[int], list[int], bool]:
+    """Of one bucket (or two blocks of it): for each node up to `take` nearest others in other classes that pass the bound, and whether there were more."""
     order = np.argsort(n, kind="stable")
-    n = n[order]
-    node = table["node"].combine_chunks().take(pa.array(order))
-    comp = np.unique(np.array(table["comp"].to_pylist(), object)[order].astype("S16"), return_inverse=True)[1] if len(n) else n
-    hist = np.frombuffer(b"".join(table["hist"].combine_chunks().take(pa.array(order)).to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
-    side = table["side"].to_numpy()[order]
+    n, side, comp, hist = n[order], side[order], comp[order], hist[order].astype(np.int32)
     a, b, more = [], [], False
-    low = np.searchsorted(n, np.ceil(similarity * n).astype(np.int64))
+    low = np.searchsorted(n, np.ceil(similarity * n - 1e-9).astype(np.int64))
     across = side.min() != side.max()
     for i in range(1, len(n)):
         j = slice(low[i], i)
         ok, gap = passing(n[j], n[i], hist[j], hist[i], similarity)
-        ok &= comp[j] != comp[i]
+        ok &= (comp[j] != comp[i]).any(1)
         if across:
             ok &= side[j] != side[i]
         at = np.flatnonzero(ok)
         if len(at) > take:
             at = at[np.argsort(gap[at], kind="stable")[:take]]
             more = True
-        a += [i] * len(at)
-        b += (at + low[i]).tolist()
-    return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64())), "more": pa.array([more] * len(a))})
+        a += order[[i] * len(at)].tolist()
+        b += order[at + low[i]].tolist()
+    return a, b, more
+
+
+def stream_links(batches: Iterator[pa.RecordBatch], take: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of a partition whose rows are sorted by (key, p, q). A bucket may straddle batches; pairs are done as arrays, larger buckets one by one."""
+    rest: list[pa.RecordBatch] = []
+
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        ids = [table[c].to_numpy() for c in ("key", "p", "q")]
+        cut = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in ids], 0)])) if len(table) else np.zeros(0, np.int64)
+        size = np.diff(np.append(cut, len(table)))
+        n, side = table["n"].to_numpy(), table["side"].to_numpy()
+        comp = np.frombuffer(b"".join(table["comp"].to_pylist()), np.uint64).reshape(-1, 2)
+        hist = np.frombuffer(b"".join(table["hist"].to_pylist()), np.uint16).reshape(-1, BINS)
+        two = cut[size == 2]
+        ok, _ = passing(n[two], n[two + 1], hist[two].astype(np.int32), hist[two + 1].astype(np.int32), similarity)
+        two = two[ok & (comp[two] != comp[two + 1]).any(1)]
+        a, b, m = [two], [two + 1], [np.zeros(len(two), bool)]
+        for at, g in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            s = slice(at, at + g)
+            x, y, more = group_links(n[s], side[s], comp[s], hist[s], take, similarity)
+            a.append(np.array(x, np.int64) + at)
+            b.append(np.array(y, np.int64) + at)
+            m.append(np.full(len(x), more))
+        node = table["node"].combine_chunks()
+        pick = lambda x: node.take(pa.array(np.concatenate(x)))
+        return pa.RecordBatch.from_arrays([pick(a), pick(b), pa.array(np.concatenate(m))], ["a", "b", "more"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        rest.append(batch)
+        ids = [batch.column(c).to_numpy() for c in ("key", "p", "q")]
+        changed = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], 0)) if len(batch) > 1 else np.zeros(0, int)
+        if len(changed):
+            cut = int(changed[-1]) + 1
+            rest[-1] = batch.slice(0, cut)
+            yield flush(pa.Table.from_batches(rest))
+            rest = [batch.slice(cut)]
+    if rest:
+        yield flush(pa.Table.from_batches(rest))
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
@@ -217,6 +252,10 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def _linker(take: int, similarity: float):
+    return lambda batches: stream_links(batches, take, similarity)
+
+
 def contracted(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, comp) of all nodes in edges: comp is the least node of the component. Alternating large and small stars; each round is written."""
     e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "near-edges")
@@ -258,7 +297,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         own = F.pmod(F.xxhash64(F.lit(5), "node"), blocks).cast("int")
         m = m.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         m = m.select("key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "node", "n", "hist", "comp")
-        found = m.groupBy("key", "p", "q").applyInArrow(lambda t, take=take: bucket_links(t, take, similarity), "a binary, b binary, more boolean")
+        grouped = m.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+        found = grouped.mapInArrow(_linker(take, similarity), "a binary, b binary, more boolean")
         pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bool_or("more").alias("more"))
         if tested is not None:
             pairs = pairs.withColumn("_", F.lit(0)).join(tested.select("a", "b", F.lit(1).alias("old")), ["a", "b"], "left")
