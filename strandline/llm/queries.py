@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontaminate, line_dedup, near_dedup, quality, token_count, toxicity
+from strandline.llm import decontaminate, line_dedup, near_dedup, quality, suffix_dedup, token_count, toxicity
 from strandline.llm.common import documents
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_toxicity": lambda spark, d: toxicity.op4(documents(spark, d), documents(spark, d, "labels")),
     "op5_token_counts": lambda spark, d: token_count.op5(documents(spark, d)),
     "op7_decontamination": lambda spark, d: decontaminate.op7(documents(spark, d), documents(spark, d, "benchmark")),
+    "op10_suffix_dedup": lambda spark, d: suffix_dedup.op10(documents(spark, d)),
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE_OP1,
