@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontaminate, line_dedup, near_dedup, quality, suffix_dedup, token_count, toxicity
+from strandline.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_count, toxicity, warc
 from strandline.llm.common import documents
 
 QUERIES = {
@@ -11,10 +11,24 @@ QUERIES = {
     "op3_near_dedup": lambda spark, d: near_dedup.op3(documents(spark, d)),
     "op4_toxicity": lambda spark, d: toxicity.op4(documents(spark, d), documents(spark, d, "labels")),
     "op5_token_counts": lambda spark, d: token_count.op5(documents(spark, d)),
+    "op6_source_mixing": lambda spark, d: mixing.op6(documents(spark, d), documents(spark, d, "labels")),
     "op7_decontamination": lambda spark, d: decontaminate.op7(documents(spark, d), documents(spark, d, "benchmark")),
+    "op8_html_extraction": lambda spark, d: html_extract.op8(documents(spark, d, "pages")),
+    "op9_warc_revisits": lambda spark, d: warc.op9(documents(spark, d, "pages")),
     "op10_suffix_dedup": lambda spark, d: suffix_dedup.op10(documents(spark, d)),
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE_OP1,
     "op2_quality_rules": quality.ORACLE_OP2,
+    "op9_warc_revisits": warc.ORACLE_OP9,
 }
+
+
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
+QUERIES["pipeline"] = pipeline
+
