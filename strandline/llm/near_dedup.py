@@ -26,7 +26,7 @@ from strandline.llm.common import Words, mix, pieces, saved, span_hash, prefix_h
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, MINIMA = 12, 3
-BINS, BLOCK = 64, 2000
+BINS, BLOCK = 256, 2000
 
 
 def shingled(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +100,7 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             count = np.bincount(doc, minlength=n)
             hist = np.zeros((n, BINS), np.int64)
             np.add.at(hist, (doc, (h % np.uint64(BINS)).astype(np.int64)), 1)
-            hist = np.minimum(hist, 65535).astype(np.uint16)
+            hist = np.minimum(hist, 255).astype(np.uint8)  # cut off, differences only get smaller: the bound holds
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SKETCHES, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(count.astype(np.int64)), lists, pa.array([x.tobytes() for x in hist], pa.binary())], ["doc_id", "node", "n", "keys", "hist"])
 
@@ -110,7 +110,7 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def passing(n1: np.ndarray, n2, h1: np.ndarray, h2: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(bound reached, distance) of one histogram h2 against rows h1."""
     both = n1 + n2
-    gap = np.abs(h1 - h2).sum(1)
+    gap = np.abs(h1 - h2).sum(1, dtype=np.int64)
     most = (both - gap) / 2
     return most >= similarity * (both - most) - 1e-9, gap
 
@@ -118,7 +118,7 @@ def passing(n1: np.ndarray, n2, h1: np.ndarray, h2: np.ndarray, similarity: floa
 def group_links(n, side, comp, hist, take: int, similarity: float) -> tuple[list[int], list[int], bool]:
     """Of one bucket (or two blocks of it): for each node up to `take` nearest others in other classes that pass the bound, and whether there were more."""
     order = np.argsort(n, kind="stable")
-    n, side, comp, hist = n[order], side[order], comp[order], hist[order].astype(np.int32)
+    n, side, comp, hist = n[order], side[order], comp[order], hist[order].astype(np.int16)
     a, b, more = [], [], False
     low = np.searchsorted(n, np.ceil(similarity * n - 1e-9).astype(np.int64))
     across = side.min() != side.max()
@@ -147,9 +147,9 @@ def stream_links(batches: Iterator[pa.RecordBatch], take: int, similarity: float
         size = np.diff(np.append(cut, len(table)))
         n, side = table["n"].to_numpy(), table["side"].to_numpy()
         comp = np.frombuffer(b"".join(table["comp"].to_pylist()), np.uint64).reshape(-1, 2)
-        hist = np.frombuffer(b"".join(table["hist"].to_pylist()), np.uint16).reshape(-1, BINS)
+        hist = np.frombuffer(b"".join(table["hist"].to_pylist()), np.uint8).reshape(-1, BINS)
         two = cut[size == 2]
-        ok, _ = passing(n[two], n[two + 1], hist[two].astype(np.int32), hist[two + 1].astype(np.int32), similarity)
+        ok, _ = passing(n[two], n[two + 1], hist[two].astype(np.int16), hist[two + 1].astype(np.int16), similarity)
         two = two[ok & (comp[two] != comp[two + 1]).any(1)]
         a, b, m = [two], [two + 1], [np.zeros(len(two), bool)]
         for at, g in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
