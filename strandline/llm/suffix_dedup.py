@@ -3,8 +3,9 @@
 A string of LENGTH bytes that stands twice holds, at the same offset, the same sampled GRAM-byte string: the leftmost one of least hash
 within it. So only the suffixes that start at such samples are sorted, two for every LENGTH - GRAM + 1 bytes or so, and only those whose
 sample stands elsewhere too:
-1. one pass over the texts samples positions; hashes of samples are counted over the corpus;
-2. samples with company go to their bucket with the bytes around them, at most LENGTH - GRAM on each side;
+1. one pass over the texts samples positions. Of the LENGTH - GRAM bytes that a match needs around the sample, half or more are on one
+   side, so a sample has two keys: the hash of itself with that half on its left, and on its right. Keys are counted over the corpus;
+2. samples whose key has company go to its bucket with the bytes around them, at most LENGTH - GRAM on each side;
 3. in a bucket, the parts right of the sample are ordered by deep-shallow sorting: multikey quicksort on 8-byte characters down to SHALLOW
    bytes, then a blind trie for what still agrees; so are the reversed parts on the left;
 4. neighbours in the left order are united from the longest common part down, the smaller cluster into the larger; a member that comes in
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import pieces, prefix_hash, saved, span_hash, utf8
 
 LENGTH, GRAM = 400, 100
-SHALLOW, BLOCK = 32, 4096
+SHALLOW, BLOCK = 32, 50_000
 _POS_BITS = 26
 
 
@@ -168,7 +169,7 @@ def bucket_cover(left: list[bytes], right: list[bytes], need: int) -> list[list[
 
 
 def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, hash) of the grams that are the leftmost least of some window of `length` bytes within a text."""
+    """(text, position, key) of the grams that are the leftmost least of some window of `length` bytes within a text; one row for each key."""
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < length:
@@ -188,7 +189,14 @@ def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     inside = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
     pick = (low[inside] & np.uint64((1 << _POS_BITS) - 1)).astype(np.int64)
     pick = pick[np.concatenate([[True], pick[1:] != pick[:-1]])] if len(pick) else pick
-    return doc[pick], pick - offsets[:-1][doc[pick]], h[pick]
+    sums, half = prefix_hash(data), (length - gram + 1) // 2
+    d, pos, key = [], [], []
+    for a, b, tag in ((pick - half, pick + gram, 1), (pick, pick + gram + half, 2)):
+        ok = (a >= offsets[:-1][doc[pick]]) & (b <= offsets[1:][doc[pick]])
+        d.append(doc[pick[ok]])
+        pos.append(pick[ok] - offsets[:-1][doc[pick[ok]]])
+        key.append(span_hash(sums, a[ok], b[ok]) ^ np.uint64(tag))
+    return np.concatenate(d), np.concatenate(pos), np.concatenate(key)
 
 
 def long_pieces(batches, text):
