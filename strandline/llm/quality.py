@@ -109,7 +109,7 @@ def host_verdicts(measures: DataFrame, max_rate: float = 0.6) -> DataFrame:
     # between-host variance: spread of rates beyond what binomial chance gives, over hosts weighted by size
     spread = F.col("S2") - F.col("N") * mean * mean
     between = (spread - (F.col("H") - 1) * mean * (1 - mean)) / F.greatest(F.col("N") - F.col("N2") / F.col("N") - (F.col("H") - 1), F.lit(1e-9))
-    weight = F.when(between > 0, F.least(F.greatest(mean * (1 - mean) / between - 1, F.lit(1.0)), F.lit(1e4))).otherwise(1e4)
+    weight = F.when(between > 0, F.least(F.greatest(mean * (1 - mean) / between - 1, F.lit(2.0)), F.lit(1e4))).otherwise(1e4)
     prior = moments.select(mean.alias("mean"), weight.alias("weight")).first()  # one row of two numbers
     if prior is None or prior["mean"] is None:
         prior = {"mean": 0.5, "weight": 1.0}
@@ -143,6 +143,6 @@ h as (select source, count(*) as n, count(*) filter (base_failed) as k from b gr
 m as (select sum(n)::double as nn, count(*)::double as hh, sum(k)::double as kk, sum(k::double * k / n) as s2, sum(n::double * n) as n2 from h),
 m1 as (select *, greatest(least(kk / nn, 1 - 1e-6), 1e-6) as mean from m),
 m2 as (select mean, (s2 - nn * mean * mean - (hh - 1) * mean * (1 - mean)) / greatest(nn - n2 / nn - (hh - 1), 1e-9) as v from m1),
-m3 as (select mean, case when v > 0 then least(greatest(mean * (1 - mean) / v - 1, 1.0), 1e4) else 1e4 end as weight from m2),
+m3 as (select mean, case when v > 0 then least(greatest(mean * (1 - mean) / v - 1, 2.0), 1e4) else 1e4 end as weight from m2),
 hv as (select source, (k + mean * weight) / (n + weight) <= 0.6 as ok from h, m3)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and ok as kept from b join hv on hv.source is not distinct from b.source"""

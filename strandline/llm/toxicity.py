@@ -31,6 +31,7 @@ BUCKETS, DIM, HID, ATT = 1 << 14, 8, 6, 6
 WIDTH, STRIDE = 64, 56
 THRESHOLD = 0.7
 DECAY = 2e-5
+STEPS = 100  # at least, however small the sample
 _inner = np.zeros(256, bool)
 _inner[list(b"0123456789abcdefghijklmnopqrstuvwxyz'")] = True
 _inner[128:] = True
@@ -284,8 +285,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, batch: int = 96
     moment: dict[str, list[np.ndarray]] = {}
     firsts = np.searchsorted(doc, np.arange(len(texts)))
     step = 0
+    epochs = max(epochs, -(-STEPS * batch // max(len(texts), 1)))
     for epoch in range(epochs):
-        value = strength if epoch < 2 else net.score_windows(v, start, length)
+        value = strength if epoch < 0.4 * epochs else net.score_windows(v, start, length)
         top = np.lexsort((value, doc))[np.append(firsts[1:], len(doc)) - 1]
         extra = r.integers(0, len(doc), len(texts) // 3)
         extra = extra[labels[doc[extra]] == 0]  # any window of a clean text is clean
