@@ -276,10 +276,10 @@ def bucket_spans(batches: Iterator[pa.RecordBatch], need: int, gram: int) -> Ite
             if b - a < 2:
                 continue
             for i, pairs in enumerate(bucket_cover(left[a:b], right[a:b], need), a):
-                for l, r in pairs:
+                if pairs:  # all of them hold the sample, so their union is one span
                     who.append(i)
-                    start.append(pos[i] - l)
-                    end.append(pos[i] + gram + r)
+                    start.append(pos[i] - max(l for l, _ in pairs))
+                    end.append(pos[i] + gram + max(r for _, r in pairs))
         return pa.RecordBatch.from_arrays([t["node"].combine_chunks().take(pa.array(who, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["node", "start", "end"])
 
     for batch in batches:
