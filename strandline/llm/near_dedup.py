@@ -26,7 +26,7 @@ from strandline.llm.common import Words, mix, pieces, saved, span_hash, prefix_h
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, MINIMA = 12, 3
-BINS, BLOCK = 256, 2000
+BINS, BLOCK, GROWTH = 256, 2000, 32
 
 
 def shingled(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -256,27 +256,46 @@ def _linker(take: int, similarity: float):
     return lambda batches: stream_links(batches, take, similarity)
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node either has one edge to a smaller node, or only edges from larger ones."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    odd = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down + up > 1 and down > 0")
+    return odd.isEmpty()
+
+
 def contracted(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, comp) of all nodes in edges: comp is the least node of the component. Alternating large and small stars; each round is written."""
     e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "near-edges")
     for _ in range(rounds):
+        if _is_stars(e):
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = e.join(low, "v").select("u", F.col("m").alias("v"))  # an edge hangs on the least node next to its lower end
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u")
-        small = star.select("u", F.col("m").alias("v")).unionByName(star.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
-        new = saved(small, "near-edges")
-        mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        same = mark(new) == mark(e)
-        e = new
-        if same:
-            break
+        # the lower ends of one node meet in the least of them; the row of that one keeps the node itself
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        e = saved(small, "near-edges")
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(node, comp) after new links: only the graph of classes that they join is contracted."""
+    if comps is None:
+        return None if links.isEmpty() else saved(contracted(links), "near-classes")
+    side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    known = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    across = saved(known.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "near-across")
+    if across.isEmpty():
+        return comps
+    to = saved(contracted(across), "near-merged")
+    new = to.select("node").join(comps.select(F.col("comp").alias("node")).distinct(), "node", "left_anti").select("node", F.col("node").alias("comp"))
+    old = comps.unionByName(new).select("node", F.col("comp").alias("was"))
+    return saved(old.join(to.select(F.col("node").alias("was"), "comp"), "was", "left").select("node", F.coalesce("comp", "was").alias("comp")), "near-classes")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, node, class_id): class_id is the least id of the class."""
     spark = docs.sparkSession
@@ -286,7 +305,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     sizes = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     members = saved(exploded.join(sizes, "key"), "near-buckets")
     id_text = docs.select(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("node"), F.col(text).alias("text"))
-    comps, tested, links, take = None, None, None, 1
+    comps, tested, take = None, None, 1
     texts = None
     while True:
         m = members.withColumn("comp", F.col("node")) if comps is None else members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -309,7 +328,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         state = pairs.agg(F.count_if(F.col("old").isNull()).alias("new"), F.bool_or("more").alias("more")).first()
         if not state["new"] and not state["more"]:
             break
-        take *= 8
+        take *= GROWTH
         if not state["new"]:
             continue
         tested = new if tested is None else tested.unionByName(new)
@@ -317,8 +336,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
             texts = id_text.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
         wanted = new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct()
         good = saved(verified(new, texts.join(wanted, "node", "left_semi"), similarity), "near-links")
-        links = good if links is None else links.unionByName(good)
-        comps = saved(contracted(links), "near-classes")
+        comps = merged(comps, good)
+        if not state["more"]:
+            break  # all pairs across classes that pass the bound are tested now
     least = sketch.groupBy("node").agg(F.min("doc_id").alias("least"))
     if comps is not None:
         of = least.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
