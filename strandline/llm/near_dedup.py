@@ -5,7 +5,7 @@ MINIMA smallest of them and hashes these in text order, so a key is shared by te
 Equal texts are one node from the start. Nodes that share a key are a bucket; inside it a histogram of shingles bounds the similarity from
 above, and each node is linked to its nearest earlier node that passes the bound, never to all. Links are verified by banded alignment of
 the shingle sequences (a bit-parallel band as wide as the threshold allows): with d edits, m = longer - d aligned shingles and
-similarity m / (both - m). Verified links are contracted to classes by alternating stars. Buckets that still hold several classes go round
+similarity m / (both - m). Verified links are contracted to classes by alternating stars. Buckets with more pairs that pass the bound go round
 again with more of the nearest pairs each, until no untested pair across classes passes the bound: so no link is lost, and a group of n
 copies costs about n comparisons. Buckets beyond BLOCK nodes are cut into blocks and compared block by block.
 
@@ -138,7 +138,7 @@ def group_links(n, side, comp, hist, take: int, similarity: float) -> tuple[list
 
 
 def stream_links(batches: Iterator[pa.RecordBatch], take: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of a partition whose rows are sorted by (key, p, q). A bucket may straddle batches; pairs are done as arrays, larger buckets one by one."""
+    """Links of a partition whose rows are sorted by (key, p, q); more: the bucket has pairs left. A bucket may straddle batches; pairs are done as arrays, larger buckets one by one."""
     rest: list[pa.RecordBatch] = []
 
     def flush(table: pa.Table) -> pa.RecordBatch:
@@ -159,8 +159,9 @@ def stream_links(batches: Iterator[pa.RecordBatch], take: int, similarity: float
             b.append(np.array(y, np.int64) + at)
             m.append(np.full(len(x), more))
         node = table["node"].combine_chunks()
-        pick = lambda x: node.take(pa.array(np.concatenate(x)))
-        return pa.RecordBatch.from_arrays([pick(a), pick(b), pa.array(np.concatenate(m))], ["a", "b", "more"])
+        key = table["key"].combine_chunks()
+        pick = lambda of, x: of.take(pa.array(np.concatenate(x)))
+        return pa.RecordBatch.from_arrays([pick(node, a), pick(node, b), pick(key, a), pa.array(np.concatenate(m))], ["a", "b", "key", "more"])
 
     for batch in batches:
         if not len(batch):
@@ -306,39 +307,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     members = saved(exploded.join(sizes, "key"), "near-buckets")
     id_text = docs.select(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("node"), F.col(text).alias("text"))
     comps, tested, take = None, None, 1
-    texts = None
     while True:
         m = members.withColumn("comp", F.col("node")) if comps is None else members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if comps is not None:
-            open_keys = m.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-            m = m.join(open_keys, "key", "left_semi")
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64(F.lit(5), "node"), blocks).cast("int")
         m = m.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         m = m.select("key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "node", "n", "hist", "comp")
         grouped = m.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-        found = grouped.mapInArrow(_linker(take, similarity), "a binary, b binary, more boolean")
-        pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bool_or("more").alias("more"))
-        if tested is not None:
-            pairs = pairs.withColumn("_", F.lit(0)).join(tested.select("a", "b", F.lit(1).alias("old")), ["a", "b"], "left")
-        else:
-            pairs = pairs.withColumn("old", F.lit(None).cast("int"))
-        pairs = saved(pairs.select("a", "b", "more", "old"), "near-pairs")
-        new = pairs.filter("old is null").select("a", "b")
-        state = pairs.agg(F.count_if(F.col("old").isNull()).alias("new"), F.bool_or("more").alias("more")).first()
-        if not state["new"] and not state["more"]:
+        found = grouped.mapInArrow(_linker(take, similarity), "a binary, b binary, key long, more boolean")
+        # a pair has SKETCHES keys at most, so the list is short
+        pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.collect_set(F.when(F.col("more"), F.col("key"))).alias("open"))
+        pairs = saved(pairs, "near-pairs")
+        new = pairs.select("a", "b") if tested is None else pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")
+        new = saved(new, "near-new")
+        if not new.isEmpty():
+            tested = new if tested is None else tested.unionByName(new)
+            wanted = saved(new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct(), "near-wanted")
+            texts = id_text.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+            comps = merged(comps, saved(verified(new, texts, similarity), "near-links"))
+        # in a bucket without more, all pairs across classes that pass the bound are tested, and merging only takes pairs away
+        still = saved(pairs.select(F.explode("open").alias("key")).distinct(), "near-open")
+        if still.isEmpty():
             break
+        members = saved(members.join(still, "key", "left_semi"), "near-buckets")
         take *= GROWTH
-        if not state["new"]:
-            continue
-        tested = new if tested is None else tested.unionByName(new)
-        if texts is None:
-            texts = id_text.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-        wanted = new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct()
-        good = saved(verified(new, texts.join(wanted, "node", "left_semi"), similarity), "near-links")
-        comps = merged(comps, good)
-        if not state["more"]:
-            break  # all pairs across classes that pass the bound are tested now
     least = sketch.groupBy("node").agg(F.min("doc_id").alias("least"))
     if comps is not None:
         of = least.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
