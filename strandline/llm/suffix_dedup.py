@@ -1,8 +1,10 @@
 """Removal of long repeated byte strings with a sparse suffix array built by deep-shallow sorting.
 
-A string of LENGTH bytes that stands twice holds, at the same offset, the same sampled GRAM-byte string: the leftmost one of least hash
-within it. So only the suffixes that start at such samples are sorted, two for every LENGTH - GRAM + 1 bytes or so, and only those whose
-sample stands elsewhere too:
+A string of LENGTH bytes that stands twice holds, at the same offset, the same sampled GRAM-byte string: the one of least hash within it,
+and of several equal ones the first, or the last where that leaves more room to the end than the first does to the start. So only the suffixes
+that start at such samples are sorted, two for every LENGTH - GRAM + 1 bytes or so, and only those whose sample stands elsewhere too. In a
+stretch that repeats a short string, the samples at its ends stand for the strings that go beyond it; those within are the same after each
+repeat, so a long stretch covers itself, and only the samples near its ends are kept:
 1. one pass over the texts samples positions. Of the LENGTH - GRAM bytes that a match needs around the sample, half or more are on one
    side, so a sample has two keys: the hash of itself with that half on its left, and on its right. Keys are counted over the corpus;
 2. samples whose key has company go to its bucket with the bytes around them, at most LENGTH - GRAM on each side;
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import pieces, prefix_hash, saved, span_hash, utf8
+from strandline.llm.common import distinct, pieces, prefix_hash, saved, span_hash, utf8
 
 LENGTH, GRAM = 400, 100
 SHALLOW, BLOCK = 32, 50_000
@@ -168,35 +170,72 @@ def bucket_cover(left: list[bytes], right: list[bytes], need: int) -> list[list[
 # ---- sampling ------------------------------------------------------------------------------------------------
 
 
-def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, key) of the grams that are the leftmost least of some window of `length` bytes within a text; one row for each key."""
+def sliding_least(c: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` consecutive values."""
+    span, low = 1, c
+    while span * 2 <= width:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    return np.minimum(low[: len(low) - (width - span)], low[width - span :]) if width > span else low
+
+
+def stretches(pick: np.ndarray, same: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(samples to keep, start, end) of sorted samples; same[i]: sample i + 1 has the same gram in the same text.
+
+    Equal grams at a distance d <= gram make the bytes between repeat with period d. A stretch of length + d bytes covers itself, as each string in
+    it stands d bytes further too. A string that goes beyond the stretch has its sample within `length` of that end; any other, shifted by
+    repeats, is found at a sample less than length + d from the start.
+    """
+    gap = np.diff(pick)
+    step = np.where(same & (gap <= gram), gap, 0)
+    if not len(step) or not step.any():
+        return pick, pick[:0], pick[:0]
+    cut = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
+    first, last = cut, np.append(cut[1:], len(step))  # samples first..last are one chain
+    d = step[first]
+    start, end = pick[first], pick[last] + gram
+    whole = (d > 0) & (end - start >= length + d)
+    first, last, d, start, end = first[whole], last[whole], d[whole], start[whole], end[whole]
+    keep = np.ones(len(pick), bool)
+    for a, b, x, s, e in zip(first.tolist(), last.tolist(), d.tolist(), start.tolist(), end.tolist(), strict=True):
+        at = pick[a : b + 1]
+        keep[a : b + 1] &= (at <= s + length + x) | (at >= e - length - x)
+    return pick[keep], start, end
+
+
+def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, key, end) of the sampled grams, one row for each key with end 0; and of stretches that cover themselves, with key 0."""
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < length:
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none
     if n >= 1 << _POS_BITS:
         raise ValueError("texts are sampled in pieces of less than 64 MB")
     at = np.arange(n - gram + 1)
-    h = span_hash(prefix_hash(data), at, at + gram)
-    c = (h >> np.uint64(_POS_BITS) << np.uint64(_POS_BITS)) | at.astype(np.uint64)
-    width, span, low = length - gram + 1, 1, c
-    while span * 2 <= width:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if width > span:
-        low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
+    sums = prefix_hash(data)
+    h = span_hash(sums, at, at + gram)
+    mask = np.uint64((1 << _POS_BITS) - 1)
+    c, width = h >> np.uint64(_POS_BITS) << np.uint64(_POS_BITS), length - gram + 1
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
-    pick = (low[inside] & np.uint64((1 << _POS_BITS) - 1)).astype(np.int64)
-    pick = pick[np.concatenate([[True], pick[1:] != pick[:-1]])] if len(pick) else pick
-    sums, half = prefix_hash(data), (length - gram + 1) // 2
-    d, pos, key = [], [], []
+    if not len(inside):
+        return none, none, np.zeros(0, np.uint64), none
+    left = (sliding_least(c | at.astype(np.uint64), width)[inside] & mask).astype(np.int64)
+    right = (mask - (sliding_least(c | (mask - at.astype(np.uint64)), width)[inside] & mask)).astype(np.int64)
+    pick = np.where(inside + (width - 1) - right > left - inside, right, left)
+    pick = distinct(pick[np.concatenate([[True], pick[1:] != pick[:-1]])])
+    pick, start, end = stretches(pick, (h[pick[1:]] == h[pick[:-1]]) & (doc[pick[1:]] == doc[pick[:-1]]), length, gram)
+    half = (length - gram + 1) // 2
+    base = lambda p: offsets[:-1][doc[p]]
+    d, pos, key = [doc[start]], [start - base(start)], [np.zeros(len(start), np.uint64)]
     for a, b, tag in ((pick - half, pick + gram, 1), (pick, pick + gram + half, 2)):
-        ok = (a >= offsets[:-1][doc[pick]]) & (b <= offsets[1:][doc[pick]])
+        ok = (a >= base(pick)) & (b <= offsets[1:][doc[pick]])
         d.append(doc[pick[ok]])
-        pos.append(pick[ok] - offsets[:-1][doc[pick[ok]]])
+        pos.append(pick[ok] - base(pick[ok]))
         key.append(span_hash(sums, a[ok], b[ok]) ^ np.uint64(tag))
-    return np.concatenate(d), np.concatenate(pos), np.concatenate(key)
+    until = np.zeros(sum(map(len, d)), np.int64)
+    until[: len(start)] = end - base(start)
+    return np.concatenate(d), np.concatenate(pos), np.concatenate(key), until
 
 
 def long_pieces(batches, text):
@@ -224,11 +263,14 @@ def covered(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets, base, row in long_pieces(batches, "text"):
-            doc, pos, h = samples(data, offsets, length, gram)
-            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(row[doc])), pa.array(pos + base[doc]), pa.array(h.view(np.int64))], ["node", "pos", "h"])
+            doc, pos, h, end = samples(data, offsets, length, gram)
+            end = np.where(end > 0, end + base[doc], 0)
+            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(row[doc])), pa.array(pos + base[doc]), pa.array(h.view(np.int64)), pa.array(end)], ["node", "pos", "h", "end"])
 
     texts = saved(rows.select("node", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).groupBy("node").agg(F.count("*").alias("copies"), F.first("n").alias("n_bytes")), "suffix-texts")
-    found = saved(rows.filter(F.octet_length("text") >= length).mapInArrow(sample, "node binary, pos long, h long").distinct(), "suffix-samples")
+    found = saved(rows.filter(F.octet_length("text") >= length).mapInArrow(sample, "node binary, pos long, h long, end long").distinct(), "suffix-samples")
+    own = found.filter("end > 0").select("node", F.col("pos").alias("start"), "end")
+    found = found.filter("end = 0").drop("end")
     shared = found.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     wanted = found.join(shared, "h").groupBy("node").agg(F.collect_list(F.struct("pos", "h", "c")).alias("at"))
 
@@ -254,7 +296,7 @@ def covered(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     ctx = ctx.withColumn("side", F.pmod(F.xxhash64(F.lit(6), "node", "pos"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     ctx = ctx.select("h", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "node", "pos", "left", "right")
     spans = ctx.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(lambda batches: bucket_spans(batches, need, gram), "node binary, start long, end long")
-    return texts, spans
+    return texts, spans.unionByName(own)
 
 
 def _one_each(rows: DataFrame) -> DataFrame:

@@ -290,6 +290,19 @@ def test_suffix_dedup(frame, prose):
     assert suffix_dedup.op10(frame([])).count() == 0
 
 
+def test_suffix_stretches(frame, prose):
+    r = random.Random(11)
+    texts = []
+    for i in range(60):
+        word = prose(r.randint(0, 5), r.randint(1, 4)) + " "
+        own = prose(1000 + i, 60)
+        run = (word * 2000)[: r.choice([150, 390, 400, 401, 410, 430, 600, 790, 830, 1300, 4000])]
+        at = r.randint(0, len(word))
+        side = prose(r.randint(2000, 2002), 60)  # shared neighbours of runs
+        texts.append(r.choice([own, "", side]) + run[at:] + r.choice([own[::-1], "", side[::-1]]))
+    assert rows_of(suffix_dedup.op10(frame(texts))) == brute_suffix(texts)
+
+
 def test_suffix_blocks(frame, prose, monkeypatch):
     shared = prose(7, 120)
     texts = [f"{prose(i, 20)} {shared[: 420 + i]} {prose(90 + i, 20)}" for i in range(12)]
