@@ -264,13 +264,18 @@ def covered(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets, base, row in long_pieces(batches, "text"):
             doc, pos, h, end = samples(data, offsets, length, gram)
+            order = np.argsort(doc, kind="stable")
+            doc, pos, end = doc[order], pos[order] + base[doc[order]], end[order]
             end = np.where(end > 0, end + base[doc], 0)
-            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(row[doc])), pa.array(pos + base[doc]), pa.array(h.view(np.int64)), pa.array(end)], ["node", "pos", "h", "end"])
+            one = pa.StructArray.from_arrays([pa.array(pos), pa.array(h.view(np.int64)[order]), pa.array(end)], ["pos", "h", "end"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(row) + 1)), pa.int32()), one)
+            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(row)), pa.array(base), lists], ["node", "base", "at"])
 
     texts = saved(rows.select("node", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).groupBy("node").agg(F.count("*").alias("copies"), F.first("n").alias("n_bytes")), "suffix-texts")
-    found = saved(rows.filter(F.octet_length("text") >= length).mapInArrow(sample, "node binary, pos long, h long, end long").distinct(), "suffix-samples")
-    own = found.filter("end > 0").select("node", F.col("pos").alias("start"), "end")
-    found = found.filter("end = 0").drop("end")
+    lists = rows.filter(F.octet_length("text") >= length).mapInArrow(sample, "node binary, base long, at array<struct<pos:long,h:long,end:long>>")
+    every = saved(lists.dropDuplicates(["node", "base"]), "suffix-samples").select("node", F.inline("at"))
+    own = every.filter("end > 0").select("node", F.col("pos").alias("start"), "end")
+    found = every.filter("end = 0").drop("end")
     shared = found.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     wanted = found.join(shared, "h").groupBy("node").agg(F.collect_list(F.struct("pos", "h", "c")).alias("at"))
 
@@ -372,7 +377,8 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                 out.append((gone, runs, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([b.column("node"), *[pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string()))]], ["node", "n_removed", "n_spans", "sha"])
 
-    done = lists.join(rows, "node").select("node", "spans", "text").mapInArrow(apply, "node binary, n_removed long, n_spans long, sha string")
+    # the same one row of each text as in covered(), so that Spark moves texts once
+    done = lists.join(_one_each(rows), "node").select("node", "spans", "text").mapInArrow(apply, "node binary, n_removed long, n_spans long, sha string")
     all_rows = docs.select(F.col(key).alias("doc_id"), digest(text).alias("node"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("whole"))
     out = all_rows.join(texts.select("node", "copies"), "node").join(done, "node", "left")
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
