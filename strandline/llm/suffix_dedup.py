@@ -299,6 +299,7 @@ def covered(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     ctx = one.select("node", "at", "text").mapInArrow(context, "node binary, pos long, h long, c long, left binary, right binary")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     ctx = ctx.withColumn("side", F.pmod(F.xxhash64(F.lit(6), "node", "pos"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    ctx = ctx.filter((F.col("side") != F.col("other")) | (blocks == 1))  # two blocks taken together also meet within each
     ctx = ctx.select("h", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "node", "pos", "left", "right")
     spans = ctx.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(lambda batches: bucket_spans(batches, need, gram), "node binary, start long, end long")
     return texts, spans.unionByName(own)
