@@ -237,7 +237,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) of pairs whose texts align; texts: (node, text), one row each."""
     t = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
-    both = pairs.select("a", "b").join(t("a"), "a").join(t("b"), "b")
+    both = pairs.select("a", "b").join(t("a").hint("merge"), "a").join(t("b").hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -323,7 +323,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         if not new.isEmpty():
             tested = new if tested is None else tested.unionByName(new)
             wanted = saved(new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct(), "near-wanted")
-            texts = id_text.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+            # wanted ids grow with the corpus: merged at every size, never broadcast
+            texts = id_text.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
             comps = merged(comps, saved(verified(new, texts, similarity), "near-links"))
         # in a bucket without more, all pairs across classes that pass the bound are tested, and merging only takes pairs away
         still = saved(pairs.select(F.explode("open").alias("key")).distinct(), "near-open")
