@@ -3,10 +3,17 @@
 Tokens of a page are its tags in their place (path of enclosing blocks) and its text blocks in theirs. A token's occurrence vector has its
 count on each page of the host; tokens with equal vectors form an equivalence class. Vectors are compared by order-free sums of hashes of
 (page, count), so classes come from one map-side combined aggregation and a host of any size needs no task of its own.
-Valid classes have at least two tokens and support on enough pages. The class that stands exactly once on every page is the template's
-frame; the others nest in the slots between its tokens. Text tokens of valid classes are the template's own text. What is left in the slots
-is data; slots in places that are not the article by their markup (menus, headers, footers, asides, forms, notices, adverts, comments) are
-closed, and of the others the host's main slots are those inside an article or main element, or else those that hold most text and few links.
+Valid classes have at least two tokens and support on enough pages; pages without tokens (null or empty html) don't count. As one damaged
+page parts a class, a tag of the frame or a text on nine tenths of the pages is valid alone. Tags that stand
+once a page, on at least a quarter of the pages, are the frame: a class is ordered within itself, so layouts of one host have their own
+classes, and a class on fewer pages stands in the slots of those on more. The other valid classes, rare or repeated, part these slots once
+more. Text tokens of valid classes on at least half of the pages are the template's own text, inside an article too. A class that holds half
+or more of its pages' article text is an article that copies repeat and stays; so do classes on less than nine tenths of the pages if
+together they hold that much.
+What is left in the slots is data; slots in places that are not the article by their markup (menus, headers, footers, asides, forms, notices,
+adverts, comments) are closed. Pages with and without an article or main element are ranked apart: of the former the slots inside it are the
+main ones, of the latter those that hold most text a page and few links. Slots and parts that are mostly links (linked headings count as
+text) are left out. A page with nothing in its host's main slots keeps its article, or else all its open data.
 
 Defined cases: null or empty html gives the empty string; unclosed and misnested tags close as browsers close them; a host with few pages,
 or a null or odd URL, goes by markup alone; rows may repeat; blocks with equal text on a page all stay.
@@ -39,6 +46,8 @@ CLOSED_NAMES = re.compile(
     re.I,
 )
 MIN_SUPPORT = 3
+FRAME_SHARE, CLASS_SHARE = 4, 20  # a class is in the frame from a quarter of the pages, valid from a twentieth
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEMPLATE_ROWS = 50_000
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)|[^<]+|<", re.S)
@@ -101,9 +110,9 @@ class Page:
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
                 top = self.stack[-1] if self.stack else NOWHERE
-                # only open text outside an article can be the template's own, so only it needs a token
-                token = 0 if top[2] or top[3] else h64("text", top[4], text)
-                self.blocks.append((token, self.place, text, self.links, top[2], top[3]))
+                # only open text can be the template's own, so only it needs a token
+                token = 0 if top[2] else h64("text", top[4], text)
+                self.blocks.append((token, self.place, text, 0 if top[0] in HEADINGS else self.links, top[2], top[3]))
         self.text, self.links = [], 0
 
     def open(self, name: str, tag: str) -> None:
@@ -159,23 +168,25 @@ def host_of(url):
 
 
 def token_stats(rows: DataFrame) -> DataFrame:
-    """(host, token, is_text, support, once, place, vec): sums over the host's pages; combined by batch, then by key."""
+    """(host, token, is_text, support, once, place, vec, chars, art): sums over the host's pages; combined by batch, then by key.
+    is_text is 2 inside an article; chars is the text's length, art the article text of the token's pages. Token 0 counts the pages that have tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "html", 8 << 20):
-            acc: dict[tuple[str, int], list] = defaultdict(lambda: [0, 0, 0, 0.0, 0])
+            acc: dict[tuple[str, int], list] = defaultdict(lambda: [0, 0, 0, 0.0, 0, 0, 0])
             for host, page, source in zip(b.column("host").to_pylist(), b.column("page").to_pylist(), b.column("html").to_pylist(), strict=True):
                 p = Page(source or "")
                 n = max(p.place, 1)
                 count: dict[int, int] = defaultdict(int)
-                where: dict[int, tuple[int, int]] = {}
+                where: dict[int, tuple[int, int, int]] = {}
+                whole = sum(len(x[2]) for x in p.blocks if x[5] and not x[4])
                 for tok, place in p.tags:
                     count[tok] += 1
-                    where.setdefault(tok, (0, place))
-                for tok, place, *_ in p.blocks:
+                    where.setdefault(tok, (0, place, 0))
+                for tok, place, text, _, _, article in p.blocks:
                     if tok:
                         count[tok] += 1
-                        where.setdefault(tok, (1, place))
+                        where.setdefault(tok, (1 + article, place, len(text)))
                 for tok, c in count.items():
                     a = acc[host, tok]
                     a[0] = where[tok][0]
@@ -183,28 +194,41 @@ def token_stats(rows: DataFrame) -> DataFrame:
                     a[2] += c == 1
                     a[3] += where[tok][1] / n
                     a[4] += h64(page, c) >> 24
+                    a[5] = where[tok][2]
+                    a[6] += whole
+                if count:
+                    acc[host, 0][1] += 1
             keys = list(acc)
-            cols = [[k[0] for k in keys], [k[1] for k in keys], *[[acc[k][i] for k in keys] for i in range(5)]]
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["host", "token", "is_text", "support", "once", "place", "vec"])
-
-    got = rows.mapInArrow(run, "host string, token long, is_text long, support long, once long, place double, vec long")
-    return got.groupBy("host", "token").agg(F.max("is_text").alias("is_text"), F.sum("support").alias("support"), F.sum("once").alias("once"), F.sum("place").alias("place"), F.sum(F.col("vec").cast("decimal(38,0)")).alias("vec"))
-
-
-def templates(stats: DataFrame, pages: DataFrame) -> DataFrame:
-    """(host, frame, own): frame tags in order of place, own text tokens, both of valid classes on at least half the host's pages."""
-    n = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = stats.filter(F.col("support") >= MIN_SUPPORT).join(n, "host")
-    wide = seen.filter(2 * F.col("support") >= F.col("pages"))
-    sizes = wide.groupBy("host", "vec", "support").agg(F.count("*").alias("size")).filter("size > 1")
-    valid = wide.join(sizes.drop("size"), ["host", "vec", "support"])
-    frame = (F.col("is_text") == 0) & (F.col("support") == F.col("pages")) & (F.col("once") == F.col("support"))
-    own = F.col("is_text") == 1
-    per = valid.filter(frame | own).groupBy("host").agg(
-        F.sort_array(F.collect_list(F.when(frame, F.struct((F.col("place") / F.col("support")).alias("at"), "token"))))["token"].alias("frame"), F.collect_list(F.when(own, F.col("token"))).alias("own")
-    )
-    return per
+            cols = [[k[0] for k in keys], [k[1] for k in keys], *[[acc[k][i] for k in keys] for i in range(7)]]
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["host", "token", "is_text", "support", "once", "place", "vec", "chars", "art"])
+
+    got = rows.mapInArrow(run, "host string, token long, is_text long, support long, once long, place double, vec long, chars long, art long")
+    return got.groupBy("host", "token").agg(F.max("is_text").alias("is_text"), F.sum("support").alias("support"), F.sum("once").alias("once"), F.sum("place").alias("place"), F.sum(F.col("vec").cast("decimal(38,0)")).alias("vec"), F.max("chars").alias("chars"), F.sum("art").alias("art"))
+
+
+def templates(stats: DataFrame) -> DataFrame:
+    """(host, frame, inner, own): frame tags with their class, in order of class and place; tags of the other valid classes; own text tokens."""
+    stats = saved(stats.filter((F.col("token") == 0) | (F.col("support") >= MIN_SUPPORT)), "html-stats")
+    n = stats.filter("token = 0").select("host", F.col("support").alias("pages"))
+    seen = stats.filter("token <> 0").join(n, "host").filter(CLASS_SHARE * F.col("support") >= F.col("pages"))
+    in_article = F.col("is_text") == 2
+    sizes = seen.groupBy("host", "vec", "support", "pages").agg(F.count("*").alias("size"), F.sum(F.when(in_article, F.col("chars") * F.col("support")).otherwise(0)).alias("mine"), F.max("art").alias("art"), F.max("is_text").alias("kind"), F.max("once").alias("once"))
+    alone = F.when(F.col("kind") == 0, (F.col("once") == F.col("support")) & (FRAME_SHARE * F.col("support") >= F.col("pages"))).otherwise(10 * F.col("support") >= 9 * F.col("pages"))
+    sizes = sizes.filter((F.col("size") > 1) | alone)
+    sizes = sizes.withColumn("part", F.when(F.col("art") > 0, F.col("mine") / F.col("art")).otherwise(F.lit(0.0)))
+    often = 2 * F.col("support") >= F.col("pages")
+    together = sizes.groupBy("host").agg(F.sum(F.when(often, F.col("part")).otherwise(0.0)).alias("together"))
+    valid = seen.join(sizes.select("host", "vec", "support", "part"), ["host", "vec", "support"]).join(together, "host")
+    tag = F.col("is_text") == 0
+    frame = tag & (F.col("once") == F.col("support")) & (FRAME_SHARE * F.col("support") >= F.col("pages"))
+    data = (F.col("part") >= 0.5) | ((F.col("together") >= 0.5) & (10 * F.col("support") < 9 * F.col("pages")))  # an article that copies repeat
+    own = often & ((F.col("is_text") == 1) | (in_article & ~data))
+    return valid.filter(tag | own).groupBy("host").agg(
+        F.sort_array(F.collect_list(F.when(frame, F.struct((-F.col("support")).alias("wide"), "vec", (F.col("place") / F.col("support")).alias("at"), "token")))).alias("frame"),
+        F.collect_list(F.when(tag & ~frame, F.col("token"))).alias("inner"),
+        F.collect_list(F.when(own, F.col("token"))).alias("own"),
+    ).select("host", F.transform("frame", lambda x: F.struct(F.xxhash64(x["vec"], x["wide"]).alias("class"), x["token"].alias("token"))).alias("frame"), "inner", "own")
 
 
 def increasing(order: list[int]) -> list[int]:
@@ -229,53 +253,72 @@ def increasing(order: list[int]) -> list[int]:
     return out[::-1]
 
 
-BLOCK = "array<struct<slot:bigint,text:string,links:bigint,article:boolean>>"
+def _small(table: DataFrame, size) -> DataFrame:
+    """The table, broadcast if its rows and lists are few."""
+    n = table.select(size.alias("n")).limit(TEMPLATE_ROWS + 1).agg(F.count("*"), F.sum("n")).first()
+    return F.broadcast(table) if n[0] <= TEMPLATE_ROWS and (n[1] or 0) <= 2_000_000 else table
+
+
+BLOCK = "array<struct<slot:bigint,part:bigint,new:boolean,text:string,links:bigint,article:boolean>>"
 
 
 def slotted(rows: DataFrame, template: DataFrame) -> DataFrame:
-    """(page_id, url, host, blocks): data blocks of open slots in page order; a slot is named by the frame token before it."""
-    small = template.select((F.size("frame") + F.size("own")).alias("n")).limit(TEMPLATE_ROWS + 1).agg(F.count("*"), F.sum("n")).first()
-    fits = small[0] <= TEMPLATE_ROWS and (small[1] or 0) <= 2_000_000
-    joined = rows.join(F.broadcast(template) if fits else template, "host", "left")
+    """(page_id, url, host, blocks): data blocks of open slots in page order; a slot is named by the frame token before it, its part by the token of another class after that.
+    new: the page's first block of the slot."""
+    joined = rows.join(_small(template, F.size("frame") + F.size("inner") + F.size("own")), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "html", 8 << 20):
             out = []
-            for source, frame, own in zip(b.column("html").to_pylist(), b.column("frame").to_pylist(), b.column("own").to_pylist(), strict=True):
+            for source, frame, inner, own in zip(*(b.column(c).to_pylist() for c in ("html", "frame", "inner", "own")), strict=True):
                 p = Page(source or "")
-                rank = {t: i for i, t in enumerate(frame or [])}
-                theirs = set(own or [])
-                marks = [(place, t) for t, place in p.tags if t in rank]
-                marks = [marks[i] for i in increasing([rank[t] for _, t in marks])]
-                blocks, k, slot = [], 0, 0
+                rank = {x["token"]: (x["class"], i) for i, x in enumerate(frame or [])}
+                theirs, inside = set(own or []), set(inner or [])
+                by_class: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                for t, place in p.tags:
+                    if t in rank:
+                        by_class[rank[t][0]].append((place, t))
+                marks = [(place, t, 0) for t, place in p.tags if t in inside]
+                for of in by_class.values():
+                    marks += [(*of[i], 1) for i in increasing([rank[t][1] for _, t in of])]
+                marks.sort()
+                blocks, k, slot, part = [], 0, 0, 0
+                met: set[int] = set()
                 for tok, place, text, links, closed, article in p.blocks:
                     while k < len(marks) and marks[k][0] <= place:
-                        slot = marks[k][1]
+                        slot, part = (marks[k][1], 0) if marks[k][2] else (slot, marks[k][1])
                         k += 1
-                    if not closed and (article or tok not in theirs):
-                        blocks.append({"slot": slot, "text": text, "links": links, "article": article})
+                    if not closed and tok not in theirs:
+                        blocks.append({"slot": slot, "part": part, "new": slot not in met, "text": text, "links": links, "article": article})
+                        met.add(slot)
                 out.append(blocks)
-            kind = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.string()), ("links", pa.int64()), ("article", pa.bool_())]))
+            kind = pa.list_(pa.struct([("slot", pa.int64()), ("part", pa.int64()), ("new", pa.bool_()), ("text", pa.string()), ("links", pa.int64()), ("article", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), pa.array(out, kind)], ["page_id", "url", "host", "blocks"])
 
-    return joined.select("page_id", "url", "host", "html", "frame", "own").mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, blocks {BLOCK}")
+    return joined.select("page_id", "url", "host", "html", "frame", "inner", "own").mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, blocks {BLOCK}")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """(page_id, url, text) of each row."""
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(source).alias("html"))
     rows = rows.withColumn("page", F.xxhash64("page_id", "html"))
-    template = saved(templates(token_stats(rows.filter("html is not null")), rows.select("host")), "html-templates")
-    blocks = saved(slotted(rows, template), "html-blocks")
-    b = blocks.select("host", F.explode("blocks").alias("b"))
-    slots = b.groupBy("host", F.col("b.slot").alias("slot")).agg(F.sum(F.length("b.text")).alias("chars"), F.sum("b.links").alias("links"), F.bool_or("b.article").alias("article"))
-    best = slots.groupBy("host").agg(F.max("chars").alias("most"), F.bool_or("article").alias("any_article"))
-    main = slots.join(best, "host").filter(F.when(F.col("any_article"), F.col("article")).otherwise((F.col("chars") * 10 >= F.col("most")) & (F.col("links") * 2 <= F.col("chars"))))
-    per = main.groupBy("host").agg(F.collect_set("slot").alias("main"), F.first("any_article").alias("any_article"))
-    out = blocks.join(per, "host", "left")
-    page_article = F.exists("blocks", lambda x: x["article"])
-    # a page whose article isn't where its host has it is read by its own markup
-    kept = F.filter("blocks", lambda x: F.when(page_article, x["article"]).otherwise(F.array_contains(F.coalesce("main", F.array().cast("array<bigint>")), x["slot"]) | F.coalesce("any_article", F.lit(False))))
+    template = saved(templates(token_stats(rows.filter("html is not null and host <> ''"))), "html-templates")
+    in_article = F.exists("blocks", lambda x: x["article"])
+    blocks = saved(slotted(rows, template), "html-blocks").withColumn("layout", in_article)
+    b = blocks.select("host", "layout", F.explode("blocks").alias("b")).filter(~F.col("layout") | F.col("b.article"))
+    parts = b.groupBy("host", "layout", "b.slot", "b.part").agg(F.sum(F.length("b.text")).alias("chars"), F.sum("b.links").alias("links"), F.sum(F.col("b.new").cast("long")).alias("pages"))
+    slots = parts.groupBy("host", "layout", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.greatest(F.sum("pages"), F.lit(1)).alias("pages"), F.collect_list(F.struct("part", "chars", "links")).alias("parts"))
+    slots = slots.withColumn("mean", F.col("chars") / F.col("pages"))
+    best = slots.groupBy("host", "layout").agg(F.max("mean").alias("most"))
+    few = lambda x: x["links"] * 2 <= x["chars"]
+    named = (F.col("slot") != 0) | (F.size("parts") > 1)  # else there is no template to tell slots apart, and an article goes by its markup
+    main = slots.join(best, ["host", "layout"]).filter(F.when(F.col("layout"), F.lit(True)).otherwise(F.col("mean") * 10 >= F.col("most")))
+    good = F.filter("parts", lambda x: few(x) | (F.col("layout") & ~named))
+    per = main.groupBy("host", "layout").agg(F.flatten(F.collect_list(F.transform(good, lambda x: F.struct(F.col("slot").alias("slot"), x["part"].alias("part"))))).alias("main"))
+    out = blocks.join(_small(saved(per, "html-main"), F.size("main")), ["host", "layout"], "left")
+    own = F.filter("blocks", lambda x: ~F.col("layout") | x["article"])
+    kept = F.filter(own, lambda x: F.array_contains("main", F.struct(x["slot"].alias("slot"), x["part"].alias("part"))))
+    kept = F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, kept).otherwise(own)
     return out.select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"))
 
 

@@ -247,6 +247,25 @@ def test_html(spark):
     assert (text[10], text[11], text[12]) == ("", "", "T\na\nb\n1 < 2") and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def html_texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_extract.op8(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_template_text_inside_articles(spark, prose):
+    page = lambda i, body: f"<html><body><nav>m</nav><article><h1>Title {i}</h1>{body}<div class='x9'><p>Written by our readers</div><p>Tell a friend</article><footer>f</footer></body></html>"
+    rows = [(i, f"http://h.example/{i}", page(i, f"<p>{prose(i, 20)}<p>{prose(i + 50, 9)}")) for i in range(8)]
+    # three near copies on a host of five: their common paragraphs are no template, what all pages have is
+    body = lambda i: "".join(f"<p>{prose(100 + j, 12)}" for j in range(6)) + f"<p>{prose(200 + i, 9)}"
+    rows += [(20 + i, f"http://copies.example/{i}", page(1, body(i) if i < 3 else f"<p>{prose(300 + i, 30)}<p>{prose(400 + i, 30)}")) for i in range(5)]
+    rows += [(30 + i, f"http://same.example/{i}", "<html><body><main><h1><a>Linked title</a></h1><p>all the same<p>on each page</main></body></html>") for i in range(4)]
+    got = html_texts(spark, rows)
+    for i in range(8):
+        assert got[i] == f"Title {i}\n{prose(i, 20)}\n{prose(i + 50, 9)}"
+    for i in range(3):
+        assert all(prose(100 + j, 12) in got[20 + i] for j in range(6)) and prose(200 + i, 9) in got[20 + i] and "friend" not in got[20 + i]
+    assert {got[30 + i] for i in range(4)} == {"Linked title\nall the same\non each page"}
+
+
 def test_warc_files_and_resolution(spark, tmp_path):
     d = lambda s: f"2024-01-01T00:00:{s:02}Z"
     made = [
