@@ -266,6 +266,20 @@ def test_html_template_text_inside_articles(spark, prose):
     assert {got[30 + i] for i in range(4)} == {"Linked title\nall the same\non each page"}
 
 
+def test_html_frame_of_a_large_host(spark, prose):
+    side = lambda i: f"<div class='q1'>{''.join(f'<a href=/{i}{j}>{prose(i * 9 + j, 8)}</a> ' for j in range(8))}</div>"
+    one = lambda i: f"<html><body><div class='top'>Site {i % 3}</div><div class='text'><p>{prose(i, 30)}<p>{prose(i + 1000, 30)}</div>{side(i)}</body></html>"
+    two = lambda i: f"<html><body>{side(i)}<section id='story'><p>{prose(i, 30)}<p>{prose(i + 1000, 30)}</section></body></html>"
+    want = {i: f"{prose(i, 30)}\n{prose(i + 1000, 30)}" for i in range(200)}
+    rows = [(i, f"http://big.example/{i}", one(i)) for i in range(200)]
+    odd = [(900, "http://big.example/n", None), (901, "http://big.example/e", ""), (902, "http://big.example/t", one(902)[:60])]
+    plain = html_texts(spark, rows)
+    assert plain == want
+    got = html_texts(spark, rows + odd)
+    assert {i: got[i] for i in want} == want and got[900] == got[901] == ""
+    assert html_texts(spark, [(i, u, two(i) if i % 3 == 0 else h) for i, u, h in rows]) == want  # two layouts
+
+
 def test_warc_files_and_resolution(spark, tmp_path):
     d = lambda s: f"2024-01-01T00:00:{s:02}Z"
     made = [
