@@ -4,8 +4,8 @@ Sketch: five-word shingles of the lower-cased words, each labelled with its occu
 MINIMA smallest of them and hashes these in text order, so a key is shared by texts that hold the same shingles in the same order.
 Equal texts are one node from the start. Nodes that share a key are a bucket; inside it a histogram of shingles bounds the similarity from
 above, and each node is linked to its nearest earlier node that passes the bound, never to all. Links are verified by banded alignment of
-the shingle sequences (a bit-parallel band as wide as the threshold allows): with d edits, m = longer - d aligned shingles and
-similarity m / (both - m). Verified links are contracted to classes by alternating stars. Buckets with more pairs that pass the bound go round
+the shingle sequences (a bit-parallel band as wide as the threshold allows): with m shingles in their longest common subsequence,
+similarity is m / (both - m). Verified links are contracted to classes by alternating stars. Buckets with more pairs that pass the bound go round
 again with more of the nearest pairs each, until no untested pair across classes passes the bound: so no link is lost, and a group of n
 copies costs about n comparisons. Buckets beyond BLOCK nodes are cut into blocks and compared block by block.
 
@@ -225,13 +225,49 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
     return min(score, limit + 1) if score <= most else limit + 1
 
 
+def aligned(a: list[int], b: list[int], need: int) -> int:
+    """A length of common subsequences, `need` or more if and only if the longest reaches it. Bit-parallel, within the diagonals that `need` leaves: a clear bit is a step up."""
+    if min(len(a), len(b)) < need:
+        return 0
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    found, need = lo + hi, need - lo - hi
+    if not a or not b or need <= 0:
+        return found
+    above, below = len(b) - need, len(a) - need  # rows of a that a column may lie behind, and ahead
+    if above < 0 or below < 0:
+        return found
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    width = above + below + 1
+    full = (1 << width) - 1
+    v = full
+    start = -above
+    for x in b:
+        pm = 0
+        for i in places.get(x, ()):
+            if 0 <= i - start < width:
+                pm |= 1 << (i - start)
+        u = v & pm
+        v = ((v + u) | (v - u)) & full
+        found += not v & 1  # the lowest row leaves the band
+        v = v >> 1 | 1 << (width - 1)
+        start += 1
+    return found + width - v.bit_count()
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Aligned shingles over all shingles of both reach the threshold."""
     need = int(np.ceil(similarity / (1 + similarity) * (len(a) + len(b)) - 1e-9))
-    most = max(len(a), len(b)) - need
-    if most < 0 or not len(a) or not len(b):
+    if not len(a) or not len(b):
         return False
-    return banded_distance(a.tolist(), b.tolist(), most) <= most
+    return aligned(a.tolist(), b.tolist(), need) >= need
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -121,6 +121,32 @@ def test_banded_distance():
         assert near_dedup.banded_distance(a, b, m) == min(full(a, b), m + 1)
 
 
+def test_near_dedup_against_common_subsequences(frame, prose):
+    def longest(a, b):
+        d = [0] * (len(b) + 1)
+        for x in a:
+            p, d = d, [0]
+            for j, y in enumerate(b):
+                d.append(p[j] + 1 if x == y else max(p[j + 1], d[-1]))
+        return d[-1]
+
+    r = random.Random(3)
+    for _ in range(1500):
+        a = [r.randint(0, r.choice([2, 9, 99])) for _ in range(r.randint(0, 30))]
+        b = [r.randint(0, 9) for _ in range(r.randint(0, 4))] + [x for x in a if r.random() > 0.15] + [r.randint(0, 9)] * r.randint(0, 4)
+        n, m = longest(a, b), r.randint(0, 34)
+        assert (near_dedup.aligned(a, b, m) >= m) == (n >= m) and near_dedup.aligned(a, b, m) <= n
+    texts = []
+    for s in range(6):  # one with another head, one with another tail: as far apart as 0.8 allows, and farther
+        w, k = prose(s, 92 if s < 5 else 80), 8 if s < 5 else 20
+        texts += [f"{prose(100 + s, k)} {w}", f"{w} {prose(200 + s, k)}"]
+    shingles = [[tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)] for t in texts]
+    near = {i for i in range(0, 12, 2) if (n := longest(shingles[i], shingles[i + 1])) / (len(shingles[i]) + len(shingles[i + 1]) - n) >= 0.8}
+    assert near == {0, 2, 4, 6, 8}
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.op3(frame(texts)).collect()}
+    assert got == {i: i - 1 if i % 2 and i - 1 in near else i for i in range(12)}
+
+
 def test_toxicity(spark, prose):
     r = random.Random(4)
     texts, labels = [], []
