@@ -334,7 +334,7 @@ def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, node, class_id): class_id is the least id of the class."""
+    """(doc_id, node, comp, class_id): comp is the class by its least node; class_id is the least id of the class, null if all its ids are."""
     spark = docs.sparkSession
     sketch = saved(sketched(docs, key, text), "near-sketch")
     nodes = sketch.filter("n > 0").select("node", "n", "keys", "hist").dropDuplicates(["node"])
@@ -372,11 +372,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     if comps is not None:
         of = least.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         by = of.groupBy("comp").agg(F.min("least").alias("class_id"))
-        least = of.join(by, "comp").select("node", "class_id")
+        least = of.join(by, "comp").select("node", "comp", "class_id")
     else:
-        least = least.withColumnRenamed("least", "class_id")
+        least = least.select("node", F.col("node").alias("comp"), F.col("least").alias("class_id"))
     del spark
-    return sketch.select("doc_id", "node").join(least, "node").select("doc_id", "node", "class_id")
+    return sketch.select("doc_id", "node").join(least, "node").select("doc_id", "node", "comp", "class_id")
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -416,3 +416,22 @@ def test_pipeline(spark, tmp_path, prose):
         assert out.columns == docs.columns
     lines = corpus_pipeline.drop_lines(spark, docs, str(tmp_path)).filter(F.col("doc_id") == 1).first()
     assert "footer" not in lines["text"] and lines["n_chars"] == len(lines["text"])
+
+
+def test_pipeline_null_and_clashing_ids(spark, tmp_path, prose):
+    import corpus_pipeline
+
+    item = prose(999, 40)
+    rows = [(None, prose(1, 60), "en", "s", 0), (None, prose(2, 60), "en", "s", 0), (None, prose(2, 60) + " tail", "en", "s", 0), (7, prose(3, 60), "en", "s", 0), (7, prose(4, 60), "en", "s", 0)]
+    rows += [(8, prose(5, 60), "en", "b", 0), (8, prose(5, 60), "en", "a", 0), (None, prose(5, 60) + " tail", "en", "s", 0), (None, prose(6, 60) + " " + item, "en", "s", 0), (9, prose(7, 60) + " " + item, "en", "s", 0), (9, prose(8, 60), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    first = min(rows[1:3], key=lambda r: hashlib.md5(r[1].encode()).digest())
+    assert collections.Counter(map(tuple, kept.collect())) == collections.Counter([rows[0], first, rows[3], rows[4], rows[6], *rows[8:]])
+    clean = corpus_pipeline.drop_leaks(spark, kept, str(tmp_path))
+    want = [rows[0], first, rows[3], rows[4], rows[6], rows[10]]
+    assert collections.Counter(map(tuple, clean.collect())) == collections.Counter(want)
+    mixed = corpus_pipeline.mix(spark, clean, str(tmp_path)).collect()
+    assert collections.Counter(r["doc_id"] for r in mixed) == collections.Counter(r[0] for r in want) and all(r["n_tokens"] for r in mixed)
