@@ -35,6 +35,7 @@ from strandline.llm.common import distinct, pieces, prefix_hash, saved, span_has
 
 LENGTH, GRAM = 400, 100
 SHALLOW, BLOCK = 32, 50_000
+PART = 1 << 25  # bytes sampled at once
 _POS_BITS = 26
 
 
@@ -238,17 +239,17 @@ def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return np.concatenate(d), np.concatenate(pos), np.concatenate(key), until
 
 
-def long_pieces(batches, text):
-    """Pieces whose bytes stay below the sampling bound; a text beyond it comes as overlapping parts with their offset."""
+def long_pieces(batches, text, length: int = LENGTH, size: int = PART):
+    """Pieces whose bytes stay below the sampling bound; a text beyond it comes as parts with their offset, each string of `length` bytes in one of them."""
     for b in pieces(batches, text):
         data, offsets = utf8(b.column(text))
-        if len(data) < 1 << 25:
+        if len(data) < size:
             yield b, data, offsets, np.zeros(len(b), np.int64), np.arange(len(b))
             continue
         for i in range(len(b)):
             whole = data[offsets[i] : offsets[i + 1]]
-            for at in range(0, max(len(whole) - LENGTH, 0) + 1, 1 << 25):
-                part = whole[at : at + (1 << 25) + LENGTH]
+            for at in range(0, max(len(whole) - length, 0) + 1, size):
+                part = whole[at : at + size + length - 1]
                 yield b, part, np.array([0, len(part)]), np.array([at]), np.array([i])
 
 
@@ -256,14 +257,20 @@ def digest(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def covered(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def covered(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, size: int = PART) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts (node, copies, n_bytes), and spans (node, start, end) of covered bytes of texts that stand once."""
     rows = docs.select(digest(text).alias("node"), F.col(text).alias("text"))
     need = length - gram
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, data, offsets, base, row in long_pieces(batches, "text"):
+        before: set[tuple[int, int]] = set()  # samples of the part before that the next part may have too
+        for b, data, offsets, base, row in long_pieces(batches, "text", length, size):
             doc, pos, h, end = samples(data, offsets, length, gram)
+            if base[0]:
+                new = np.array([e > 0 or (p, x) not in before for p, x, e in zip((pos + base[0]).tolist(), h.tolist(), end.tolist(), strict=True)], bool)
+                doc, pos, h, end = doc[new], pos[new], h[new], end[new]
+            late = (end == 0) & (pos >= size)
+            before = set(zip((pos[late] + base[0]).tolist(), h[late].tolist(), strict=True)) if len(row) == 1 else set()
             order = np.argsort(doc, kind="stable")
             doc, pos, end = doc[order], pos[order] + base[doc[order]], end[order]
             end = np.where(end > 0, end + base[doc], 0)
@@ -362,9 +369,9 @@ def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, size: int = PART) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
-    texts, spans = covered(docs, text, length)
+    texts, spans = covered(docs, text, length, size=size)
     rows = docs.select(digest(text).alias("node"), F.col(text).alias("text"))
     single = spans.join(texts.filter("copies > 1").select("node"), "node", "left_anti")
     lists = single.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans"))

@@ -369,6 +369,15 @@ def test_suffix_blocks(frame, prose, monkeypatch):
     assert rows_of(suffix_dedup.op10(frame(texts))) == brute_suffix(texts)
 
 
+def test_suffix_parts_of_long_texts(frame, prose):
+    shared = prose(7, 120)
+    long = [prose(20, 1500), f"{prose(21, 400)} {shared} {prose(22, 300)} {shared} {prose(23, 200)}", prose(24, 300) + "ab" * 2500 + prose(25, 300)]
+    texts = [*ODD, *long, shared, prose(26, 60)]
+    want = brute_suffix(texts)
+    for size in (1000, 1777, 4096):
+        assert rows_of(suffix_dedup.removed(frame(texts), size=size)) == want
+
+
 def test_deep_shallow():
     r = random.Random(5)
     for _ in range(300):
