@@ -1,16 +1,21 @@
-"""Near-duplicates by Order MinHash with alignment of candidates.
+"""Near-duplicates by Order MinHash with banded alignment of candidates.
 
-Sketch: five-word shingles of the lower-cased words, each labelled with its occurrence in the text; each of SKETCHES orders keeps the
-MINIMA smallest of them and hashes these in text order, so a key is shared by texts that hold the same shingles in the same order.
-Equal texts are one node from the start. Nodes that share a key are a bucket; inside it a histogram of shingles bounds the similarity from
+Two texts are near if a share of 0.8 or more of the longer one's words, lower-cased, can be aligned with the other's in the same order. That
+holds for all pairs whose word edit similarity (1 - distance / longer length) or whose aligned five-word shingles (Jaccard) reach 0.8.
+
+Sketch: five-word shingles, each labelled with its occurrence in the text; each of SKETCHES orders keeps the MINIMA smallest of them and hashes these in
+text order, so a key is shared by texts that hold the same shingles in the same order, and edits spoil few of the keys.
+Equal texts are one node from the start. Nodes that share a key are a bucket; inside it a histogram of words bounds the aligned share from
 above, and each node is linked to its nearest earlier node that passes the bound, never to all. Links are verified by banded alignment of
-the shingle sequences (a bit-parallel band as wide as the threshold allows): with m shingles in their longest common subsequence,
-similarity is m / (both - m). Verified links are contracted to classes by alternating stars. Buckets with more pairs that pass the bound go round
-again with more of the nearest pairs each, until no untested pair across classes passes the bound: so no link is lost, and a group of n
-copies costs about n comparisons. Buckets beyond BLOCK nodes are cut into blocks and compared block by block.
+the words (bit-parallel, in a band as wide as the threshold allows). Verified links are contracted to classes by alternating stars. Buckets
+that hold several classes and more pairs that pass the bound go round again with more of the nearest pairs each, until no untested pair
+across classes passes: so no link inside a bucket is lost, and a group of n copies costs about n comparisons. A bucket beyond BLOCK nodes is first
+cut into blocks, in other ways for each key, so that one group of copies joins up; only if several classes are left in it does each
+node outside its largest class meet all blocks.
 
 Defined cases: null is like the empty text, and texts without words form classes by equality only; texts of fewer than five words have one
-shingle; rows may repeat; clashing columns don't matter as only key and text are read.
+shingle, so these meet only if all words are equal; rows may repeat; a class whose ids are all null has a null class id; clashing columns
+don't matter as only key and text are read.
 """
 
 from __future__ import annotations
@@ -22,24 +27,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Words, mix, pieces, saved, span_hash, prefix_hash, utf8
+from strandline.llm.common import Words, byte_hash, chained, drop_saved, mix, pieces, saved, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, MINIMA = 12, 3
+SKETCHES, MINIMA = 20, 2
 BINS, BLOCK, GROWTH = 256, 2000, 32
 
 
-def shingled(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingled(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(row of each shingle, hash), in text order; a text of 1 to k-1 words gives one."""
-    w = Words(data, offsets, fold=True)
     at, h = w.shingles(k)
     n = np.diff(w.first)
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):
-        h2 = span_hash(prefix_hash(w.hash), w.first[short], w.first[short + 1])
+        own = np.zeros(len(short), np.uint64)
+        for size in range(1, k):
+            of = n[short] == size
+            own[of] = chained(w.hash, w.first[short[of]], size)
         doc = np.concatenate([w.doc[at], short])
         order = np.argsort(doc, kind="stable")
-        return doc[order], np.concatenate([h, h2])[order]
+        return doc[order], np.concatenate([h, own])[order]
     return w.doc[at], h
 
 
@@ -89,45 +96,42 @@ def order_minhash(doc: np.ndarray, h: np.ndarray, n: int, sketches: int = SKETCH
 
 
 def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, node, n, keys, hist): node is the text's digest, hist its shingles in BINS bins."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("node"), F.col(text).alias("text"))
+    """(doc_id, node, n, keys, hist): node is the text's digest, n its words and hist their counts in BINS bins."""
+    rows = docs.select(F.col(key).alias("doc_id"), digest(text).alias("node"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             n = len(b)
-            doc, h = shingled(*utf8(b.column("text")))
-            keys = order_minhash(doc, h, n).view(np.int64)
-            count = np.bincount(doc, minlength=n)
-            hist = np.zeros((n, BINS), np.int64)
-            np.add.at(hist, (doc, (h % np.uint64(BINS)).astype(np.int64)), 1)
+            w = Words(*utf8(b.column("text")), fold=True)
+            keys = order_minhash(*shingled(w), n).view(np.int64)
+            hist = np.bincount(w.doc * BINS + (w.hash % np.uint64(BINS)).astype(np.int64), minlength=n * BINS).reshape(n, BINS)
             hist = np.minimum(hist, 255).astype(np.uint8)  # cut off, differences only get smaller: the bound holds
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SKETCHES, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(count.astype(np.int64)), lists, pa.array([x.tobytes() for x in hist], pa.binary())], ["doc_id", "node", "n", "keys", "hist"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(np.diff(w.first)), lists, pa.array([x.tobytes() for x in hist], pa.binary())], ["doc_id", "node", "n", "keys", "hist"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node binary, n long, keys array<long>, hist binary")
 
 
+def digest(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def passing(n1: np.ndarray, n2, h1: np.ndarray, h2: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(bound reached, distance) of one histogram h2 against rows h1."""
-    both = n1 + n2
+    """(whether enough words may align, words that can't) of one histogram h2 against rows h1."""
     gap = np.abs(h1 - h2).sum(1, dtype=np.int64)
-    most = (both - gap) / 2
-    return most >= similarity * (both - most) - 1e-9, gap
+    return (n1 + n2 - gap) / 2 >= similarity * np.maximum(n1, n2) - 1e-9, gap
 
 
-def group_links(n, side, comp, hist, take: int, similarity: float) -> tuple[list[int], list[int], bool]:
-    """Of one bucket (or two blocks of it): for each node up to `take` nearest others in other classes that pass the bound, and whether there were more."""
+def group_links(n, own, comp, hist, take: int, similarity: float) -> tuple[list[int], list[int], bool]:
+    """Of one bucket or block: for each node up to `take` nearest others in other classes that pass the bound, and whether there were more. One of a pair must be the block's own."""
     order = np.argsort(n, kind="stable")
-    n, side, comp, hist = n[order], side[order], comp[order], hist[order].astype(np.int16)
+    n, own, comp, hist = n[order], own[order], comp[order], hist[order].astype(np.int16)
     a, b, more = [], [], False
     low = np.searchsorted(n, np.ceil(similarity * n - 1e-9).astype(np.int64))
-    across = side.min() != side.max()
     for i in range(1, len(n)):
         j = slice(low[i], i)
         ok, gap = passing(n[j], n[i], hist[j], hist[i], similarity)
-        ok &= (comp[j] != comp[i]).any(1)
-        if across:
-            ok &= side[j] != side[i]
+        ok &= (comp[j] != comp[i]).any(1) & (own[j] | own[i])
         at = np.flatnonzero(ok)
         if len(at) > take:
             at = at[np.argsort(gap[at], kind="stable")[:take]]
@@ -138,23 +142,23 @@ def group_links(n, side, comp, hist, take: int, similarity: float) -> tuple[list
 
 
 def stream_links(batches: Iterator[pa.RecordBatch], take: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of a partition whose rows are sorted by (key, p, q); more: the bucket has pairs left. A bucket may straddle batches; pairs are done as arrays, larger buckets one by one."""
+    """Links of a partition whose rows are sorted by (key, block); more: the bucket has pairs left. A bucket may straddle batches; pairs are done as arrays, larger buckets one by one."""
     rest: list[pa.RecordBatch] = []
 
     def flush(table: pa.Table) -> pa.RecordBatch:
-        ids = [table[c].to_numpy() for c in ("key", "p", "q")]
+        ids = [table[c].to_numpy() for c in ("key", "block")]
         cut = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in ids], 0)])) if len(table) else np.zeros(0, np.int64)
         size = np.diff(np.append(cut, len(table)))
-        n, side = table["n"].to_numpy(), table["side"].to_numpy()
+        n, own = table["n"].to_numpy(), table["own"].to_numpy(zero_copy_only=False)
         comp = np.frombuffer(b"".join(table["comp"].to_pylist()), np.uint64).reshape(-1, 2)
         hist = np.frombuffer(b"".join(table["hist"].to_pylist()), np.uint8).reshape(-1, BINS)
         two = cut[size == 2]
         ok, _ = passing(n[two], n[two + 1], hist[two].astype(np.int16), hist[two + 1].astype(np.int16), similarity)
-        two = two[ok & (comp[two] != comp[two + 1]).any(1)]
+        two = two[ok & (comp[two] != comp[two + 1]).any(1) & (own[two] | own[two + 1])]
         a, b, m = [two], [two + 1], [np.zeros(len(two), bool)]
         for at, g in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             s = slice(at, at + g)
-            x, y, more = group_links(n[s], side[s], comp[s], hist[s], take, similarity)
+            x, y, more = group_links(n[s], own[s], comp[s], hist[s], take, similarity)
             a.append(np.array(x, np.int64) + at)
             b.append(np.array(y, np.int64) + at)
             m.append(np.full(len(x), more))
@@ -167,7 +171,7 @@ def stream_links(batches: Iterator[pa.RecordBatch], take: int, similarity: float
         if not len(batch):
             continue
         rest.append(batch)
-        ids = [batch.column(c).to_numpy() for c in ("key", "p", "q")]
+        ids = [batch.column(c).to_numpy() for c in ("key", "block")]
         changed = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], 0)) if len(batch) > 1 else np.zeros(0, int)
         if len(changed):
             cut = int(changed[-1]) + 1
@@ -178,53 +182,6 @@ def stream_links(batches: Iterator[pa.RecordBatch], take: int, similarity: float
         yield flush(pa.Table.from_batches(rest))
 
 
-def banded_distance(a: list[int], b: list[int], most: int) -> int:
-    """Edit distance of two sequences within a band of `most` edits; most + 1 if it is larger. Bit-parallel: a column of the band is one integer."""
-    if len(a) < len(b):
-        a, b = b, a
-    if len(a) - len(b) > most:
-        return most + 1
-    lo = 0
-    while lo < len(b) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < len(b) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    if not b:
-        return len(a)
-    limit, most = most, min(most, len(a))
-    places: dict[int, list[int]] = {}
-    for i, x in enumerate(a):
-        places.setdefault(x, []).append(i)
-    width = 2 * most + 1
-    full = (1 << width) - 1
-    top = 1 << (width - 1)
-    vp, vn = (full << (width - most - 1)) & full, 0
-    score = most
-    start = most + 1 - width
-    bottom = len(a) - most  # columns until the band's lowest diagonal leaves the matrix
-    for j, x in enumerate(b):
-        pm = 0
-        for p in places.get(x, ()):
-            q = p - start
-            if 0 <= q < width:
-                pm |= 1 << q
-        d0 = ((((pm & vp) + vp) ^ vp) | pm | vn) & full
-        hp = (vn | ~(d0 | vp)) & full
-        hn = d0 & vp
-        if j < bottom:
-            score += not d0 & top
-        else:
-            bit = top >> (j - bottom + 1)
-            score += bool(hp & bit) - bool(hn & bit)
-        shifted = d0 >> 1
-        vp = (hn | ~(shifted | hp)) & full
-        vn = shifted & hp
-        start += 1
-    return min(score, limit + 1) if score <= most else limit + 1
-
-
 def aligned(a: list[int], b: list[int], need: int) -> int:
     """A length of common subsequences, `need` or more if and only if the longest reaches it. Bit-parallel, within the diagonals that `need` leaves: a clear bit is a step up."""
     if min(len(a), len(b)) < need:
@@ -245,15 +202,24 @@ def aligned(a: list[int], b: list[int], need: int) -> int:
     places: dict[int, list[int]] = {}
     for i, x in enumerate(a):
         places.setdefault(x, []).append(i)
+    marks: dict[int, int] = {}  # of frequent words: their places as bits
+    for x, at in places.items():
+        if len(at) > 8:
+            flags = np.zeros(len(a), np.uint8)
+            flags[at] = 1
+            marks[x] = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
     width = above + below + 1
     full = (1 << width) - 1
     v = full
     start = -above
     for x in b:
-        pm = 0
-        for i in places.get(x, ()):
-            if 0 <= i - start < width:
-                pm |= 1 << (i - start)
+        if x in marks:
+            pm = (marks[x] >> start if start >= 0 else marks[x] << -start) & full
+        else:
+            pm = 0
+            for i in places.get(x, ()):
+                if 0 <= i - start < width:
+                    pm |= 1 << (i - start)
         u = v & pm
         v = ((v + u) | (v - u)) & full
         found += not v & 1  # the lowest row leaves the band
@@ -263,11 +229,9 @@ def aligned(a: list[int], b: list[int], need: int) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Aligned shingles over all shingles of both reach the threshold."""
-    need = int(np.ceil(similarity / (1 + similarity) * (len(a) + len(b)) - 1e-9))
-    if not len(a) or not len(b):
-        return False
-    return aligned(a.tolist(), b.tolist(), need) >= need
+    """Aligned words over the words of the longer text reach the threshold."""
+    need = int(np.ceil(similarity * max(len(a), len(b)) - 1e-9))
+    return 0 < need <= min(len(a), len(b)) and aligned(a.tolist(), b.tolist(), need) >= need
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -278,12 +242,9 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in pieces(iter([big]), "ta"):
-                sides = []
-                for c in ("ta", "tb"):
-                    doc, h = shingled(*utf8(b.column(c)))
-                    sides.append((h, np.searchsorted(doc, np.arange(len(b) + 1))))
-                (x, i), (y, j) = sides
-                ok = [similar(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], similarity) for k in range(len(b))]
+                x, y = (Words(*utf8(b.column(c)), fold=True) for c in ("ta", "tb"))
+                of = lambda w, k: w.hash[w.first[k] : w.first[k + 1]]
+                ok = [similar(of(x, k), of(y, k), similarity) for k in range(len(b))]
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(run, "a binary, b binary")
@@ -306,6 +267,7 @@ def contracted(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         if _is_stars(e):
             break
+        last = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
         large = e.join(low, "v").select("u", F.col("m").alias("v"))  # an edge hangs on the least node next to its lower end
@@ -313,6 +275,7 @@ def contracted(edges: DataFrame, rounds: int = 50) -> DataFrame:
         # the lower ends of one node meet in the least of them; the row of that one keeps the node itself
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         e = saved(small, "near-edges")
+        drop_saved(e.sparkSession, last)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
@@ -330,44 +293,65 @@ def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
     to = saved(contracted(across), "near-merged")
     new = to.select("node").join(comps.select(F.col("comp").alias("node")).distinct(), "node", "left_anti").select("node", F.col("node").alias("comp"))
     old = comps.unionByName(new).select("node", F.col("comp").alias("was"))
-    return saved(old.join(to.select(F.col("node").alias("was"), "comp"), "was", "left").select("node", F.coalesce("comp", "was").alias("comp")), "near-classes")
+    out = saved(old.join(to.select(F.col("node").alias("was"), "comp"), "was", "left").select("node", F.coalesce("comp", "was").alias("comp")), "near-classes")
+    drop_saved(out.sparkSession, comps, across, to)
+    return out
+
+
+def dealt(live: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Rows of buckets by block: key, block, own, node, n, hist, comp. Before there are classes a node is in one block. After that only buckets with
+    several classes go on, and of those with several blocks nodes outside the largest class meet all blocks, so that each pair across classes meets."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    side = F.pmod(F.xxhash64("key", "node"), blocks).cast("int")
+    if comps is None:
+        return live.select("key", side.alias("block"), F.lit(True).alias("own"), "node", "n", "hist", F.col("node").alias("comp"))
+    m = live.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = m.groupBy("key", "comp").agg(F.count("*").alias("s"))
+    largest = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("s", "comp")).alias("top")).filter("classes > 1").select("key", F.col("top.comp").alias("top"))
+    m = m.join(largest, "key").withColumn("side", side)
+    to = F.when((F.col("comp") == F.col("top")) | (blocks == 1), F.array("side")).otherwise(F.sequence(F.lit(0), blocks - 1))
+    return m.withColumn("block", F.explode(to)).select("key", "block", (F.col("block") == F.col("side")).alias("own"), "node", "n", "hist", "comp")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, node, comp, class_id): comp is the class by its least node; class_id is the least id of the class, null if all its ids are."""
     spark = docs.sparkSession
     sketch = saved(sketched(docs, key, text), "near-sketch")
-    nodes = sketch.filter("n > 0").select("node", "n", "keys", "hist").dropDuplicates(["node"])
-    exploded = nodes.select("node", F.explode("keys").alias("key"), "n", "hist")
-    sizes = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    members = saved(exploded.join(sizes, "key"), "near-buckets")
-    id_text = docs.select(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("node"), F.col(text).alias("text"))
+    nodes = saved(sketch.filter("n > 0").select("node", "n", "keys", "hist").dropDuplicates(["node"]), "near-nodes")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    # histograms only move for nodes that share a key
+    live = saved(keyed.join(sizes, "key").join(nodes.select("node", "n", "hist"), "node"), "near-buckets")
+    id_text = docs.select(digest(text).alias("node"), F.col(text).alias("text"))
     comps, tested, take = None, None, 1
     while True:
-        m = members.withColumn("comp", F.col("node")) if comps is None else members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64(F.lit(5), "node"), blocks).cast("int")
-        m = m.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        m = m.select("key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "node", "n", "hist", "comp")
-        grouped = m.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-        found = grouped.mapInArrow(_linker(take, similarity), "a binary, b binary, key long, more boolean")
+        rows = dealt(live, comps).repartition("key", "block").sortWithinPartitions("key", "block")
+        found = rows.mapInArrow(_linker(take, similarity), "a binary, b binary, key long, more boolean")
         # a pair has SKETCHES keys at most, so the list is short
-        pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.collect_set(F.when(F.col("more"), F.col("key"))).alias("open"))
-        pairs = saved(pairs, "near-pairs")
-        new = pairs.select("a", "b") if tested is None else pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")
-        new = saved(new, "near-new")
+        pairs = saved(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.collect_set(F.when(F.col("more"), F.col("key"))).alias("open")), "near-pairs")
+        new = pairs.select("a", "b") if tested is None else saved(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "near-new")
+        links = None
         if not new.isEmpty():
-            tested = new if tested is None else tested.unionByName(new)
-            wanted = saved(new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct(), "near-wanted")
+            wanted = new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct()
             # wanted ids grow with the corpus: merged at every size, never broadcast
             texts = id_text.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-            comps = merged(comps, saved(verified(new, texts, similarity), "near-links"))
+            links = saved(verified(new, texts, similarity), "near-links")
+            comps = merged(comps, links)
         # in a bucket without more, all pairs across classes that pass the bound are tested, and merging only takes pairs away
-        still = saved(pairs.select(F.explode("open").alias("key")).distinct(), "near-open")
-        if still.isEmpty():
-            break
-        members = saved(members.join(still, "key", "left_semi"), "near-buckets")
-        take *= GROWTH
+        still = pairs.select(F.explode("open").alias("key"))
+        if tested is None:  # blocks haven't met yet
+            still = still.unionByName(live.filter(F.col("c") > BLOCK).select("key"))
+        still = saved(still.distinct(), "near-open")
+        done = still.isEmpty()
+        if not done:
+            tested = new if tested is None else tested.unionByName(new)
+            left = saved(live.join(still, "key", "left_semi"), "near-buckets")
+            drop_saved(spark, live, still, links)
+            live = left
+            take *= GROWTH
+            continue
+        drop_saved(spark, live, still, links, pairs, nodes)
+        break
     least = sketch.groupBy("node").agg(F.min("doc_id").alias("least"))
     if comps is not None:
         of = least.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -375,7 +359,6 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         least = of.join(by, "comp").select("node", "comp", "class_id")
     else:
         least = least.select("node", F.col("node").alias("comp"), F.col("least").alias("class_id"))
-    del spark
     return sketch.select("doc_id", "node").join(least, "node").select("doc_id", "node", "comp", "class_id")
 
 
