@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Words, count_by, pieces, prefix_hash, saved, span_hash, utf8
+from strandline.llm.common import Words, chained, count_by, distinct, mix, pieces, saved, utf8
 
 # Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+SPACES = b" \t\n\x0b\x0c\r"
 _symbol = np.zeros(256, bool)
 _symbol[list(SYMBOLS)] = True
 
@@ -34,54 +35,47 @@ def count_batch(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     ink = np.concatenate([[0], np.cumsum(heads)])
     chars = ink[words.end] - ink[words.start]
     marks = np.flatnonzero(_symbol[data])
-    # lines: cut at \n and at ends of texts
-    cuts = np.flatnonzero(data == 10)
-    start = np.sort(np.concatenate([offsets[:-1], cuts + 1]))
-    end = np.sort(np.concatenate([offsets[1:], cuts]))
-    line_doc = np.repeat(np.arange(n), count_by(doc_of(cuts), n) + 1)
-    has_word = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
-    start, end, line_doc = start[has_word], end[has_word], line_doc[has_word]
-
-    sums = prefix_hash(data)
-    repeated = _later_copies(line_doc, span_hash(sums, start, end)) if len(start) else np.zeros(0, bool)
-    # words in 3-word windows found twice or more in their text
-    at, h = words.shingles(3)
-    cover = np.zeros(len(words.start) + 3, np.int64)
+    # words in 3-word windows found twice or more in their text; windows are equal if their words are
+    ids = words.ids()
+    at = np.flatnonzero(words.doc[:-2] == words.doc[2:]) if len(ids) > 2 else np.zeros(0, np.int64)
+    cover = np.zeros(len(ids) + 3, np.int64)
     if len(at):
-        twice = at[_not_alone(words.doc[at], h)]
+        # equal windows have equal hashes; only those go on to be compared
+        h = chained(ids.view(np.uint64) if ids.dtype == np.int64 else ids.astype(np.uint64), at, 3) ^ mix(words.doc[at].astype(np.uint64))
+        order = np.argsort(h, kind="stable")
+        same = np.flatnonzero(h[order][1:] == h[order][:-1])
+        at = at[distinct(np.concatenate([order[same], order[same + 1]]))]
+        twice = at[_not_alone(words.doc[at], ids[at], ids[at + 1], ids[at + 2])]
         np.add.at(cover, twice, 1)
         np.add.at(cover, twice + 3, -1)
-    covered = np.cumsum(cover)[: len(words.start)] > 0
+    covered = np.cumsum(cover)[: len(ids)] > 0
     return {
         "n_words": count_by(words.doc, n),
         "word_chars": count_by(words.doc, n, chars),
         "n_symbols": count_by(doc_of(marks), n),
-        "n_dup_lines": count_by(line_doc[repeated], n),
+        "n_dup_lines": _repeated_lines(data, offsets),
         "n_repeat_words": count_by(words.doc[covered], n),
     }
 
 
-def _grouped(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((h, doc))
-    d, x = doc[order], h[order]
-    same = np.zeros(len(order), bool)
-    same[1:] = (d[1:] == d[:-1]) & (x[1:] == x[:-1])
-    return order, same
-
+def _repeated_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Lines of each text that hold a word and equal an earlier one, compared as bytes."""
+    raw = data.tobytes()
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        lines = [x for x in raw[a:b].split(b"\n") if x.strip(SPACES)]
+        out.append(len(lines) - len(set(lines)))
+    return np.array(out, np.int64)
 
-def _later_copies(doc, h) -> np.ndarray:
-    """True for all but one of equal (doc, hash)."""
-    order, same = _grouped(doc, h)
-    out = np.zeros(len(h), bool)
-    out[order] = same
-    return out
 
-
-def _not_alone(doc, h) -> np.ndarray:
-    order, same = _grouped(doc, h)
+def _not_alone(*keys: np.ndarray) -> np.ndarray:
+    """Whether another row has the same keys."""
+    order = np.lexsort(keys[::-1])
+    same = np.zeros(len(order), bool)
+    same[1:] = np.all([k[order][1:] == k[order][:-1] for k in keys], 0)
     pair = same.copy()
     pair[:-1] |= same[1:]
-    out = np.zeros(len(h), bool)
+    out = np.zeros(len(order), bool)
     out[order] = pair
     return out
 
