@@ -1,16 +1,19 @@
 """Token counts of a sentencepiece BPE model by rank-synchronous array merging.
 
-Pre-tokens (a run of word marks and what follows it) never merge with each other, so each distinct one is merged once and its count is
-kept. New pre-tokens are held as ragged symbol arrays; in every round each sequence's lowest-rank pair is found by one segmented minimum
+Pre-tokens (a run of word marks and what follows it) never merge with each other, so each distinct one, told by its characters, is merged once
+and its count is kept. New pre-tokens are held as ragged symbol arrays; in every round each sequence's lowest-rank pair is found by one segmented minimum
 and applied in all sequences at once. All places of that pair in a sequence merge together, left to right, unless a pair that would arise
 ranks lower still, or the rank belongs to several pairs; then only the leftmost place merges, as one at a time would. Symbols outside the
-vocabulary count as their UTF-8 bytes.
+vocabulary count as their UTF-8 bytes. Sequences beyond LONG symbols (text without spaces) go by rank instead of by sequence: a round takes the
+lowest rank that any of them has and its places only, so the work follows the merges and not rounds times length.
 
 Defined cases: null and empty texts have no tokens; equal rows are counted alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import pieces, prefix_hash, span_hash, utf8
+from strandline.llm.common import distinct, pieces, utf8
 
 MARK = 0x2581
 NONE = np.int64(1 << 40)
+LONG = 2000
+#: Distinct pre-tokens kept by a task, and the characters up to which one is kept.
+MEMORY, KEPT_CHARS = 300_000, 64
 
 
 class Merges:
@@ -74,6 +80,11 @@ class Merges:
         seq = np.repeat(np.arange(n), np.diff(np.append(first, len(points))))
         lost = np.bincount(seq, np.where(sym < 0, width, 0), n).astype(np.int64)
         known = np.zeros(n, np.int64)
+        long = np.bincount(seq, minlength=n) > LONG
+        if long.any():
+            some = long[seq]
+            known += self._count_long(sym[some], seq[some], n)
+            sym, seq = sym[~some], seq[~some]
         made = self._pairs(sym, seq)
         while len(sym):
             rank = self.rank_of(made)
@@ -121,6 +132,60 @@ class Merges:
             made[at] = self._pairs_at(sym, seq, at)
         return known + lost
 
+    def _count_long(self, sym: np.ndarray, seq: np.ndarray, n: int) -> np.ndarray:
+        """Known symbols that are left of each of n sequences. Symbols are linked lists; places wait by the rank of the pair that starts there."""
+        size = len(sym)
+        sym, alive = sym.copy(), np.ones(size, bool)
+        end = np.append(seq[1:] != seq[:-1], True)
+        after, before = np.where(end, -1, np.arange(1, size + 1)), np.where(np.append(True, end[:-1]), -1, np.arange(-1, size - 1))
+        made = self._pairs(sym, seq)
+        rank = self.rank_of(made)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            at = at[made[at] >= 0]
+            at = at[np.argsort(rank[at], kind="stable")]
+            cut = np.flatnonzero(np.diff(rank[at])) + 1
+            for part in np.split(at, cut) if len(at) else ():
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+        put(np.arange(size))
+        while ranks:
+            r = heapq.heappop(ranks)
+            hit = distinct(np.concatenate(waiting.pop(r)))
+            hit = hit[alive[hit] & (rank[hit] == r)]
+            if not len(hit):
+                continue
+            # of overlapping places (a a a) every second one of a run stays
+            run = np.append(True, after[hit[:-1]] != hit[1:])
+            nth = np.arange(len(hit)) - np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+            hit = hit[nth % 2 == 0]
+            m, second = made[hit], after[hit]
+            third = after[second]
+            left = np.where(before[hit] >= 0, self.pair(sym[before[hit]], m), -1)
+            right = np.where(third >= 0, self.pair(m, sym[third]), -1)
+            twin = np.where(np.append(third[:-1] == hit[1:], False), self.pair(m, m), -1)
+            odd = self.tied[m] | (self.rank_of(left) < r) | (self.rank_of(right) < r) | (self.rank_of(twin) < r)
+            if odd.any():  # in these sequences the leftmost place only; the others wait
+                slow = np.isin(seq[hit], seq[hit[odd]])
+                lead = np.append(True, seq[hit[1:]] != seq[hit[:-1]])
+                put(hit[slow & ~lead])
+                go = lead | ~slow
+                hit, m, second, third = hit[go], m[go], second[go], third[go]
+            sym[hit], alive[second], after[hit] = m, False, third
+            before[third[third >= 0]] = hit[third >= 0]
+            changed = np.concatenate([hit, before[hit]])
+            changed = distinct(changed[changed >= 0])
+            made[changed] = np.where(after[changed] >= 0, self.pair(sym[changed], sym[after[changed]]), -1)
+            rank[changed] = self.rank_of(made[changed])
+            put(changed)
+        return np.bincount(seq[alive & (sym >= 0)], minlength=n)
+
     def _pairs(self, sym, seq) -> np.ndarray:
         return self._pairs_at(sym, seq, np.arange(len(sym)))
 
@@ -130,50 +195,29 @@ class Merges:
         return np.where(ok, self.pair(sym[at], sym[nxt]), -1)
 
 
+_pre_token = re.compile(f"{chr(MARK)}+[^{chr(MARK)}]*")
+
+
 class Counter:
     """Token counts of texts, with a memory of distinct pre-tokens that is emptied when it is full."""
 
-    def __init__(self, merges: Merges, memory: int = 2_000_000):
-        self.merges, self.memory = merges, memory
-        self.hash, self.tokens = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def __init__(self, merges: Merges, memory: int = MEMORY):
+        self.merges, self.memory, self.known = merges, memory, {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        marked = [(chr(MARK) + t).replace(" ", chr(MARK)) if t else "" for t in texts]
-        points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([len(t) for t in marked])
-        out = np.zeros(len(texts), np.int64)
-        if not len(points):
-            return out
-        is_mark = points == MARK
-        start = is_mark.copy()
-        start[1:] &= ~is_mark[:-1]
-        heads = ends - np.array([len(t) for t in marked])
-        start[heads[heads < len(points)]] = True
-        first = np.flatnonzero(start)
-        last = np.append(first[1:], len(points))
-        h = span_hash(prefix_hash(points), first, last)
-        distinct, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-        got = self._known(distinct)
-        new = np.flatnonzero(got < 0)
-        if len(new):
-            a, b = first[index[new]], last[index[new]]
-            size = b - a
-            offs = np.cumsum(size) - size
-            flat = points[np.repeat(a - offs, size) + np.arange(size.sum())]
-            got[new] = self.merges.count(flat, offs)
-            if len(self.hash) > self.memory:
-                self.hash, self.tokens = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            all_h = np.concatenate([self.hash, distinct[new]])
-            order = np.argsort(all_h, kind="stable")
-            self.hash, self.tokens = all_h[order], np.concatenate([self.tokens, got[new]])[order]
-        doc = np.searchsorted(ends, first, "right")
-        return np.bincount(doc, got[inverse], len(texts)).astype(np.int64)
-
-    def _known(self, distinct: np.ndarray) -> np.ndarray:
-        if not len(self.hash):
-            return np.full(len(distinct), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hash, distinct), len(self.hash) - 1)
-        return np.where(self.hash[at] == distinct, self.tokens[at], -1)
+        parts = [_pre_token.findall((chr(MARK) + t).replace(" ", chr(MARK))) if t else [] for t in texts]
+        if len(self.known) > self.memory:
+            self.known = {}
+        known = self.known
+        new = list({p for of in parts for p in of if p not in known})
+        tokens = {}
+        if new:
+            points = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)
+            size = np.array([len(p) for p in new])
+            tokens = dict(zip(new, self.merges.count(points, np.cumsum(size) - size).tolist(), strict=True))
+            known.update((p, n) for p, n in tokens.items() if len(p) <= KEPT_CHARS)
+            tokens = {p: n for p, n in tokens.items() if len(p) > KEPT_CHARS}
+        return np.array([sum([known[p] if p in known else tokens[p] for p in of]) for of in parts], np.int64)
 
 
 def counted(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
