@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_count, toxicity, warc
+from strandline.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, pipeline, quality, suffix_dedup, token_count, toxicity, warc
 from strandline.llm.common import documents
 
 QUERIES = {
@@ -16,19 +16,10 @@ QUERIES = {
     "op8_html_extraction": lambda spark, d: html_extract.op8(documents(spark, d, "pages")),
     "op9_warc_revisits": lambda spark, d: warc.op9(documents(spark, d, "pages")),
     "op10_suffix_dedup": lambda spark, d: suffix_dedup.op10(documents(spark, d)),
+    "pipeline": pipeline.run,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE_OP1,
     "op2_quality_rules": quality.ORACLE_OP2,
     "op9_warc_revisits": warc.ORACLE_OP9,
 }
-
-
-def pipeline(spark, d):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, d)
-
-
-QUERIES["pipeline"] = pipeline
-

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from strandline.llm.common import Words, pieces, prefix_hash, span_hash, utf8
+from strandline.llm.common import Words, byte_hash, pieces, utf8
 
 TRAIN_ROWS, TRAIN_BYTES = 400, 40_000  # rows that carry the label; three times as many that don't
 BUCKETS, DIM, HID, ATT = 1 << 14, 8, 6, 6
@@ -54,8 +54,7 @@ class Vocab:
             start[go] += 1
             go = (end - start > 1) & ~_inner[data[end - 1]]
             end[go] -= 1
-        sums = prefix_hash(data)
-        h = span_hash(sums, start, end)
+        h = byte_hash(data, start, end)
         distinct, index, self.ids = np.unique(h, return_index=True, return_inverse=True)
         self.first, n = w.first, len(distinct)
         self.word = (distinct % np.uint64(BUCKETS)).astype(np.int64)
@@ -66,12 +65,11 @@ class Vocab:
         if n:
             flat[np.repeat(flat_at + 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())] = data[np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         grams, owner = [], []
-        sums = prefix_hash(flat)
         of = np.repeat(np.arange(n), size + 2)
         for k in (4,):
             at = np.arange(max(len(flat) - k + 1, 0))
             at = at[of[at] == of[at + k - 1]] if len(at) else at
-            grams.append((span_hash(sums, at, at + k) % np.uint64(BUCKETS)).astype(np.int64))
+            grams.append((byte_hash(flat, at, at + k) % np.uint64(BUCKETS)).astype(np.int64))
             owner.append(of[at] if len(flat) else at)
         g, o = np.concatenate(grams), np.concatenate(owner)
         order = np.argsort(o, kind="stable")

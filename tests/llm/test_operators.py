@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_count, toxicity, warc
+from strandline.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, pipeline, quality, suffix_dedup, token_count, toxicity, warc
 from strandline.llm.common import Words, utf8
 
 ODD = [None, "", " \t\n ", "\n", "a", "a", "é日本𝒳 \x0b b"]
@@ -248,6 +248,22 @@ def test_token_counts(frame):
         assert (got[i]["n_bytes"], got[i]["n_tokens"]) == (len((t or "").encode()), len(sp.encode(t or "")))
 
 
+def test_token_counts_of_long_words(frame, prose, monkeypatch):
+    """Texts without spaces go by rank; also all sequences, to compare with the other way."""
+    public_tokenizers, spm = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, merges = spm.SentencePieceProcessor(model_file=path), token_count.Merges(path)
+    r = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(r.choice(letters) for _ in range(30_000)), "".join(r.choice("ab") for _ in range(9000)), prose(1, 3000).replace(" ", ""), "é日𝒳x" * 1500, "a" * 10_001, thue_morse(4096, "a", "b") + " " + thue_morse(4096, "b", "a"), None, ""]
+    got = token_count.op5(frame(texts)).orderBy("doc_id").collect()
+    assert [x["n_tokens"] for x in got] == [len(sp.encode(t or "")) for t in texts]
+    monkeypatch.setattr(token_count, "LONG", 0)
+    more = ["".join(r.choice(["ab", "aaab ", "the ñ▁ ", "0123 \n\t", "ing", "é日本𝒳 "]) for _ in range(r.randint(0, 80))) for _ in range(300)]
+    assert token_count.Counter(merges)(more).tolist() == [len(sp.encode(t)) for t in more]
+    assert token_count.op5(frame([])).count() == 0
+
+
 def test_mixing(spark, prose):
     words = {"good": "alpha beta gamma", "low": "zip zap zop", "toxic": "grr brr hrr"}
     rows, lab = [], []
@@ -445,8 +461,6 @@ def test_cover_of_bucket():
 
 
 def test_pipeline(spark, tmp_path, prose):
-    import corpus_pipeline
-
     r = random.Random(1)
     rows = []
     for i in range(240):
@@ -461,31 +475,43 @@ def test_pipeline(spark, tmp_path, prose):
     spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i % 4 != 0), int(i % 4 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    got = {x["doc_id"] for x in pipeline.run(spark, str(tmp_path)).collect()}
     clean = {i for i in range(240) if i % 4}
     assert clean <= got and len(got - clean - {302}) <= 2 and 300 not in got and 301 not in got
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for _, stage in pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
-    lines = corpus_pipeline.drop_lines(spark, docs, str(tmp_path)).filter(F.col("doc_id") == 1).first()
+    lines = pipeline.drop_lines(spark, docs, str(tmp_path)).filter(F.col("doc_id") == 1).first()
     assert "footer" not in lines["text"] and lines["n_chars"] == len(lines["text"])
 
 
 def test_pipeline_null_and_clashing_ids(spark, tmp_path, prose):
-    import corpus_pipeline
-
     item = prose(999, 40)
     rows = [(None, prose(1, 60), "en", "s", 0), (None, prose(2, 60), "en", "s", 0), (None, prose(2, 60) + " tail", "en", "s", 0), (7, prose(3, 60), "en", "s", 0), (7, prose(4, 60), "en", "s", 0)]
     rows += [(8, prose(5, 60), "en", "b", 0), (8, prose(5, 60), "en", "a", 0), (None, prose(5, 60) + " tail", "en", "s", 0), (None, prose(6, 60) + " " + item, "en", "s", 0), (9, prose(7, 60) + " " + item, "en", "s", 0), (9, prose(8, 60), "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(7, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    kept = pipeline.drop_near_copies(spark, docs, str(tmp_path))
     first = min(rows[1:3], key=lambda r: hashlib.md5(r[1].encode()).digest())
     assert collections.Counter(map(tuple, kept.collect())) == collections.Counter([rows[0], first, rows[3], rows[4], rows[6], *rows[8:]])
-    clean = corpus_pipeline.drop_leaks(spark, kept, str(tmp_path))
+    clean = pipeline.drop_leaks(spark, kept, str(tmp_path))
     want = [rows[0], first, rows[3], rows[4], rows[6], rows[10]]
     assert collections.Counter(map(tuple, clean.collect())) == collections.Counter(want)
-    mixed = corpus_pipeline.mix(spark, clean, str(tmp_path)).collect()
+    mixed = pipeline.mix(spark, clean, str(tmp_path)).collect()
     assert collections.Counter(r["doc_id"] for r in mixed) == collections.Counter(r[0] for r in want) and all(r["n_tokens"] for r in mixed)
+
+
+def test_pipeline_columns_of_any_name(spark, tmp_path, prose):
+    names = ["node", "kept_id", "score", "kept", "n_lines", "n_dropped", "sha", "first", "row", "comp", "places", "t1", "_pos", "_kept", "_score", "none"]
+    rows = [(i, prose(i, 70) + "\nfooter", "en", "s", 0, *range(i, i + len(names))) for i in range(30)] + [(None, None, None, None, None, *[None] * len(names)), (50, "", "en", "s", 0, *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    spark.createDataFrame([(1, prose(999, 40))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        got = {r["doc_id"]: tuple(r)[5:] for r in out.collect()}
+        assert out.columns == docs.columns and all(got[r[0]] == r[5:] for r in rows if r[0] in got)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert pipeline.mix(spark, docs, str(tmp_path)).count() == 32 and pipeline.mix(spark, docs.limit(0), str(tmp_path)).count() == 0
