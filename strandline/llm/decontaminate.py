@@ -13,7 +13,8 @@ The index is broadcast while the items are within INDEX_BYTES (counted first); b
 passages are run against one slice after the other.
 
 Defined cases: null or empty texts have no passages; items without words are never found; ties and repeated rows are all reported, a
-(document, item) pair once.
+(document, item) pair of ids once; ids may be of any type, and null; empty tables give empty results; texts of any length are cut into the same
+passages; clashing columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandline.llm.common import Words, distinct, pieces, utf8
 
@@ -194,40 +196,66 @@ class Index:
         return share(self.question[item]), share(self.answer[item])
 
 
-def _slices(items: DataFrame, key: str, text: str, limit: int) -> list[DataFrame]:
-    total = items.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
+def _indexes(items: DataFrame, key: str, text: str, limit: int) -> Iterator[Index]:
+    """The index, or one of each slice of about `limit` bytes."""
+    items = items.filter(F.col(text).isNotNull()).select(F.col(key).alias("i"), F.col(text).alias("t"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
     n = int(total // limit) + 1
-    return [items.filter(F.pmod(F.xxhash64(F.lit(9), key), F.lit(n)) == i) for i in range(n)] if n > 1 else [items]
+    for i in range(n):
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64(F.lit(9), "i", "t"), F.lit(n)) == i)
+        got = part.toArrow().to_pylist()
+        got.sort(key=lambda r: (r["i"] is None, r["i"] if r["i"] is not None else 0, r["t"]))
+        yield Index([r["i"] for r in got], [r["t"] for r in got])
+
+
+def _verified(index: Index, texts: pa.Array, threshold: float, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(row, item): the best score with its overlaps, of all verified pairs."""
+    w = Words(*utf8(texts), fold=True)
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for d, start, item, score in zip(*(x.tolist() for x in index.retrieve(w, threshold)), strict=True):
+        q, a = index.verify(w, d, start, item)
+        if q >= overlap and a >= overlap and (score, q, a) > best.get((d, item), (0.0, 0.0, 0.0)):
+            best[d, item] = (score, q, a)
+    return best
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, limit: int = INDEX_BYTES) -> DataFrame:
     """(doc_id, item_id, score, question, answer): verified pairs, one row each."""
-    items = items.filter(F.col(item_text).isNotNull()).select(F.col(item_key).alias("i"), F.col(item_text).alias("t"))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    id_type = items.schema[item_key].dataType
+    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {id_type.simpleString()}, score double, question double, answer double"
+    arrow_id = to_arrow_type(id_type)
     out = None
-    for part in _slices(items, "i", "t", limit):
-        got = part.toPandas()
-        got = got.sort_values("i")
-        shared = docs.sparkSession.sparkContext.broadcast(Index(got["i"].tolist(), got["t"].tolist()))
+    for index in _indexes(items, item_key, item_text, limit):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for b in pieces(batches, "text"):
-                w = Words(*utf8(b.column("text")), fold=True)
-                best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                for d, start, item, score in zip(*(x.tolist() for x in index.retrieve(w, threshold)), strict=True):
-                    q, a = index.verify(w, d, start, item)
-                    if q >= overlap and a >= overlap and (score, q, a) > best.get((d, item), (0.0, 0.0, 0.0)):
-                        best[d, item] = (score, q, a)
+                best = _verified(index, b.column("text"), threshold, overlap)
                 keys = sorted(best)
                 ids = b.column("doc_id").take(pa.array([d for d, _ in keys], pa.int64()))
                 vals = [best[k] for k in keys]
-                yield pa.RecordBatch.from_arrays([ids, pa.array([index.items[i] for _, i in keys], pa.int64()), *[pa.array([v[j] for v in vals], pa.float64()) for j in range(3)]], ["doc_id", "item_id", "score", "question", "answer"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([index.items[i] for _, i in keys], arrow_id), *[pa.array([v[j] for v in vals], pa.float64()) for j in range(3)]], ["doc_id", "item_id", "score", "question", "answer"])
 
-        one = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, score double, question double, answer double")
+        one = rows.mapInArrow(run, shape)
         out = one if out is None else out.unionByName(one)
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question", "answer")])
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, limit: int = INDEX_BYTES) -> DataFrame:
+    """Rows of docs that hold no item, with all their columns; they are judged where they stand, slice after slice, so nothing is shuffled."""
+    for index in _indexes(items, item_key, item_text, limit):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches, text):
+                bad = {d for d, _ in _verified(shared.value, b.column(text), threshold, overlap)}
+                yield b.filter(pa.array([i not in bad for i in range(len(b))], pa.bool_())) if bad else b
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op7(docs: DataFrame, items: DataFrame) -> DataFrame:
     return contaminated(docs, items)

@@ -50,10 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    (node,) = fresh(docs, "node")
-    rows = by_text(docs, node)
-    found = decontaminate.contaminated(rows, documents(spark, sf_dir, "benchmark"), node).select(F.col("doc_id").alias(node)).distinct()
-    return rows.join(found, node, "left_anti").select(docs.columns)
+    return decontaminate.without_leaks(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -297,8 +297,22 @@ def test_decontamination(spark, prose):
     docs += [(50, None), (51, ""), (52, prose(5, 150)), (53, items[4][1].split(".")[0])]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op7(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(i, i) for i in range(0, 30, 3)} | {(52, 92), (5, 92)}  # text 5 begins as item 92 does
-    one = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), limit=1500)
-    assert {(r["doc_id"], r["item_id"]) for r in one.collect()} == got
+    few = lambda f, **k: f(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), limit=1500, **k)
+    assert {(r["doc_id"], r["item_id"]) for r in few(decontaminate.contaminated).collect()} == got
+    assert {r["doc_id"] for r in few(decontaminate.without_leaks).collect()} == {i for i, _ in docs} - {i for i, _ in got}
+
+
+def test_decontamination_cases(spark, prose):
+    """Ids as text and null, repeated rows and items, clashing columns, a very long text, empty tables."""
+    item = prose(1000, 40)
+    docs = [(f"d{i}", t, 1, 1.0) for i, t in enumerate([f"{prose(1, 90)} {item} {prose(2, 90)}", prose(3, 100), f"{prose(4, 60_000)} {item} {prose(5, 9)}"])] + [(None, item, 1, 1.0), (None, item, 1, 1.0), ("d0", item, 2, 2.0)]
+    d = spark.createDataFrame(docs, "doc_id string, text string, item_id int, score double")
+    i = spark.createDataFrame([("q1", item, "x"), ("q1", item, "x"), (None, item, "x"), ("q2", prose(7, 30), "x")], "item_id string, text string, doc_id string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.op7(d, i).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(x, q) for x in ("d0", "d2", None) for q in ("q1", None)}
+    assert [tuple(r) for r in decontaminate.without_leaks(d, i).collect()] == [docs[1]]
+    assert decontaminate.op7(d.limit(0), i).count() == decontaminate.op7(d, i.limit(0)).count() == 0
+    assert decontaminate.without_leaks(d, i.limit(0)).count() == 6
 
 
 def test_retrieval_is_complete(prose):
