@@ -14,10 +14,12 @@ repeat, so a long stretch covers itself, and only the samples near its ends are
    meets its neighbours in the right order, which agree with it longest. Common parts of l bytes on the left and r on the right that
    reach LENGTH with the sample cover l bytes before it to r bytes after. That finds all coverage without comparing all pairs;
 5. spans are gathered by text and cut out.
+Besides that, documents are marked that hold more than PASSAGE - 1 words in a row which another document holds too, however few bytes these are: words
+are sampled and bucketed alike, and in a bucket the runs of PASSAGE words around the sample meet those of other documents.
 Equal texts are one text from the start (wholly covered, if long enough). Buckets beyond BLOCK members are cut into blocks, taken two by two.
 
 Defined cases: null is empty; texts shorter than LENGTH lose nothing; rows may repeat (they are each other's elsewhere); offsets are UTF-8
-bytes and may fall inside a character.
+bytes and may fall inside a character; clashing columns don't matter, as only key and text are read.
 """
 
 from __future__ import annotations
@@ -28,15 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import distinct, pieces, prefix_hash, saved, span_hash, utf8
+from strandline.llm.common import Words, chained, distinct, drop_saved, pieces, prefix_hash, saved, span_hash, utf8
 
 LENGTH, GRAM = 400, 100
 SHALLOW, BLOCK = 32, 50_000
-PART = 1 << 25  # bytes sampled at once
+PASSAGE, WORD_GRAM = 51, 14
+PART = 1 << 25  # bytes or words sampled at once
 _POS_BITS = 26
+LEFT, RIGHT, WORDS = 1, 2, 3  # lowest bits of a key: what it is the hash of
+#: A text of more than PASSAGE - 1 words.
+LONG_TEXT = rf"\A[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{PASSAGE - 1}}}[^\x20\x09-\x0D]"
 
 
 # ---- sorting -------------------------------------------------------------------------------------------------
@@ -180,7 +187,7 @@ def sliding_least(c: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(low) - (width - span)], low[width - span :]) if width > span else low
 
 
-def stretches(pick: np.ndarray, same: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stretches(pick: np.ndarray, same: np.ndarray, values: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(samples to keep, start, end) of sorted samples; same[i]: sample i + 1 has the same gram in the same text.
 
     Equal grams at a distance d <= gram make the bytes between repeat with period d. A stretch of length + d bytes covers itself, as each string in
@@ -196,6 +203,8 @@ def stretches(pick: np.ndarray, same: np.ndarray, length: int, gram: int) -> tup
     d = step[first]
     start, end = pick[first], pick[last] + gram
     whole = (d > 0) & (end - start >= length + d)
+    for i in np.flatnonzero(whole).tolist():  # equal hashes chose the chain; its values decide
+        whole[i] = np.array_equal(values[start[i] : end[i] - d[i]], values[start[i] + d[i] : end[i]])
     first, last, d, start, end = first[whole], last[whole], d[whole], start[whole], end[whole]
     keep = np.ones(len(pick), bool)
     for a, b, x, s, e in zip(first.tolist(), last.tolist(), d.tolist(), start.tolist(), end.tolist(), strict=True):
@@ -204,53 +213,73 @@ def stretches(pick: np.ndarray, same: np.ndarray, length: int, gram: int) -> tup
     return pick[keep], start, end
 
 
-def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, key, end) of the sampled grams, one row for each key with end 0; and of stretches that cover themselves, with key 0."""
+def picked(values: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each value, places of the sampled grams, start and end of stretches) of values that are bytes or words."""
     none = np.zeros(0, np.int64)
-    n = len(data)
+    n = len(values)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     if n < length:
-        return none, none, np.zeros(0, np.uint64), none
+        return doc, none, none, none
     if n >= 1 << _POS_BITS:
-        raise ValueError("texts are sampled in pieces of less than 64 MB")
+        raise ValueError("texts are sampled in parts of less than 64 million")
+    inside = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
+    if not len(inside):
+        return doc, none, none, none
     at = np.arange(n - gram + 1)
-    sums = prefix_hash(data)
-    h = span_hash(sums, at, at + gram)
+    h = span_hash(prefix_hash(values), at, at + gram)
     mask = np.uint64((1 << _POS_BITS) - 1)
     c, width = h >> np.uint64(_POS_BITS) << np.uint64(_POS_BITS), length - gram + 1
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    inside = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
-    if not len(inside):
-        return none, none, np.zeros(0, np.uint64), none
     left = (sliding_least(c | at.astype(np.uint64), width)[inside] & mask).astype(np.int64)
     right = (mask - (sliding_least(c | (mask - at.astype(np.uint64)), width)[inside] & mask)).astype(np.int64)
     pick = np.where(inside + (width - 1) - right > left - inside, right, left)
     pick = distinct(pick[np.concatenate([[True], pick[1:] != pick[:-1]])])
-    pick, start, end = stretches(pick, (h[pick[1:]] == h[pick[:-1]]) & (doc[pick[1:]] == doc[pick[:-1]]), length, gram)
+    return doc, *stretches(pick, (h[pick[1:]] == h[pick[:-1]]) & (doc[pick[1:]] == doc[pick[:-1]]), values, length, gram)
+
+
+def tagged(h: np.ndarray, tag: int) -> np.ndarray:
+    return h & np.uint64(0xFFFFFFFFFFFFFFFC) | np.uint64(tag)
+
+
+def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, key, end) of the sampled grams, one row for each key with end 0; and of stretches that cover themselves, with key 0."""
+    doc, pick, start, end = picked(data, offsets, length, gram)
     half = (length - gram + 1) // 2
     base = lambda p: offsets[:-1][doc[p]]
+    raw = data.tobytes() if len(pick) else b""
     d, pos, key = [doc[start]], [start - base(start)], [np.zeros(len(start), np.uint64)]
-    for a, b, tag in ((pick - half, pick + gram, 1), (pick, pick + gram + half, 2)):
+    for a, b, tag in ((pick - half, pick + gram, LEFT), (pick, pick + gram + half, RIGHT)):
         ok = (a >= base(pick)) & (b <= offsets[1:][doc[pick]])
         d.append(doc[pick[ok]])
         pos.append(pick[ok] - base(pick[ok]))
-        key.append(span_hash(sums, a[ok], b[ok]) ^ np.uint64(tag))
+        key.append(tagged(np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True)], np.uint64), tag))
     until = np.zeros(sum(map(len, d)), np.int64)
     until[: len(start)] = end - base(start)
     return np.concatenate(d), np.concatenate(pos), np.concatenate(key), until
 
 
-def long_pieces(batches, text, length: int = LENGTH, size: int = PART):
-    """Pieces whose bytes stay below the sampling bound; a text beyond it comes as parts with their offset, each string of `length` bytes in one of them."""
-    for b in pieces(batches, text):
-        data, offsets = utf8(b.column(text))
-        if len(data) < size:
-            yield b, data, offsets, np.zeros(len(b), np.int64), np.arange(len(b))
-            continue
-        for i in range(len(b)):
-            whole = data[offsets[i] : offsets[i + 1]]
-            for at in range(0, max(len(whole) - length, 0) + 1, size):
-                part = whole[at : at + size + length - 1]
-                yield b, part, np.array([0, len(part)]), np.array([at]), np.array([i])
+def word_samples(data: np.ndarray, offsets: np.ndarray, length: int = PASSAGE, gram: int = WORD_GRAM, size: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number of the sample's first word, key) of sampled runs of words."""
+    w = Words(data, offsets)
+    d, pos, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at in range(0, len(w.hash), size):
+        upto = min(at + size + length - 1, len(w.hash))
+        doc, pick, _, _ = picked(w.hash[at:upto], np.clip(w.first, at, upto) - at, length, gram)
+        d.append(doc[pick])
+        pos.append(pick + at - w.first[doc[pick]])
+        key.append(tagged(chained(w.hash, pick + at, gram), WORDS))
+    return np.concatenate(d), np.concatenate(pos), np.concatenate(key)
+
+
+def parts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, size: int = PART):
+    """(bytes, offsets, start in the text, texts) below the sampling bound: all together, or a long text's parts, each string of `length` bytes in one of them."""
+    if len(data) < size:
+        yield data, offsets, 0, np.arange(len(offsets) - 1)
+        return
+    for i in range(len(offsets) - 1):
+        whole = data[offsets[i] : offsets[i + 1]]
+        for at in range(0, max(len(whole) - length, 0) + 1, size):
+            part = whole[at : at + size + length - 1]
+            yield part, np.array([0, len(part)]), at, np.array([i])
 
 
 def digest(text: str):
@@ -258,33 +287,43 @@ def digest(text: str):
 
 
 def covered(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, size: int = PART) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): texts (node, copies, n_bytes), and spans (node, start, end) of covered bytes of texts that stand once."""
+    """(texts, spans): texts (node, copies, n_bytes), and spans (node, start, end) of covered bytes of texts that stand once. A span from -1 marks a text with a passage of others."""
     rows = docs.select(digest(text).alias("node"), F.col(text).alias("text"))
     need = length - gram
+    row = "node binary, base long, at array<struct<pos:long,h:long,end:long>>"
+
+    def listed(b: pa.RecordBatch, texts: np.ndarray, base: int, doc, pos, h, end) -> pa.RecordBatch:
+        order = np.argsort(doc, kind="stable")
+        doc, pos, end = doc[order], pos[order], end[order]
+        one = pa.StructArray.from_arrays([pa.array(pos), pa.array(h[order].view(np.int64)), pa.array(end)], ["pos", "h", "end"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32()), one)
+        return pa.RecordBatch.from_arrays([b.column("node").take(pa.array(texts)), pa.array(np.full(len(texts), base)), lists], ["node", "base", "at"])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: set[tuple[int, int]] = set()  # samples of the part before that the next part may have too
-        for b, data, offsets, base, row in long_pieces(batches, "text", length, size):
-            doc, pos, h, end = samples(data, offsets, length, gram)
-            if base[0]:
-                new = np.array([e > 0 or (p, x) not in before for p, x, e in zip((pos + base[0]).tolist(), h.tolist(), end.tolist(), strict=True)], bool)
-                doc, pos, h, end = doc[new], pos[new], h[new], end[new]
-            late = (end == 0) & (pos >= size)
-            before = set(zip((pos[late] + base[0]).tolist(), h[late].tolist(), strict=True)) if len(row) == 1 else set()
-            order = np.argsort(doc, kind="stable")
-            doc, pos, end = doc[order], pos[order] + base[doc[order]], end[order]
-            end = np.where(end > 0, end + base[doc], 0)
-            one = pa.StructArray.from_arrays([pa.array(pos), pa.array(h.view(np.int64)[order]), pa.array(end)], ["pos", "h", "end"])
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(row) + 1)), pa.int32()), one)
-            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(row)), pa.array(base), lists], ["node", "base", "at"])
+        for b in pieces(batches, "text"):
+            data, offsets = utf8(b.column("text"))
+            doc, pos, h = word_samples(data, offsets, size=size)
+            yield listed(b, np.arange(len(b)), -1, doc, pos, h, np.zeros(len(doc), np.int64))
+            before: set[tuple[int, int]] = set()  # samples of the part before that this part may have too
+            for part, offs, base, row in parts(data, offsets, length, size):
+                doc, pos, h, end = samples(part, offs, length, gram)
+                if base:
+                    new = np.array([e > 0 or (p, x) not in before for p, x, e in zip((pos + base).tolist(), h.tolist(), end.tolist(), strict=True)], bool)
+                    doc, pos, h, end = doc[new], pos[new], h[new], end[new]
+                late = (end == 0) & (pos >= size)
+                before = set(zip((pos[late] + base).tolist(), h[late].tolist(), strict=True)) if len(row) == 1 else set()
+                yield listed(b, row, base, doc, pos + base, h, np.where(end > 0, end + base, 0))
 
     texts = saved(rows.select("node", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).groupBy("node").agg(F.count("*").alias("copies"), F.first("n").alias("n_bytes")), "suffix-texts")
-    lists = rows.filter(F.octet_length("text") >= length).mapInArrow(sample, "node binary, base long, at array<struct<pos:long,h:long,end:long>>")
-    every = saved(lists.dropDuplicates(["node", "base"]), "suffix-samples").select("node", F.inline("at"))
-    own = every.filter("end > 0").select("node", F.col("pos").alias("start"), "end")
+    lists = rows.filter(F.octet_length("text") >= min(length, 2 * PASSAGE - 1)).mapInArrow(sample, row).filter(F.size("at") > 0)
+    kept = saved(lists.dropDuplicates(["node", "base"]), "suffix-samples")
+    every = kept.select("node", F.inline("at"))
     found = every.filter("end = 0").drop("end")
     shared = found.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     wanted = found.join(shared, "h").groupBy("node").agg(F.collect_list(F.struct("pos", "h", "c")).alias("at"))
+    wanted = saved(wanted, "suffix-wanted")
+    own = saved(every.filter("end > 0").select("node", F.col("pos").alias("start"), "end"), "suffix-own")
+    drop_saved(docs.sparkSession, kept)
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -293,12 +332,24 @@ def covered(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
             at = b.column("at")
             flat = at.flatten()
             first = np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy())])
-            pos = flat.field("pos").to_numpy() + np.repeat(offsets[:-1], np.diff(first))
-            lo, hi = np.repeat(offsets[:-1], np.diff(first)), np.repeat(offsets[1:], np.diff(first))
-            left = [raw[max(a, p - need) : p] for p, a in zip(pos.tolist(), lo.tolist(), strict=True)]
-            right = [raw[p + gram : min(e, p + gram + need)] for p, e in zip(pos.tolist(), hi.tolist(), strict=True)]
-            node = b.column("node").take(pa.array(np.repeat(np.arange(len(b)), np.diff(first))))
-            for s in range(0, len(pos), 4096):
+            doc = np.repeat(np.arange(len(b)), np.diff(first))
+            here, h = flat.field("pos").to_numpy(), flat.field("h").to_numpy()
+            by_words = h & 3 == WORDS
+            left: list[bytes] = [b""] * len(h)
+            right: list[bytes] = [b""] * len(h)
+            i = np.flatnonzero(~by_words)
+            for k, p, lo, hi in zip(i.tolist(), (here[i] + offsets[doc[i]]).tolist(), offsets[doc[i]].tolist(), offsets[doc[i] + 1].tolist(), strict=True):
+                left[k] = raw[max(lo, p - need) : p]
+                right[k] = xxhash.xxh64_digest(raw[p : p + gram]) + raw[p + gram : min(hi, p + gram + need)]  # a second hash of the sample must agree
+            i = np.flatnonzero(by_words)
+            if len(i):
+                w = Words(data, offsets)
+                short, rest = (w.hash >> np.uint64(32)).astype(np.uint32), PASSAGE - WORD_GRAM
+                for k, p, lo, hi in zip(i.tolist(), (here[i] + w.first[doc[i]]).tolist(), w.first[doc[i]].tolist(), w.first[doc[i] + 1].tolist(), strict=True):
+                    left[k] = short[max(lo, p - rest) : p].tobytes()
+                    right[k] = short[p + WORD_GRAM : min(hi, p + WORD_GRAM + rest)].tobytes()
+            node = b.column("node").take(pa.array(doc))
+            for s in range(0, len(h), 4096):
                 e = slice(s, s + 4096)
                 yield pa.RecordBatch.from_arrays([node[e], flat.field("pos")[e], flat.field("h")[e], flat.field("c")[e], pa.array(left[e], pa.binary()), pa.array(right[e], pa.binary())], ["node", "pos", "h", "c", "left", "right"])
 
@@ -317,6 +368,21 @@ def _one_each(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.first("text").alias("text"))
 
 
+def passages(node: list[bytes], left: list[bytes], right: list[bytes], size: int = 4 * (PASSAGE - WORD_GRAM)) -> list[int]:
+    """Members of a bucket, one of each text, that share PASSAGE words around the sample with another text. left and right: 4 bytes of each word's hash."""
+    first: dict[bytes, int] = {}
+    names = [first.setdefault(n, i) for i, n in enumerate(node)]
+    out: set[int] = set()
+    for l in range(0, size + 1, 4):  # equal runs hold the sample at the same place
+        owner: dict[bytes, int] = {}  # text of each run, or -1 for several
+        runs = [(name, a[len(a) - l :] + b[: size - l]) for name, a, b in zip(names, left, right, strict=True) if len(a) >= l and len(b) >= size - l]
+        for name, r in runs:
+            if owner.setdefault(r, name) != name:
+                owner[r] = -1
+        out.update(name for name, r in runs if owner[r] < 0)
+    return sorted(out)
+
+
 def bucket_spans(batches: Iterator[pa.RecordBatch], need: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Spans from rows sorted by bucket; a bucket may straddle batches."""
     rest: list[pa.RecordBatch] = []
@@ -325,16 +391,22 @@ def bucket_spans(batches: Iterator[pa.RecordBatch], need: int, gram: int) -> Ite
         t = pa.Table.from_batches(rest)
         ids = [t[c].to_numpy() for c in ("h", "p", "q")]
         cut = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in ids], 0)])).tolist() + [len(t)]
-        left, right, pos = [x[::-1] for x in t["left"].to_pylist()], t["right"].to_pylist(), t["pos"].to_pylist()
+        left, right, pos, node = t["left"].to_pylist(), t["right"].to_pylist(), t["pos"].to_pylist(), t["node"].to_pylist()
         who, start, end = [], [], []
         for a, b in zip(cut, cut[1:], strict=False):
             if b - a < 2:
                 continue
-            for i, pairs in enumerate(bucket_cover(left[a:b], right[a:b], need), a):
-                if pairs:  # all of them hold the sample, so their union is one span
+            if ids[0][a] & 3 == WORDS:
+                marked = passages(node[a:b], left[a:b], right[a:b])
+                who += [i + a for i in marked]
+                start += [-1] * len(marked)
+                end += [-1] * len(marked)
+                continue
+            for i, pairs in enumerate(bucket_cover([x[::-1] for x in left[a:b]], right[a:b], need + 8), a):
+                if pairs:  # all of them hold the sample, so their union is one span; 8 bytes of the common right part are the sample's hash
                     who.append(i)
                     start.append(pos[i] - max(l for l, _ in pairs))
-                    end.append(pos[i] + gram + max(r for _, r in pairs))
+                    end.append(pos[i] + gram + max(r for _, r in pairs) - 8)
         return pa.RecordBatch.from_arrays([t["node"].combine_chunks().take(pa.array(who, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["node", "start", "end"])
 
     for batch in batches:
@@ -370,7 +442,7 @@ def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, size: int = PART) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage_elsewhere) of each row; the last: it holds more than PASSAGE - 1 words in a row that another row holds too."""
     texts, spans = covered(docs, text, length, size=size)
     rows = docs.select(digest(text).alias("node"), F.col(text).alias("text"))
     single = spans.join(texts.filter("copies > 1").select("node"), "node", "left_anti")
@@ -381,13 +453,13 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
             data, offsets = utf8(b.column("text"))
             out = []
             for i, s in enumerate(b.column("spans").to_pylist()):
-                kept, gone, runs = cut_out(data[offsets[i] : offsets[i + 1]].tobytes(), [(x["start"], x["end"]) for x in s])
-                out.append((gone, runs, hashlib.sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([b.column("node"), *[pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string()))]], ["node", "n_removed", "n_spans", "sha"])
+                kept, gone, runs = cut_out(data[offsets[i] : offsets[i + 1]].tobytes(), [(x["start"], x["end"]) for x in s if x["start"] >= 0])
+                out.append((gone, runs, hashlib.sha256(kept).hexdigest(), any(x["start"] < 0 for x in s)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), *[pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.bool_()))]], ["node", "n_removed", "n_spans", "sha", "marked"])
 
     # the same one row of each text as in covered(), so that Spark moves texts once
-    done = lists.join(_one_each(rows), "node").select("node", "spans", "text").mapInArrow(apply, "node binary, n_removed long, n_spans long, sha string")
-    all_rows = docs.select(F.col(key).alias("doc_id"), digest(text).alias("node"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("whole"))
+    done = lists.join(_one_each(rows), "node").select("node", "spans", "text").mapInArrow(apply, "node binary, n_removed long, n_spans long, sha string, marked boolean")
+    all_rows = docs.select(F.col(key).alias("doc_id"), digest(text).alias("node"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("whole"), F.coalesce(F.col(text).rlike(LONG_TEXT), F.lit(False)).alias("long"))
     out = all_rows.join(texts.select("node", "copies"), "node").join(done, "node", "left")
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return out.select(
@@ -396,6 +468,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256"),
+        F.when(F.col("copies") > 1, F.col("long")).otherwise(F.coalesce("marked", F.lit(False))).alias("passage_elsewhere"),
     )
 
 

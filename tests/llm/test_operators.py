@@ -403,19 +403,35 @@ def test_warc_files_and_resolution(spark, tmp_path):
 
 
 def brute_suffix(texts):
+    import re
+
     raws = [(t or "").encode() for t in texts]
     seen = collections.Counter(r[i : i + 400] for r in raws for i in range(len(r) - 399))
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    runs = [{tuple(w[i : i + 51]) for i in range(len(w) - 50)} for w in words]
+    held = collections.Counter(x for r in runs for x in r)
     out = []
     for d, r in enumerate(raws):
         gone = set()
         for i in range(len(r) - 399):
             if seen[r[i : i + 400]] > 1:
                 gone.update(range(i, i + 400))
-        runs = sum(1 for i in gone if i - 1 not in gone)
-        out.append((d, len(r), len(gone), runs, hashlib.sha256(bytes(b for i, b in enumerate(r) if i not in gone)).hexdigest()))
+        spans = sum(1 for i in gone if i - 1 not in gone)
+        out.append((d, len(r), len(gone), spans, hashlib.sha256(bytes(b for i, b in enumerate(r) if i not in gone)).hexdigest(), any(held[x] > 1 for x in runs[d])))
     return sorted(out, key=repr)
 
 
+def test_suffix_passages_by_words(frame, prose):
+    """More than 50 words that other documents hold too are marked, also where they have fewer than 400 bytes."""
+    r = random.Random(3)
+    short = " ".join(r.choice(["a", "bc", "d", "efg", "h"]) for _ in range(200))
+    texts = [f"{prose(i, 40)} {' '.join(short.split()[i * 3 : i * 3 + n])}\n{prose(90 + i, 40)}" for i, n in enumerate((49, 50, 51, 52, 53, 60, 55, 54))]
+    one = " ".join(short.split()[120:175])
+    texts += [f"{one} {prose(200, 30)} {one}", "the " * 60, "the " * 80 + "x", "the " * 50 + "y", " ".join(short.split()[:51]).replace(" ", " \t "), short[:90], None]
+    got = rows_of(suffix_dedup.op10(frame(texts)))
+    assert got == brute_suffix(texts) and 4 < sum(x[5] for x in got) < 12
+
+
 def test_suffix_dedup(frame, prose):
     shared = prose(7, 120)
     texts = [*ODD, *[f"{prose(i, 30)} {shared[i * 9 : 450 + i * 13]} {prose(50 + i, 30)}" for i in range(14)], prose(3, 200), prose(3, 200), "ab" * 600, "z" * 401, "é" * 210]
