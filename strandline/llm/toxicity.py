@@ -9,7 +9,8 @@ carry the label, so each epoch trains on the window of each text that scores hig
 their word or n-gram in the sample.
 
 Defined cases: null and empty texts are one window without words and get the score of the output bias; equal texts get equal scores; rows
-may repeat; without labels of both classes every score is 0.
+may repeat; a null id counts as empty text in the fold, so it is never held out, and never trains; without labels of both classes every score is 0; an empty
+table gives an empty result; clashing columns don't matter.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from strandline.llm.common import Words, byte_hash, pieces, utf8
 
 TRAIN_ROWS, TRAIN_BYTES = 400, 40_000  # rows that carry the label; three times as many that don't
 BUCKETS, DIM, HID, ATT = 1 << 14, 8, 6, 6
-WIDTH, STRIDE = 64, 56
+WIDTH, STRIDE = 64, 32  # a run of 33 words or fewer lies inside one window
 THRESHOLD = 0.7
 DECAY = 2e-5
 STEPS = 100  # at least, however small the sample
@@ -339,7 +340,7 @@ def _adam(p: np.ndarray, m: list[np.ndarray], grad, lr: float, step: int) -> Non
 
 def fold_of(key: str):
     """crc32 of the id as text, mod 3; remainder 1 is held out."""
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3))
+    return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Net | None:
