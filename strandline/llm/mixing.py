@@ -5,12 +5,14 @@
    so long texts stay soft.
 2. Rates r >= 0 of documents are fitted by least squares: the expected tokens of domain d, sum over documents of r * tokens * p_d, should
    meet the target share of all tokens. Projected gradient from r = 1, preconditioned by the domains' Gram matrix; an iteration is one
-   aggregation to (number of domains) sums, which is all that reaches the driver. It ends when the largest miss is below TOLERANCE of all
-   tokens, or after ROUNDS.
+   aggregation to (number of domains) sums, which is all that reaches the driver. A step that doesn't lower the squared miss is halved; where
+   bounds stop preconditioned steps, plain ones follow. It ends when the largest miss is below TOLERANCE of all tokens, or when steps lower the
+   squared miss by less than FLAT of it: then no nonnegative rates meet the targets, and these miss them least. If ROUNDS don't reach either, it
+   raises an error.
 
 Defined cases: null and empty texts have no tokens, get the prior's posteriors, and any rate fits them; a domain without labelled rows takes no
-part, and the targets of the others are scaled up to 1; without labelled rows all rates are 1; rows with one id count as one document; an
-empty table gives an empty result; clashing columns are renamed inside.
+part, and the targets of the others are scaled up to 1; without labelled rows all rates are 1; rows with one id count as one document, null ids
+too; texts of any length count whole; an empty table gives an empty result; clashing columns don't matter, as only key and text are read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import saved
 
-BUCKETS, SAMPLE, EVIDENCE, ROUNDS, TOLERANCE = 1 << 16, 1000, 64, 60, 1e-4
+BUCKETS, SAMPLE, EVIDENCE, ROUNDS, TOLERANCE, FLAT = 1 << 16, 1000, 64, 200, 1e-4, 1e-5
 #: Domains of the labels table and their target shares of all tokens.
 TARGETS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
 
@@ -93,23 +95,42 @@ def fit_rates(rows: DataFrame, shares: list[float], rounds: int = ROUNDS, tolera
     p = [F.col("p")[i] for i in range(d)]
     w = F.col("tokens").cast("double")
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    current = rows.withColumn("rate", F.lit(1.0))
-    for k in range(rounds):
+    along = lambda y: sum((F.lit(float(v)) * x for v, x in zip(y, p, strict=True)), F.lit(0.0))
+    current, best, size, steps, plain, flat = rows.withColumn("rate", F.lit(1.0)), math.inf, 1.0, 0, False, 0
+    step = miss = spread = None
+    for _ in range(rounds):
+        tried = current
+        if step is not None:
+            down = along(miss) if plain else along(step)
+            # a rate at zero grows only if that lowers the miss; so each direction does
+            move = F.when((F.col("rate") > 0) | (along(miss) < 0), F.lit(size / spread if plain else size) * down).otherwise(0.0)
+            tried = current.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move))
         live = F.when(F.col("rate") > 0, w).otherwise(0.0)
-        got = current.agg(F.sum(w).alias("n"), *[F.sum(F.col("rate") * w * p[i]).alias(f"a{i}") for i in range(d)], *[F.sum(live * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
+        got = tried.agg(F.sum(w).alias("n"), *[F.sum(F.col("rate") * w * p[i]).alias(f"a{i}") for i in range(d)], *[F.sum(live * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs], *[F.sum(w * p[i] * p[i]).alias(f"d{i}") for i in range(d)]).first()
         total = got["n"] or 0.0
         if not total:
-            break
-        miss = [(got[f"a{i}"] - shares[i] * total) / total for i in range(d)]
-        if max(map(abs, miss)) < tolerance:
-            break
+            return current
+        now = [(got[f"a{i}"] - shares[i] * total) / total for i in range(d)]
+        square = sum(x * x for x in now)
+        if square >= best:
+            size /= 2
+            if not plain and size < 1 / 16:
+                plain, size = True, 1.0
+            elif size < 1e-6:
+                return current
+            continue
+        flat = flat + 1 if square > best * (1 - FLAT) else 0
+        current, best, miss, steps = tried, square, now, steps + 1
+        size = 2 * size if plain else min(1.0, 2 * size)
+        if max(map(abs, miss)) < tolerance or plain and flat >= 3:
+            return current
+        if flat >= 3:
+            plain, size, flat = True, 1.0, 0
         gram = [[got[f"g{min(i, j)}_{max(i, j)}"] / total + (1e-6 if i == j else 0.0) for j in range(d)] for i in range(d)]
-        y = solve(gram, miss)
-        step = sum((F.lit(float(y[i])) * p[i] for i in range(d)), F.lit(0.0))
-        current = current.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - step))
-        if k % 6 == 5:  # the expression stays short
+        step, spread = solve(gram, miss), sum(got[f"d{i}"] for i in range(d)) / total
+        if steps % 6 == 0:  # the expression stays short
             current = saved(current, "mix-rates")
-    return current
+    raise RuntimeError(f"rates miss the targets by {math.sqrt(best):.2g} after {rounds} rounds")
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
