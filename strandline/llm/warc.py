@@ -1,14 +1,16 @@
 """Not-modified revisits of web captures: the full response that a 304 stands for, found by an as-of join.
 
 Records are rows (record_id, uri, date, kind response or revisit, status, headers, body). A revisit takes the latest response with status
-200 of the same canonical URL that is not later than it. The join never gathers a URL: time is cut into spans, the
-last response of each (URL, span) is one map-side combined aggregate, a window carries it over the spans of a URL (at most SPANS rows), and
-only rows of one URL and span are ordered together. Validators must agree: the entity tag if the revisit has one (compared weakly), else
+200 of the same canonical URL that is not later than it. The join never gathers a URL: records of one moment are combined first, time is cut into
+spans, the last response of each (URL, span) is one map-side combined aggregate, a window carries it over the spans of a URL (at most SPANS
+rows), and only distinct moments of one URL and span are ordered together. Validators must agree: the entity tag if the revisit has one (compared weakly), else
 its Last-Modified; a revisit without validators is taken on trust. The merged headers are the response's, updated by those that a 304 may
 carry. Bodies move once, joined by record id.
 
 Defined cases: null URLs, dates and headers resolve nothing; a response of the same moment counts as earlier, and of several the one with the largest record id; a
-revisit earlier than all responses is an orphan; repeated records resolve alike.
+revisit earlier than all responses is an orphan; records with one id are one record (the least by date, kind, status, URL and headers), so repeated
+rows change nothing; a response without id can't be referred to and answers nothing, revisits without id stay rows of their own; empty tables
+give empty results; bodies of any length are only moved; clashing columns don't matter.
 """
 
 from __future__ import annotations
@@ -42,23 +44,32 @@ def weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def distinct_records(records: DataFrame) -> DataFrame:
+    """One row of each record id; rows without one stay. Bodies aren't read."""
+    columns = ["uri", "date", "kind", "status", "headers"]
+    order = F.struct("date", "kind", "status", "uri", header_text(F.col("headers")).alias("h"))
+    known = records.filter(F.col("record_id").isNotNull()).groupBy("record_id").agg(F.min_by(F.struct(*columns), order).alias("r")).select("record_id", *[F.col("r")[c].alias(c) for c in columns])
+    return known.unionByName(records.filter(F.col("record_id").isNull()).select("record_id", *columns))
+
+
 def resolved(records: DataFrame) -> DataFrame:
     """One row per revisit: record_id, canonical_url, response_id, outcome (resolved, trusted, mismatch, orphan), headers."""
-    r = records.select("record_id", canonical(F.col("uri")).alias("u"), F.unix_micros(F.col("date").cast("timestamp")).alias("t"), "kind", "status", "headers")
+    r = distinct_records(records).select("record_id", canonical(F.col("uri")).alias("u"), F.unix_micros(F.col("date").cast("timestamp")).alias("t"), "kind", "status", "headers")
     ends = r.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
     a, width = ends["a"] or 0, max(((ends["b"] or 0) - (ends["a"] or 0)) // SPANS + 1, 1)
-    full = (F.col("kind") == "response") & (F.col("status") == 200)
+    full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull()
     rows = r.filter(full | (F.col("kind") == "revisit")).filter(F.col("u").isNotNull() & F.col("t").isNotNull())
     rows = rows.withColumn("span", F.floor((F.col("t") - F.lit(a)) / F.lit(width)).cast("int"))
-    key = F.when(full, F.struct("t", "record_id"))
-    last = rows.filter(full).groupBy("u", "span").agg(F.max(F.struct("t", "record_id")).alias("last"))
-    asked = rows.filter(F.col("kind") == "revisit").select("u", "span").distinct()
-    both = asked.join(last, ["u", "span"], "full")
+    moments = rows.groupBy("u", "span", "t").agg(F.max(F.when(full, F.col("record_id"))).alias("rid"), F.max(F.col("kind") == "revisit").alias("asked"))
+    answer = F.when(F.col("rid").isNotNull(), F.struct("t", F.col("rid").alias("record_id")))
+    last = moments.filter("rid is not null or asked").groupBy("u", "span").agg(F.max(answer).alias("last"))
     before = Window.partitionBy("u").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = both.withColumn("earlier", F.max("last").over(before)).select("u", "span", "earlier")
-    inside = Window.partitionBy("u", "span").orderBy("t", F.when(full, 0).otherwise(1), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = rows.select("record_id", "u", "t", "span", "kind", "status", F.col("headers").alias("h"), F.max(key).over(inside).alias("near")).filter(F.col("kind") == "revisit")
-    found = near.join(earlier, ["u", "span"], "left").withColumn("pick", F.coalesce("near", "earlier"))
+    earlier = last.withColumn("earlier", F.max("last").over(before)).select("u", "span", "earlier")
+    inside = Window.partitionBy("u", "span").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = moments.withColumn("near", F.max(answer).over(inside)).filter("asked")
+    picks = near.join(earlier, ["u", "span"], "left").select("u", "t", F.coalesce("near", "earlier").alias("pick"))
+    revisits = rows.filter(F.col("kind") == "revisit").select("record_id", "u", "t", F.col("headers").alias("h"))
+    found = revisits.join(picks, ["u", "t"], "left")
     responses = rows.filter(full).select(F.col("record_id").alias("response_id"), F.col("headers").alias("rh"))
     out = found.withColumn("response_id", F.col("pick.record_id")).join(responses, "response_id", "left")
     etag, rtag = weak(F.col("h")["etag"]), weak(F.col("rh")["etag"])
@@ -85,7 +96,8 @@ def header_text(headers: Column) -> Column:
 
 def with_bodies(found: DataFrame, records: DataFrame) -> DataFrame:
     """Resolved revisits with the body of their response."""
-    return found.join(records.select(F.col("record_id").alias("response_id"), "body"), "response_id", "left")
+    bodies = records.filter(F.col("record_id").isNotNull()).groupBy(F.col("record_id").alias("response_id")).agg(F.min("body").alias("body"))
+    return found.join(bodies, "response_id", "left")
 
 
 # ---- files ---------------------------------------------------------------------------------------------------
@@ -170,7 +182,8 @@ def captures(pages: DataFrame) -> DataFrame:
 def op9(pages: DataFrame) -> DataFrame:
     """Revisits of the pages table with their merged headers and the digest of the body they stand for."""
     records = captures(pages)
-    bodies = pages.select((F.col("page_id") * 2).alias("response_id"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("body_sha256"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("n_bytes"))
+    bodies = pages.select((F.col("page_id") * 2).alias("response_id"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("body_sha256"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("n_bytes")).filter("response_id is not null")
+    bodies = bodies.groupBy("response_id").agg(F.min(F.struct("body_sha256", "n_bytes")).alias("b")).select("response_id", "b.*")
     found = resolved(records).join(bodies, "response_id", "left")
     return found.select("record_id", "canonical_url", "response_id", "outcome", header_text(F.col("headers")).alias("headers"), "body_sha256", "n_bytes")
 

@@ -213,6 +213,28 @@ def test_toxicity(spark, prose):
     assert {x["score"] for x in toxicity.op4(docs, lab.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_passages_on_window_borders(prose):
+    """A short toxic passage is found wherever it stands in a long text."""
+    r = random.Random(5)
+    bad = lambda: " ".join(r.choice(["grumfzen", "grumfzig", "blarkch"]) for _ in range(5))
+    texts = [f"{prose(i, 40)} {bad()} {prose(900 + i, 40)}" if i % 3 == 0 else prose(i, 80) for i in range(300)]
+    net = toxicity.train(texts, np.array([float(i % 3 == 0) for i in range(300)], np.float32))
+    long = [f"{prose(5000 + i, 300 + i)} {bad()} {prose(6000 + i, 300)}" for i in range(0, 64, 2)] + [prose(7000 + i, 640) for i in range(32)]
+    got = net.score(*utf8(pa.array(long))) >= toxicity.THRESHOLD
+    assert got[:32].mean() > 0.95 and got[32:].mean() < 0.05
+
+
+def test_toxicity_cases(spark, prose):
+    """Repeated rows, null ids, columns of any name and an empty table."""
+    rows = [(i if i % 10 else None, prose(i, 30) + (" grumfz" * 3 if i % 2 else ""), i) for i in range(120)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(120)] * 2 + [(None, 1, 1)], "doc_id long, toxic int, text int")
+    out = toxicity.op4(docs, labels)
+    got = out.collect()
+    assert len(got) == 240 and all(x["held_out"] is not None and 0 <= x["score"] <= 1 for x in got) and not any(x["held_out"] for x in got if x["doc_id"] is None)
+    assert toxicity.op4(docs.limit(0), labels).count() == 0
+
+
 def test_toxicity_gradients(prose):
     net = toxicity.Net.new()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -286,6 +308,28 @@ def test_mixing(spark, prose):
         r = np.maximum(0, r - 0.5 * p @ ((r * n) @ p / n.sum() - t))
     assert np.allclose((r * n) @ p / n.sum(), have, atol=1e-3)
     assert set(mixing.mixed(docs, labelled.limit(0), mixing.TARGETS).toPandas().rate) == {1.0}
+    assert mixing.mixed(docs.limit(0), labelled, mixing.TARGETS).count() == 0
+    # repeated rows and columns of any name change nothing; a null id is one more document, and one may be very long
+    odd = docs.unionByName(docs).withColumns({c: F.lit(7) for c in ("tokens", "rate", "p", "e", "bucket", "domain")})
+    same = mixing.mixed(docs, labelled, mixing.TARGETS).toPandas().set_index("doc_id").sort_index()
+    rep = mixing.mixed(odd, labelled, mixing.TARGETS).toPandas().set_index("doc_id").sort_index()
+    assert (rep.n_tokens == 2 * same.n_tokens).all() and np.allclose(rep.rate, same.rate, atol=1e-2)
+    more = docs.unionByName(spark.createDataFrame([(None, "alpha " + prose(5, 10)), (999, "zip " * 100_000)], docs.schema))
+    assert mixing.mixed(more, labelled, mixing.TARGETS).count() == 304
+
+
+def test_mixing_targets_out_of_reach(spark):
+    """All documents have one domain: no rates meet both targets; the fit that misses least comes back. Too few rounds raise."""
+    rows = spark.createDataFrame([(i, 10, [0.9, 0.1] if i % 2 else [0.8, 0.2]) for i in range(20)], "_id long, tokens long, p array<double>")
+    got = mixing.fit_rates(rows, [0.1, 0.9]).toPandas()
+    p = np.array(got.p.tolist())
+    miss = (got.rate.to_numpy()[:, None] * p).sum(0) / 20 - [0.1, 0.9]
+    r = np.ones(20)
+    for _ in range(50000):
+        r = np.maximum(0, r - 0.5 * p @ ((r @ p) / 20 - [0.1, 0.9]))
+    assert np.abs(miss).max() > 0.1 and (miss**2).sum() <= (((r @ p) / 20 - [0.1, 0.9]) ** 2).sum() * 1.01
+    with pytest.raises(RuntimeError, match="rounds"):
+        mixing.fit_rates(rows, [0.1, 0.9], rounds=2)
 
 
 def test_decontamination(spark, prose):
@@ -400,6 +444,30 @@ def test_warc_files_and_resolution(spark, tmp_path):
     assert {k: (v["outcome"], v["response_id"]) for k, v in got.items()} == {"v1": ("resolved", "r1"), "v2": ("mismatch", None), "v3": ("resolved", "r2"), "v4": ("orphan", None), "v5": ("orphan", None), "v6": ("trusted", "r2")}
     assert got["v1"]["headers"] == {"etag": 'W/"x"', "content-type": "text/html", "cache-control": "new"} and bytes(got["v1"]["body"]) == b"one"
     assert warc.resolved(records.limit(0)).count() == 0
+    clash = records.unionByName(records).withColumns({"u": F.lit("x"), "t": F.lit(1), "span": F.lit(2), "rid": F.lit("r")})
+    again = {r["record_id"]: r for r in warc.with_bodies(warc.resolved(clash), clash).collect()}
+    assert again == got and warc.resolved(clash).count() == len(got)  # repeated records and clashing columns change nothing
+    without = records.withColumn("record_id", F.when(F.col("record_id") != "r2", F.col("record_id")))
+    more = {r["record_id"]: r["response_id"] for r in warc.resolved(without.unionByName(without)).collect()}
+    assert more["v3"] is None and more["v6"] == "r1"
+
+
+def test_warc_against_a_scan(spark):
+    """Many captures of few URLs, also at equal moments, against the latest earlier response by scanning."""
+    r = random.Random(8)
+    rows = []
+    for i in range(600):
+        u, t = f"http://h.example/{r.randint(0, 4)}", r.randint(0, 200)
+        kind = r.choice(["response", "revisit", "revisit", "other"])
+        rows.append((f"{i:04}", r.choice([u, u, None]), t if r.random() > 0.05 else None, kind, r.choice([200, 200, 404]) if kind == "response" else 304))
+    df = spark.createDataFrame(rows, "record_id string, uri string, t long, kind string, status int").withColumns({"date": F.timestamp_seconds("t"), "headers": F.create_map().cast("map<string,string>"), "body": F.lit(None).cast("binary")})
+    got = {x["record_id"]: x["response_id"] for x in warc.resolved(df.unionByName(df.limit(100))).collect()}
+    want = {}
+    for i, u, t, k, _ in rows:
+        if k == "revisit":
+            before = [(t2, j) for j, u2, t2, k2, s in rows if k2 == "response" and s == 200 and u2 == u and u and t is not None and t2 is not None and t2 <= t]
+            want[i] = max(before)[1] if before else None
+    assert got == want
 
 
 def brute_suffix(texts):
