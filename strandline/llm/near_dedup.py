@@ -8,7 +8,7 @@ text order, so a key is shared by texts that hold the same shingles in the same
 Equal texts are one node from the start. Nodes that share a key are a bucket; inside it a histogram of words bounds the aligned share from
 above, and each node is linked to its nearest earlier node that passes the bound, never to all. Links are verified by banded alignment of
 the words (bit-parallel, in a band as wide as the threshold allows). Verified links are contracted to classes by alternating stars. Buckets
-that hold several classes and more pairs that pass the bound go round again with more of the nearest pairs each, until no untested pair
+that hold several classes go round again: now the nearest pair of each two classes is tested, then more of them, until no untested pair
 across classes passes: so no link inside a bucket is lost, and a group of n copies costs about n comparisons. A bucket beyond BLOCK nodes is first
 cut into blocks, in other ways for each key, so that one group of copies joins up; only if several classes are left in it does each
 node outside its largest class meet all blocks.
@@ -122,23 +122,52 @@ def passing(n1: np.ndarray, n2, h1: np.ndarray, h2: np.ndarray, similarity: floa
     return (n1 + n2 - gap) / 2 >= similarity * np.maximum(n1, n2) - 1e-9, gap
 
 
-def group_links(n, own, comp, hist, take: int, similarity: float) -> tuple[list[int], list[int], bool]:
-    """Of one bucket or block: for each node up to `take` nearest others in other classes that pass the bound, and whether there were more. One of a pair must be the block's own."""
+def group_links(n, own, comp, hist, take: int, similarity: float, less: list[frozenset] | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (a, b) of one bucket or block that pass the bound, of different classes, and whether there were more. less None: each node is a class,
+    and up to `take` nearest earlier nodes of each are taken; else up to `take` nearest pairs of each two classes, without pairs that meet in a
+    bucket of lesser key: less has these keys of each node. One of a pair must be the block's own."""
     order = np.argsort(n, kind="stable")
-    n, own, comp, hist = n[order], own[order], comp[order], hist[order].astype(np.int16)
-    a, b, more = [], [], False
+    single = less is None
+    n, own, hist = n[order], own[order], hist[order].astype(np.int16)
+    _, kind = np.unique(comp[order], axis=0, return_inverse=True)
+    kind = kind.ravel()
+    found: list[np.ndarray] = []
+    more = False
     low = np.searchsorted(n, np.ceil(similarity * n - 1e-9).astype(np.int64))
     for i in range(1, len(n)):
         j = slice(low[i], i)
-        ok, gap = passing(n[j], n[i], hist[j], hist[i], similarity)
-        ok &= (comp[j] != comp[i]).any(1) & (own[j] | own[i])
-        at = np.flatnonzero(ok)
-        if len(at) > take:
-            at = at[np.argsort(gap[at], kind="stable")[:take]]
-            more = True
-        a += order[[i] * len(at)].tolist()
-        b += order[at + low[i]].tolist()
-    return a, b, more
+        ok = (kind[j] != kind[i]) & (own[j] | own[i])
+        at = np.flatnonzero(ok) + low[i]
+        if not len(at):
+            continue
+        ok, gap = passing(n[at], n[i], hist[at], hist[i], similarity)
+        at, gap = at[ok], gap[ok]
+        if less and len(at) and (mine := less[order[i]]):
+            first = np.array([mine.isdisjoint(less[j]) for j in order[at].tolist()], bool)
+            at, gap = at[first], gap[first]
+        of = np.zeros(len(at), np.int64) if single else kind[at]
+        keep = _nearest(of, gap, take)
+        more |= len(keep) < len(at)
+        at, gap = at[keep], gap[keep]
+        found.append(np.stack([np.full(len(at), i), at, gap, np.minimum(kind[at], kind[i]), np.maximum(kind[at], kind[i])]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    i, at, gap, x, y = np.concatenate(found, 1)
+    if not single:
+        keep = _nearest(x * len(n) + y, gap, take)
+        more |= len(keep) < len(i)
+        i, at = i[keep], at[keep]
+    return order[i], order[at], more
+
+
+def _nearest(group: np.ndarray, gap: np.ndarray, take: int) -> np.ndarray:
+    """Places of the `take` least gaps of each group."""
+    if len(group) <= 1:
+        return np.arange(len(group))
+    by = np.lexsort((gap, group))
+    new = np.append(True, group[by][1:] != group[by][:-1])
+    rank = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+    return by[rank < take]
 
 
 def stream_links(batches: Iterator[pa.RecordBatch], take: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -152,15 +181,20 @@ def stream_links(batches: Iterator[pa.RecordBatch], take: int, similarity: float
         n, own = table["n"].to_numpy(), table["own"].to_numpy(zero_copy_only=False)
         comp = np.frombuffer(b"".join(table["comp"].to_pylist()), np.uint64).reshape(-1, 2)
         hist = np.frombuffer(b"".join(table["hist"].to_pylist()), np.uint8).reshape(-1, BINS)
+        keys = table["keys"].to_pylist() if "keys" in table.column_names else None
+        key_of = ids[0]
         two = cut[size == 2]
         ok, _ = passing(n[two], n[two + 1], hist[two].astype(np.int16), hist[two + 1].astype(np.int16), similarity)
         two = two[ok & (comp[two] != comp[two + 1]).any(1) & (own[two] | own[two + 1])]
+        if keys is not None:
+            two = np.array([i for i in two.tolist() if not any(x < key_of[i] and x in keys[i + 1] for x in keys[i])], np.int64)
         a, b, m = [two], [two + 1], [np.zeros(len(two), bool)]
         for at, g in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             s = slice(at, at + g)
-            x, y, more = group_links(n[s], own[s], comp[s], hist[s], take, similarity)
-            a.append(np.array(x, np.int64) + at)
-            b.append(np.array(y, np.int64) + at)
+            less = None if keys is None else [frozenset(x for x in of if x < key_of[at]) for of in keys[s]]
+            x, y, more = group_links(n[s], own[s], comp[s], hist[s], take, similarity, less)
+            a.append(x + at)
+            b.append(y + at)
             m.append(np.full(len(x), more))
         node = table["node"].combine_chunks()
         key = table["key"].combine_chunks()
@@ -299,7 +333,7 @@ def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def dealt(live: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Rows of buckets by block: key, block, own, node, n, hist, comp. Before there are classes a node is in one block. After that only buckets with
+    """Rows of buckets by block: key, block, own, node, n, hist, comp, and later the keys that the node still has. Before there are classes a node is in one block. After that only buckets with
     several classes go on, and of those with several blocks nodes outside the largest class meet all blocks, so that each pair across classes meets."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     side = F.pmod(F.xxhash64("key", "node"), blocks).cast("int")
@@ -309,8 +343,9 @@ def dealt(live: DataFrame, comps: DataFrame | None) -> DataFrame:
     sizes = m.groupBy("key", "comp").agg(F.count("*").alias("s"))
     largest = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("s", "comp")).alias("top")).filter("classes > 1").select("key", F.col("top.comp").alias("top"))
     m = m.join(largest, "key").withColumn("side", side)
+    m = m.join(m.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node")
     to = F.when((F.col("comp") == F.col("top")) | (blocks == 1), F.array("side")).otherwise(F.sequence(F.lit(0), blocks - 1))
-    return m.withColumn("block", F.explode(to)).select("key", "block", (F.col("block") == F.col("side")).alias("own"), "node", "n", "hist", "comp")
+    return m.withColumn("block", F.explode(to)).select("key", "block", (F.col("block") == F.col("side")).alias("own"), "node", "n", "hist", "comp", "keys")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -348,7 +383,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
             left = saved(live.join(still, "key", "left_semi"), "near-buckets")
             drop_saved(spark, live, still, links)
             live = left
-            take *= GROWTH
+            take *= GROWTH if tested is not new else 1  # the first round tests neighbours, the second pairs of classes
             continue
         drop_saved(spark, live, still, links, pairs, nodes)
         break
