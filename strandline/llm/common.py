@@ -10,8 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes handled at once by array code, so that a task's memory doesn't follow Arrow's batch size.
-PIECE_BYTES = 3 << 20
+#: Text bytes handled at once by array code, so that a task's memory doesn't follow Arrow's batch size and arrays stay near the cache.
+PIECE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -40,6 +40,7 @@ LENGTH, GRAM = 400, 100
 SHALLOW, BLOCK = 32, 50_000
 PASSAGE, WORD_GRAM = 51, 14
 PART = 1 << 25  # bytes or words sampled at once
+SAMPLED_BYTES = 1 << 19  # of short texts together
 _POS_BITS = 26
 LEFT, RIGHT, WORDS = 1, 2, 3  # lowest bits of a key: what it is the hash of
 #: A text of more than PASSAGE - 1 words.
@@ -300,7 +301,7 @@ def covered(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
         return pa.RecordBatch.from_arrays([b.column("node").take(pa.array(texts)), pa.array(np.full(len(texts), base)), lists], ["node", "base", "at"])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", SAMPLED_BYTES):
             data, offsets = utf8(b.column("text"))
             doc, pos, h = word_samples(data, offsets, size=size)
             yield listed(b, np.arange(len(b)), -1, doc, pos, h, np.zeros(len(doc), np.int64))
@@ -372,17 +373,31 @@ def passages(node: list[bytes], left: list[bytes], right: list[bytes], size: int
     """Members of a bucket, one of each text, that share PASSAGE words around the sample with another text. left and right: 4 bytes of each word's hash."""
     first: dict[bytes, int] = {}
     names = [first.setdefault(n, i) for i, n in enumerate(node)]
+    if len(first) == 1:
+        return []
+    if len(names) == 2:
+        share = lambda a, b: lcp(a, b) // 4 * 4
+        back = share(_words_back(left[0]), _words_back(left[1]))
+        return [0, 1] if back + share(right[0], right[1]) >= size else []
     out: set[int] = set()
-    for l in range(0, size + 1, 4):  # equal runs hold the sample at the same place
+    # equal runs hold the sample at the same place; copies are known by the first places already
+    for l in sorted(range(0, size + 1, 4), key=lambda l: (l not in (size // 8 * 4, 0, size), l)):
         owner: dict[bytes, int] = {}  # text of each run, or -1 for several
         runs = [(name, a[len(a) - l :] + b[: size - l]) for name, a, b in zip(names, left, right, strict=True) if len(a) >= l and len(b) >= size - l]
         for name, r in runs:
             if owner.setdefault(r, name) != name:
                 owner[r] = -1
         out.update(name for name, r in runs if owner[r] < 0)
+        if len(out) == len(first):
+            break
     return sorted(out)
 
 
+def _words_back(x: bytes) -> bytes:
+    """The 4-byte words in reverse order."""
+    return np.frombuffer(x, np.uint32)[::-1].tobytes()
+
+
 def bucket_spans(batches: Iterator[pa.RecordBatch], need: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Spans from rows sorted by bucket; a bucket may straddle batches."""
     rest: list[pa.RecordBatch] = []
