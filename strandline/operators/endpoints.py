@@ -26,18 +26,18 @@ def grouped_dependencies(dependencies: DataFrame) -> DataFrame:
     return dependencies.groupBy("endpoint_id").agg(F.sort_array(F.collect_list(link)).alias("dependencies"))
 
 
-def endpoint_list(endpoints: DataFrame, projects: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """All endpoints with project name, decoded lists and their dependencies ([] where there are none)."""
+def endpoint_list(endpoints: DataFrame, projects: DataFrame, dependencies: DataFrame, ordered: bool = True) -> DataFrame:
+    """All endpoints with project name, decoded lists and their dependencies ([] where there are none). Unordered where another operator follows."""
     links = grouped_dependencies(dependencies)
     none = F.array().cast(links.schema["dependencies"].dataType)
-    return (
+    rows = (
         explorer.with_project(endpoints, projects)
         .withColumn("policies", X.split_list("policies"))
         .withColumn("roles", X.split_list("roles"))
         .join(links.withColumnRenamed("endpoint_id", "id"), "id", "left")
         .withColumn("dependencies", F.coalesce("dependencies", none))
-        .orderBy(X.nocase("route"), "http_method", "id")
     )
+    return rows.orderBy(X.nocase("route"), "http_method", "id") if ordered else rows
 
 
 def filtered(listed: DataFrame, project: str | None, text: str | None) -> DataFrame:
@@ -80,19 +80,21 @@ def chain_authorization(chain: DataFrame) -> DataFrame:
 # ---- type chains ---------------------------------------------------------------------------------------------
 
 
-def base_chain(types: DataFrame, limit: int = 64) -> DataFrame:
-    """(fqn, base, distance): each type with itself and its bases by pointer jumping: log2(depth) joins. A base that isn't a row ends its chain."""
+def base_chain(types: DataFrame) -> DataFrame:
+    """(fqn, base, distance): each type with itself and all its bases by pointer jumping: log2(depth) joins. A base that isn't a row ends its chain.
+    Goes on until no jump is left; a chain that comes back to itself raises."""
     parent = types.select("fqn", F.col("base_fqn").alias("base")).filter(F.col("base").isNotNull()).withColumn("distance", F.lit(1))
     out = types.select("fqn", F.col("fqn").alias("base"), F.lit(0).alias("distance")).unionByName(parent)
-    jump, span = parent, 1
-    while span < limit:
-        further = out.alias("a").join(jump.alias("b"), F.col("a.base") == F.col("b.fqn")).select(F.col("a.fqn"), F.col("b.base"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        grown = out.unionByName(further).groupBy("fqn", "base").agg(F.min("distance").alias("distance"))
-        jump = jump.alias("a").join(jump.alias("b"), F.col("a.base") == F.col("b.fqn")).select(F.col("a.fqn"), F.col("b.base"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        out, span = grown, span * 2
-        if not jump.limit(1).count():
-            break
-    return out
+    jump, rounds = parent, 0
+    ahead = lambda rows: rows.alias("a").join(jump.alias("b"), F.col("a.base") == F.col("b.fqn")).select(F.col("a.fqn"), F.col("b.base"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
+    while True:
+        out, jump, rounds = out.unionByName(ahead(out)).groupBy("fqn", "base").agg(F.min("distance").alias("distance")), ahead(jump), rounds + 1
+        if rounds % 3 == 0:  # deep chains: cut what would be computed again in each further round
+            out, jump = resolve.cut(out), resolve.cut(jump)
+        if jump.isEmpty():
+            return out
+        if rounds > 40:  # 2 ** 40 levels
+            raise ValueError("a chain of bases comes back to itself")
 
 
 def nearest(chain: DataFrame, values: DataFrame, value: str) -> DataFrame:
@@ -207,7 +209,7 @@ def group_prefixes(groups: DataFrame, max_depth: int = schema.MAX_GROUP_DEPTH) -
 
 
 def map_call_endpoints(calls: DataFrame, groups: DataFrame, chain: DataFrame | None = None) -> DataFrame:
-    """Endpoints of map calls with a literal route. A handler that isn't one known method is inline and Inferred."""
+    """Endpoints of map calls with a literal route. A handler that isn't one known method is inline and Inferred; the document stays whole."""
     prefix = group_prefixes(groups).withColumnRenamed("node_id", "receiver_id")
     rows = calls.filter(R.is_map_call(F.col("map_name"), F.col("first_param_type")) & F.col("route").isNotNull()).join(prefix, "receiver_id", "left")
     handler = F.when(F.col("n_args") >= 2, F.col("handler_fqn"))
@@ -227,6 +229,21 @@ def map_call_endpoints(calls: DataFrame, groups: DataFrame, chain: DataFrame | N
     return out.join(auth, "call_id", "left").select(*out.columns, F.coalesce("requires", F.lit(False)).alias("requires_auth"), F.coalesce("anonymous", F.lit(False)).alias("allows_anonymous"), F.coalesce("policies", empty).alias("policies"), empty.alias("roles"))
 
 
+def overloaded_handlers(calls: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One Warning row per document with map calls whose handler is a method group of several overloads; candidates: (call_id, candidate_fqn)."""
+    several = candidates.groupBy("call_id").agg(F.countDistinct("candidate_fqn").alias("n")).filter("n > 1")
+    rows = calls.filter(F.col("handler_fqn").isNull()).join(several, "call_id").groupBy("document").agg(F.count("*").alias("n"))
+    text = F.concat(F.lit("Handlers with several overloads count as unresolved in "), F.coalesce("document", F.lit("an unnamed document")), F.lit(": "), F.col("n").cast("string"))
+    return rows.select(F.lit("Warning").alias("severity"), F.lit(None).cast("string").alias("project"), text.alias("message"))
+
+
+def with_dependencies(endpoints: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(endpoints with id, their dependency rows): inline handlers take the dependencies of their call; ids follow route, method and handler."""
+    numbered = resolve.assign_ids(endpoints, "route", "http_method", "handler_display", "handler_fqn", "call_id")
+    inline = numbered.filter(F.col("handler_fqn").isNull()).select("call_id", F.col("id").alias("endpoint_id"))
+    return numbered, dependencies.join(inline, "call_id").select("endpoint_id", "pos", "target_fqn", "target_display")
+
+
 def inline_dependencies(parameters: DataFrame, calls: DataFrame, cap: int = schema.MAX_DEPENDENCIES) -> DataFrame:
     """(call_id, pos, target_fqn, target_display): lambda parameter types, then exactly bound calls, first of each name, at most `cap` each."""
     both = parameters.select("call_id", F.struct(F.lit(0).alias("part"), "ord").alias("at"), "target_fqn", "target_display").unionByName(
@@ -248,11 +265,26 @@ def symbols_from_facts(raw: DataFrame) -> DataFrame:
     return resolve.assign_ids(shaped, F.upper("project"), "project", "ord", "fqn")
 
 
-def enclosing(spans: DataFrame, limit: int = 64) -> DataFrame:
-    """(node_id, source_fqn): the nearest ancestor-or-self that is an indexed member."""
-    known = spans.filter(F.col("symbol_fqn").isNotNull()).select(F.col("node_id").alias("owner_fqn"), "symbol_fqn")
-    chain = base_chain(spans.select(F.col("node_id").alias("fqn"), F.col("parent_id").alias("base_fqn")), limit)
-    return nearest(chain, known, "symbol_fqn").select(F.col("fqn").alias("node_id"), F.col("symbol_fqn").alias("source_fqn"))
+def enclosing(spans: DataFrame) -> DataFrame:
+    """(node_id, source_fqn): the nearest ancestor-or-self that is an indexed member, however far up. Links point over ever longer runs of nodes
+    without a member, so each node keeps one row; nodes whose ancestors have none drop out. A cycle raises."""
+    known = spans.filter(F.col("symbol_fqn").isNotNull()).select("node_id", F.col("symbol_fqn").alias("source_fqn"))
+    open_ = spans.filter(F.col("symbol_fqn").isNull() & F.col("parent_id").isNotNull()).select("node_id", "parent_id")
+    done, rounds = known, 0
+    while True:
+        at = done.select(F.col("node_id").alias("parent_id"), "source_fqn")
+        found = open_.join(at, "parent_id").select("node_id", "source_fqn")
+        left = open_.join(found.select("node_id"), "node_id", "left_anti")
+        further = open_.select(F.col("node_id").alias("parent_id"), F.col("parent_id").alias("next"))
+        # a parent without a member of its own passes on where it points; one that points nowhere ends the walk
+        open_ = resolve.cut(left.join(further, "parent_id").select("node_id", F.col("next").alias("parent_id")))
+        done, rounds = resolve.cut(done.unionByName(found)), rounds + 1
+        if open_.isEmpty():
+            return done
+        if rounds > 64:  # 2 ** 64 levels
+            raise ValueError("a chain of parents comes back to itself")
+
+
 
 
 def call_edges(raw_calls: DataFrame, targets: DataFrame) -> DataFrame:

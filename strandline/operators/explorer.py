@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline import schema
 from strandline.functions import text as X
+from strandline.operators import resolve
 
 SYMBOL_COLUMNS = ("id", "kind", "name", "fqn", "display", "project_id", "namespace", "container_fqn", "file_path", "line", "start_column", "accessibility")
 
@@ -29,67 +30,82 @@ def scoped(projects: DataFrame, name: str | None) -> DataFrame:
     return projects if name is None else projects.filter(F.col("name") == name)
 
 
-def namespaces(symbols: DataFrame, project_id: int | None = None) -> DataFrame:
+def namespaces(symbols: DataFrame, project_id: int | None = None, ordered: bool = True) -> DataFrame:
     """Distinct namespaces of top-level types; no namespace is the empty string and sorts first."""
     rows = symbols.filter((F.col("kind") != "Namespace") & F.col("container_fqn").isNull())
     if project_id is not None:
         rows = rows.filter(F.col("project_id") == project_id)
-    return rows.select("project_id", F.coalesce("namespace", F.lit("")).alias("namespace")).distinct().orderBy("project_id", X.nocase("namespace"), "namespace")
+    got = rows.select("project_id", F.coalesce("namespace", F.lit("")).alias("namespace")).distinct()
+    return got.orderBy("project_id", X.nocase("namespace"), "namespace") if ordered else got
 
 
-def types(symbols: DataFrame, project_id: int | None = None, namespace: str | None = None) -> DataFrame:
+def types(symbols: DataFrame, project_id: int | None = None, namespace: str | None = None, ordered: bool = True) -> DataFrame:
     rows = symbols.filter((F.col("kind") != "Namespace") & F.col("container_fqn").isNull())
     if project_id is not None:
         rows = rows.filter(F.col("project_id") == project_id)
     if namespace is not None:
         rows = rows.filter(F.coalesce("namespace", F.lit("")) == namespace)
-    return rows.orderBy(X.nocase("name"), "fqn", "id")
+    return rows.orderBy(X.nocase("name"), "fqn", "id") if ordered else rows
 
 
-def members(symbols: DataFrame, container_fqn: str | None = None) -> DataFrame:
-    """Members of a container in all projects."""
+def members(symbols: DataFrame, container_fqn: str | None = None, ordered: bool = True) -> DataFrame:
+    """Members of a container in all projects, of all containers if none is given."""
     rows = symbols.filter(F.col("container_fqn").isNotNull() if container_fqn is None else F.col("container_fqn") == container_fqn)
-    return rows.orderBy("kind", X.nocase("name"), "fqn", "id")
+    return rows.orderBy(*member_order()) if ordered else rows
+
+
+def member_order() -> tuple:
+    return ("kind", X.nocase("name"), "fqn", "id")
+
+
+def numbered_members(symbols: DataFrame, out: str = "seq") -> DataFrame:
+    """Members of all containers with their place in their container's list."""
+    w = Window.partitionBy("container_fqn").orderBy(*member_order())
+    return members(symbols, ordered=False).withColumn(out, F.row_number().over(w).cast("long"))
 
 
 def symbol_by_id(symbols: DataFrame, symbol_id: int) -> DataFrame:
     return symbols.filter(F.col("id") == symbol_id).limit(1)
 
 
-def hops(relations: DataFrame, symbols: DataFrame, kinds: tuple[str, ...], forward: bool, start: list[int] | None = None) -> DataFrame:
+def hops(relations: DataFrame, symbols: DataFrame, kinds: tuple[str, ...], forward: bool, start: list[int] | None = None, ordered: bool = True) -> DataFrame:
     """One hop from each start symbol (all if none are given): distinct indexed symbols at the other end."""
     a, b = ("source_symbol_id", "target_symbol_id") if forward else ("target_symbol_id", "source_symbol_id")
     edges = relations.filter(F.col("kind").isin(*kinds) & F.col(a).isNotNull() & F.col(b).isNotNull())
     if start is not None:
         edges = edges.filter(F.col(a).isin(*start) if start else F.lit(False))
     pairs = edges.select(F.col(a).alias("start_id"), F.col(b).alias("id")).distinct()
-    return pairs.join(symbols, "id").orderBy("start_id", X.nocase("display"), "fqn", "id")
+    rows = pairs.join(symbols, "id")
+    return rows.orderBy("start_id", X.nocase("display"), "fqn", "id") if ordered else rows
 
 
-def callees(relations: DataFrame, symbols: DataFrame, start: list[int] | None = None) -> DataFrame:
-    return hops(relations, symbols, ("Calls",), True, start)
+def callees(relations: DataFrame, symbols: DataFrame, start: list[int] | None = None, ordered: bool = True) -> DataFrame:
+    return hops(relations, symbols, ("Calls",), True, start, ordered)
 
 
-def implementations(relations: DataFrame, symbols: DataFrame, start: list[int] | None = None) -> DataFrame:
-    return hops(relations, symbols, ("Implements", "Overrides"), False, start)
+def implementations(relations: DataFrame, symbols: DataFrame, start: list[int] | None = None, ordered: bool = True) -> DataFrame:
+    return hops(relations, symbols, ("Implements", "Overrides"), False, start, ordered)
 
 
-def tree(projects: DataFrame, symbols: DataFrame, max_depth: int = 16) -> DataFrame:
+def tree(projects: DataFrame, symbols: DataFrame) -> DataFrame:
     """The whole tree: (level, parent, name, id, kind): projects, namespaces, top-level types, then members of members.
-    Each level is one join on container_fqn; it ends at the first empty level or max_depth (nesting of source code, not of data)."""
+    Each level is one join on container_fqn; it ends at the first empty level, and raises where containers hold each other."""
     p = projects.select(F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent"), "name", "id", F.lit("Project").alias("kind"))
-    ns = with_project(namespaces(symbols), projects).select(F.lit(1).alias("level"), F.col("project").alias("parent"), F.col("namespace").alias("name"), F.lit(None).cast("long").alias("id"), F.lit("Namespace").alias("kind"))
-    level = types(symbols).select("id", "fqn", "name", "kind", F.coalesce("namespace", F.lit("")).alias("parent"))
+    ns = with_project(namespaces(symbols, ordered=False), projects).select(F.lit(1).alias("level"), F.col("project").alias("parent"), F.col("namespace").alias("name"), F.lit(None).cast("long").alias("id"), F.lit("Namespace").alias("kind"))
+    level = types(symbols, ordered=False).select("id", "fqn", "name", "kind", F.coalesce("namespace", F.lit("")).alias("parent"), F.array("fqn").alias("above"))
     out, depth = p.unionByName(ns), 2
-    inner = symbols.filter(F.col("container_fqn").isNotNull())
-    while depth < max_depth:
+    inner = symbols.filter(F.col("container_fqn").isNotNull()).select("id", "fqn", "name", "kind", "container_fqn")
+    while True:
         out = out.unionByName(level.select(F.lit(depth).alias("level"), "parent", "name", "id", "kind"))
-        above = level.filter(F.col("kind").isin(*schema.TYPE_KINDS)).select(F.col("fqn").alias("container_fqn")).distinct()
-        level = inner.join(above, "container_fqn").select("id", "fqn", "name", "kind", F.col("container_fqn").alias("parent"))
+        holders = level.filter(F.col("kind").isin(*schema.TYPE_KINDS)).groupBy(F.col("fqn").alias("container_fqn")).agg(F.first("above").alias("above"))
+        step = inner.join(holders, "container_fqn")
+        again = F.raise_error(F.concat(F.lit("containers hold each other: "), F.col("fqn")))
+        level = step.select("id", F.when(F.array_contains("above", F.col("fqn")) & F.col("kind").isin(*schema.TYPE_KINDS), again).otherwise(F.col("fqn")).alias("fqn"), "name", "kind", F.col("container_fqn").alias("parent"), F.concat("above", F.array("fqn")).alias("above"))
         depth += 1
-        if not level.limit(1).count():
-            break
-    return out
+        if depth > 5:  # usual nesting is shallow; deeper levels don't compute the ones above again
+            level = resolve.cut(level)
+        if level.isEmpty():
+            return out
 
 
 def retained(selected: DataFrame, filtered: DataFrame) -> DataFrame:

@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the shared checkpoint folder: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    return df.checkpoint()
+
+
 def first_wins(staged: DataFrame, keys: tuple[str, ...] = ("source_fqn", "kind", "target_fqn"), order: str = "ord") -> DataFrame:
     """One row per key: the first by `order`, with its own provenance. Partial aggregation instead of a window, so a hot key isn't gathered."""
     rest = [c for c in staged.columns if c not in keys]

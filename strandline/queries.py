@@ -49,31 +49,28 @@ def projects_with_counts(m):
 
 @query("scoped_projects", "select id, name from projects where name = (select min(name) from projects)", "projects")
 def scoped_projects(m):
-    first = m.projects.agg(F.min("name").alias("name"))
-    return m.projects.join(F.broadcast(first), "name", "left_semi").select("id", "name")
+    first = m.projects.agg(F.min("name").alias("name")).first()["name"]
+    return explorer.scoped(m.projects, first).select("id", "name")
 
 
 @query("namespaces", "select distinct project_id, coalesce(namespace, '') as namespace from symbols where kind <> 'Namespace' and container_fqn is null", "symbols")
 def namespaces(m):
-    return explorer.namespaces(m.symbols)
+    return explorer.namespaces(m.symbols, ordered=False)
 
 
 @query("types", f"select {SYMBOL}, p.name as project from symbols s left join projects p on p.id = s.project_id where s.kind <> 'Namespace' and s.container_fqn is null", "symbols", "projects")
 def types(m):
-    return explorer.symbol_rows(explorer.types(m.symbols), m.projects)
+    return explorer.symbol_rows(explorer.types(m.symbols, ordered=False), m.projects)
 
 
 @query("members", f"select {SYMBOL}, p.name as project from symbols s left join projects p on p.id = s.project_id where s.container_fqn is not null", "symbols", "projects")
 def members(m):
-    return explorer.symbol_rows(explorer.members(m.symbols), m.projects)
+    return explorer.symbol_rows(explorer.members(m.symbols, ordered=False), m.projects)
 
 
 @query("member_order", f"select container_fqn, id, row_number() over (partition by container_fqn order by kind, {NK.format('name')}, fqn, id) as seq from symbols where container_fqn is not null", "symbols")
 def member_order(m):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("container_fqn").orderBy("kind", X.nocase("name"), "fqn", "id")
-    return m.symbols.filter(F.col("container_fqn").isNotNull()).select("container_fqn", "id", F.row_number().over(w).cast("long").alias("seq"))
+    return explorer.numbered_members(m.symbols).select("container_fqn", "id", "seq")
 
 
 @query("symbol_lookup", f"select {SYMBOL}, p.name as project from symbols s left join projects p on p.id = s.project_id where s.id = 1000007", "symbols", "projects")
@@ -107,19 +104,18 @@ EDGE_FACTS = "select s.project_id, s.source_fqn, s.kind, s.target_fqn, s.target_
 
 @query("edge_dedup_first_wins", f"with o as ({EDGE_FACTS}) select project_id, source_fqn, kind, target_fqn, target_display, provenance from o qualify row_number() over (partition by project_id, source_fqn, kind, target_fqn order by ord) = 1", "staged_relations")
 def edge_dedup(m):
-    rows = m.staged_relations
-    best = rows.groupBy("project_id", "source_fqn", "kind", "target_fqn").agg(F.max(F.struct("target_display", "provenance")).alias("r"))
-    return best.select("project_id", "source_fqn", "kind", "target_fqn", "r.target_display", "r.provenance")
+    rows = resolve.assign_ids(m.staged_relations, F.col("project_id"), F.col("source_fqn"), F.col("kind"), F.col("target_fqn"), F.struct("target_display", "provenance"), out="up")
+    return resolve.first_wins(rows.withColumn("ord", -F.col("up")), ("project_id", "source_fqn", "kind", "target_fqn")).drop("ord", "up")
 
 
 @query("callees", f"select r.source_symbol_id as start_id, {SYMBOL} from (select distinct source_symbol_id, target_symbol_id from relations where kind = 'Calls') r join symbols s on s.id = r.target_symbol_id", "relations", "symbols")
 def callees(m):
-    return explorer.callees(m.relations, m.symbols).select("start_id", *explorer.SYMBOL_COLUMNS)
+    return explorer.callees(m.relations, m.symbols, ordered=False).select("start_id", *explorer.SYMBOL_COLUMNS)
 
 
 @query("implementations", f"select r.target_symbol_id as start_id, {SYMBOL} from (select distinct source_symbol_id, target_symbol_id from relations where kind in ('Implements', 'Overrides') and target_symbol_id is not null) r join symbols s on s.id = r.source_symbol_id", "relations", "symbols")
 def implementations(m):
-    return explorer.implementations(m.relations, m.symbols).select("start_id", *explorer.SYMBOL_COLUMNS)
+    return explorer.implementations(m.relations, m.symbols, ordered=False).select("start_id", *explorer.SYMBOL_COLUMNS)
 
 
 @query("resolved_endpoints", "select e.id, e.handler_fqn, f.id as handler_symbol_id from endpoints e left join (select fqn, min(id) as id from symbols group by fqn) f on f.fqn = e.handler_fqn", "endpoints", "symbols")
@@ -140,7 +136,7 @@ LISTED = f"""select e.id, e.http_method, e.route, e.handler_display, e.kind, p.n
 
 
 def _listed(m):
-    e = endpoints.endpoint_list(m.endpoints, m.projects, m.endpoint_dependencies)
+    e = endpoints.endpoint_list(m.endpoints, m.projects, m.endpoint_dependencies, ordered=False)
     return e.withColumn("auth", endpoints.auth_summary(e))
 
 
@@ -236,7 +232,7 @@ STEPS_SQL = TRACE_SQL[: TRACE_SQL.index("select w.e as endpoint_id")]
 r as (select e.id as endpoint_id, coalesce(n.steps, 0) as steps, coalesce(n.cut, false) as truncated from endpoints e left join n on n.endpoint_id = e.id)
 select endpoint_id, cast(steps as bigint) as steps, truncated, case when steps = 0 then 'Nothing this endpoint reaches is declared in this solution.' when truncated then concat('First ', steps, ' steps; the flow is longer than that.') when steps = 1 then '1 step' else concat(steps, ' steps') end as summary from r""", "relations", "endpoint_dependencies", "endpoints", "symbols")
 def trace_summary(m):
-    got = trace.summary(m.endpoints, _trace(m))
+    got = trace.counts(m.endpoints, m.endpoint_dependencies, m.relations, m.symbols)
     return got.select("endpoint_id", "steps", "truncated", D.trace_summary(F.col("steps"), F.col("truncated")).alias("summary"))
 
 

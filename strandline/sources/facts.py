@@ -23,3 +23,13 @@ def projects_in_order(raw_symbols: DataFrame) -> DataFrame:
 def declared(raw_symbols: DataFrame) -> DataFrame:
     """Rows that the index takes: declared in source, not implicit."""
     return raw_symbols.filter(~F.coalesce("is_implicit", F.lit(False)) & (F.coalesce("in_source", F.lit(False)) | (F.col("kind_name") == "Namespace")))
+
+
+def load(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:
+    """All fact tables of a folder; one that isn't there is empty."""
+    out = {}
+    for table, shape in schema.FACTS.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}")
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        out[table] = read(spark, folder, table, fmt) if there else spark.createDataFrame([], shape)
+    return out

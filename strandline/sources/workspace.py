@@ -79,7 +79,7 @@ def source_text(spark: SparkSession, path: str) -> str | None:
     try:
         rows = spark.read.format("binaryFile").load(path)
         big = F.col("length") > schema.SOURCE_FILE_CAP
-        got = rows.select(F.when(big, F.lit("// file too large to show")).otherwise(F.decode(F.when(~big, F.col("content")), "UTF-8")).alias("t")).limit(1).collect()
+        got = rows.select(F.when(big, F.concat(F.lit("// "), X.basename(F.col("path")), F.lit(" is too large to show ("), F.format_number(F.col("length") / 1024 / 1024, 1), F.lit(" MB)"))).otherwise(F.decode(F.when(~big, F.col("content")), "UTF-8")).alias("t")).limit(1).collect()
     except Exception as e:  # Spark reports missing and unreadable paths by several types
         if "PATH_NOT_FOUND" in str(e) or "Permission denied" in str(e):
             return None
