@@ -411,3 +411,6 @@ def kind_mapping(m):
     sub = F.when(p < 2, "Struct").when(p == 2, "StaticConstructor").when(p == 3, "Conversion")
     rows = m.raw("part").select(F.col("p_partkey").alias("id"), M.map_kind(name, sub, p == 0).alias("kind"))
     return rows.filter(F.col("kind").isNotNull())
+
+
+from strandline import queries_facts  # noqa: E402, F401  (registers its queries here)

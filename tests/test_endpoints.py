@@ -25,19 +25,19 @@ def test_plain_controller(spark):
 
 
 def test_inherited_and_own_routes(spark):
-    types = [("B.Base", BASE, True), ("B.Mid", "B.Base", True), ("B.OrdersController", "B.Mid", False), ("B.OwnController", "B.Mid", False)]
-    methods = [("B.OrdersController", "List", None), ("B.OwnController", "List", None)]
-    attrs = [("B.Base", "Route", ["api/v1/[controller]"], {}), ("B.OwnController", "Route", ["api/v2/[controller]"], {}), ("B.OrdersController.List()", "HttpGet", [], {}), ("B.OwnController.List()", "HttpGet", ["/healthz"], {})]
-    assert routes(spark, types, methods, attrs) == ["GET /api/v1/Orders", "GET /healthz"]
+    types = [("B.Base", BASE, True), ("B.Mid", "B.Base", True), ("B.ParcelsController", "B.Mid", False), ("B.DirectController", "B.Mid", False)]
+    methods = [("B.ParcelsController", "List", None), ("B.DirectController", "List", None)]
+    attrs = [("B.Base", "Route", ["depot/v3/[controller]"], {}), ("B.DirectController", "Route", ["depot/v4/[controller]"], {}), ("B.ParcelsController.List()", "HttpGet", [], {}), ("B.DirectController.List()", "HttpGet", ["/up"], {})]
+    assert routes(spark, types, methods, attrs) == ["GET /depot/v3/Parcels", "GET /up"]
 
 
 def test_area_tokens_and_parameters(spark):
-    c = "X.AuthController"
-    types, methods = [(c, BASE, False)], [(c, "Index", None), (c, "Login", None)]
-    assert routes(spark, types, methods, [(c, "Route", ["auth/{action=Index}/{id?}"], {})]) == ["ANY /auth/Index/{id?}", "ANY /auth/Login/{id?}"]
-    assert routes(spark, types, methods[:1], [(c, "Route", ["[area]/npa/{api:guid}/[controller]"], {}), (c, "Area", ["cms"], {})]) == ["ANY /cms/npa/{api:guid}/Auth"]
-    assert routes(spark, types, methods[:1], [(c, "Route", ["[area]/orphan"], {})]) == ["ANY /[area]/orphan"]
-    assert routes(spark, types, methods[:1], [(c, "Route", ["x/{action:regex(^[a-z]+$)}"], {})]) == ["ANY /x/{action:regex(^[a-z]+$)}"]
+    c = "X.DeskController"
+    types, methods = [(c, BASE, False)], [(c, "Show", None), (c, "Call", None)]
+    assert routes(spark, types, methods, [(c, "Route", ["desk/{action=Show}/{ticket?}"], {})]) == ["ANY /desk/Call/{ticket?}", "ANY /desk/Show/{ticket?}"]
+    assert routes(spark, types, methods[:1], [(c, "Route", ["[area]/kiosk/{slot:int}/[controller]"], {}), (c, "Area", ["halls"], {})]) == ["ANY /halls/kiosk/{slot:int}/Desk"]
+    assert routes(spark, types, methods[:1], [(c, "Route", ["[area]/loose"], {})]) == ["ANY /[area]/loose"]
+    assert routes(spark, types, methods[:1], [(c, "Route", ["x/{action:regex(^[0-9]+$)}"], {})]) == ["ANY /x/{action:regex(^[0-9]+$)}"]
     assert routes(spark, types, methods, []) == []
 
 
