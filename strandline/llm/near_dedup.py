@@ -31,7 +31,7 @@ from strandline.llm.common import Words, byte_hash, chained, drop_saved, mix, pi
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, MINIMA = 20, 2
-BINS, BLOCK, GROWTH = 256, 2000, 32
+BINS, BLOCK, GROWTH = 512, 2000, 32
 
 
 def shingled(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
