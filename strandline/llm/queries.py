@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, pipeline, quality, suffix_dedup, token_count, toxicity, warc
+from strandline.llm import decontaminate, exact_topk, filter_audit, html_extract, line_dedup, mixing, near_dedup, periodic_runs, pipeline, quality, suffix_dedup, token_count, toxicity, warc
 from strandline.llm.common import documents
 
 QUERIES = {
@@ -16,10 +16,15 @@ QUERIES = {
     "op8_html_extraction": lambda spark, d: html_extract.op8(documents(spark, d, "pages")),
     "op9_warc_revisits": lambda spark, d: warc.op9(documents(spark, d, "pages")),
     "op10_suffix_dedup": lambda spark, d: suffix_dedup.op10(documents(spark, d)),
+    "op11_periodic_runs": lambda spark, d: periodic_runs.op11(documents(spark, d)),
+    "op12_exact_topk": lambda spark, d: exact_topk.op12(documents(spark, d, "embeddings")),
+    "op13_filter_audit": lambda spark, d: filter_audit.op13(documents(spark, d), documents(spark, d, "labels")),
     "pipeline": pipeline.run,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE_OP1,
     "op2_quality_rules": quality.ORACLE_OP2,
     "op9_warc_revisits": warc.ORACLE_OP9,
+    "op12_exact_topk": exact_topk.ORACLE_OP12,
+    "op13_filter_audit": filter_audit.ORACLE_OP13,
 }
