@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline import shared
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared checkpoint folder: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint()
+    """Cuts lineage: written to the shared folder and read back."""
+    return shared.written(df, "cut")
 
 
 def first_wins(staged: DataFrame, keys: tuple[str, ...] = ("source_fqn", "kind", "target_fqn"), order: str = "ord") -> DataFrame:
@@ -54,9 +53,16 @@ def resolve_edges(staged: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def assign_ids(rows: DataFrame, *order, out: str = "id") -> DataFrame:
-    """1..n by a total order. Partitions are range-sorted and numbered from their counts, so no single task sees all rows."""
-    keyed = rows.withColumn("_k", F.struct(*order))
-    sorted_rows = keyed.repartitionByRange(F.col("_k")).sortWithinPartitions("_k").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    counts = sorted_rows.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("_first"))
-    offsets = counts.select("_p", "_first", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_before"))
-    return sorted_rows.join(F.broadcast(offsets), "_p").withColumn(out, F.col("_i") - F.col("_first") + F.col("_before") + 1).drop("_k", "_p", "_i", "_first", "_before")
+    """1..n by a total order, rows with equal keys in any order among themselves.
+
+    The rows are range-partitioned by the key once and written with the number of their partition and their place in it. Everything after that reads
+    the written table, so the counts that are summed up are counts of the very partitions that are numbered, whatever is sampled or lost and computed
+    again. The other columns' hash is the last part of the range, so many rows with one key still spread over partitions."""
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind]
+    keyed = rows.withColumns({"_k": F.struct(*order), "_h": F.xxhash64(*plain)})
+    ranged = keyed.repartitionByRange("_k", "_h").sortWithinPartitions("_k", "_h").drop("_k", "_h")
+    placed = shared.written(ranged.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}), "numbered")
+    counts = placed.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("first"))
+    # one row a partition
+    offsets = counts.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n") - F.col("first") + 1).alias("_add"))
+    return placed.join(F.broadcast(offsets), "_p").withColumn(out, F.col("_i") + F.col("_add")).drop("_p", "_i", "_add")

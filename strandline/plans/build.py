@@ -54,17 +54,20 @@ def endpoint_rows(facts: dict[str, DataFrame], symbol_rows: DataFrame, project_r
 
 
 def notes(facts: dict[str, DataFrame]) -> DataFrame:
-    """Diagnostics of all kinds of contained failure."""
-    columns = ["severity", "project", "message"]
-    health = diagnostics.compile_health(facts["raw_errors"])
+    """Diagnostics of all kinds of contained failure, with their order: of opening the workspace, by project, and that there is none."""
+
+    def part(rows: DataFrame, stage: int, kind: int) -> DataFrame:
+        at = F.struct(F.lit(stage).alias("stage"), F.upper("project").alias("project"), F.lit(kind).alias("kind"), F.col("message").alias("message"))
+        return rows.select("severity", "project", "message", at.alias("ord"))
+
     return (
-        diagnostics.load_problems(facts["raw_problems"]).select(columns)
-        .unionByName(diagnostics.failed_projects(facts["raw_projects"]).select(columns))
-        .unionByName(diagnostics.failed_documents(facts["raw_documents"]).select(columns))
-        .unionByName(endpoints.overloaded_handlers(facts["raw_map_calls"], facts["raw_handlers"]))
-        .unionByName(health.select(columns))
-        .unionByName(diagnostics.no_projects(facts["raw_projects"]).select(columns))
-    )
+        part(diagnostics.load_problems(facts["raw_problems"]), 0, 0)
+        .unionByName(part(diagnostics.failed_projects(facts["raw_projects"]), 1, 0))
+        .unionByName(part(diagnostics.failed_documents(facts["raw_documents"]), 1, 1))
+        .unionByName(part(endpoints.overloaded_handlers(facts["raw_map_calls"], facts["raw_handlers"]), 1, 2))
+        .unionByName(part(diagnostics.compile_health(facts["raw_errors"]), 1, 3))
+        .unionByName(part(diagnostics.no_projects(facts["raw_projects"]), 2, 0))
+    )
 
 
 def build_from_facts(catalog: Catalog, source_path: str, facts: dict[str, DataFrame], progress: Callable | None = None) -> dict:
