@@ -305,8 +305,9 @@ class Rebuild:
         order, filters = LAYOUT[table]
         rows = rows.coalesce(1) if empty else rows.repartitionByRange(*order).sortWithinPartitions(*order)
         if table in UNIQUE:
-            # ranges of these very columns hold equal keys together, in order: no further shuffle
-            rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*UNIQUE[table]).orderBy("target_fqn")))
+            # ranges of these very columns hold equal keys together, in order: no further shuffle or sort
+            rows = rows.sortWithinPartitions(*UNIQUE[table], "id")
+            rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*UNIQUE[table]).orderBy("id")))
             bad[f"repeated {', '.join(UNIQUE[table])}"] = F.col("_nth") > 1
         seen, i = Observation(), F.col("id").cast("decimal(19,0)")
         watched = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), F.sum(i).alias("sum"), F.sum(i * i).alias("squares"), *[F.count_if(x).alias(what) for what, x in bad.items()])

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline import schema
@@ -88,10 +89,13 @@ def test_lookup_by_bloom_filter(spark, tmp_path):
     assert rows_read(c.table("symbols").filter("id = 40000")) == 0
 
 
-def test_one_shuffle_checks_uniqueness(spark, tmp_path):
+def test_one_shuffle_checks_uniqueness(spark):
     """The key of a unique index is the range of the layout, so nothing is dealt out again for the check."""
-    order = plans.LAYOUT["relations"][0]
-    assert set(plans.UNIQUE["relations"]) == set(order)
+    order, unique = plans.LAYOUT["relations"][0], plans.UNIQUE["relations"]
+    rows = spark.range(100).selectExpr("id", "id % 7 as source_symbol_id", "string(id % 2) as kind", "string(id) as target_fqn")
+    plan = rows.repartitionByRange(*order).sortWithinPartitions(*unique, "id").withColumn("nth", F.row_number().over(Window.partitionBy(*unique).orderBy("id")))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and text.count("Sort ") == 1
 
 
 @pytest.mark.parametrize(("what", "build"), [
