@@ -195,28 +195,41 @@ def controller_endpoints(types: DataFrame, methods: DataFrame, attributes: DataF
 # ---- minimal API ---------------------------------------------------------------------------------------------
 
 
-def group_prefixes(groups: DataFrame, max_depth: int = schema.MAX_GROUP_DEPTH) -> DataFrame:
-    """(node_id, prefix): literals of the MapGroup calls from the outermost receiver down, at most max_depth links up.
-    groups: (node_id, parent_id, is_map_group, literal); parent_id is the receiver, or the initialiser of the local that holds it."""
-    part = F.when(F.col("is_map_group"), F.coalesce(F.col("literal"), F.lit(""))).otherwise(F.lit(""))
-    links = groups.select("node_id", "parent_id", part.alias("part"))
-    out = links.select("node_id", F.array("part").alias("parts"), "parent_id")
+def group_prefixes(groups: DataFrame, links: DataFrame | None = None, max_depth: int = schema.MAX_GROUP_DEPTH) -> DataFrame:
+    """(node_id, prefix): literals of the MapGroup calls from the outermost receiver down, each behind one slash and as it is but for slashes at its ends.
+    groups: (node_id, parent_id, is_map_group, literal); parent_id is the receiver, or the initialiser of the local that holds it. Groups with a literal
+    and locals count, at most max_depth of them; links: (node_id, is_local) tells of other nodes whether they are locals or calls between, which
+    are free. Without it all other nodes count."""
+    group = F.coalesce("is_map_group", F.lit(False)) & F.col("literal").isNotNull()
+    part = F.when(group, F.concat(F.lit("/"), F.btrim("literal", F.lit("/")))).otherwise(F.lit(""))
+    nodes = groups.select("node_id", "parent_id", group.alias("group"), part.alias("part"))
+    if links is None:
+        counted, near = nodes, nodes.select("node_id", F.col("node_id").alias("first"))
+    else:
+        kinds = links.groupBy("node_id").agg(F.bool_or("is_local").alias("is_local"))
+        nodes = nodes.join(kinds, "node_id", "left").withColumn("counts", F.col("group") | F.coalesce("is_local", F.lit(True)))
+        # the nearest node that counts, over any number of free calls
+        near = enclosing(nodes.select("node_id", "parent_id", F.when(F.col("counts"), F.col("node_id").cast("string")).alias("symbol_fqn")))
+        near = near.select("node_id", F.col("source_fqn").cast("long").alias("first"))
+        above = near.select(F.col("node_id").alias("parent_id"), F.col("first").alias("up_id"))
+        counted = nodes.filter("counts").join(above, "parent_id", "left").select("node_id", F.col("up_id").alias("parent_id"), "part")
+    up = counted.select(F.col("node_id").alias("parent_id"), F.col("parent_id").alias("next_id"), F.col("part").alias("up"))
+    out = counted.select("node_id", "part", "parent_id")
     for _ in range(max_depth - 1):
-        up = links.select(F.col("node_id").alias("parent_id"), F.col("parent_id").alias("next_id"), F.col("part").alias("up"))
-        out = out.join(up, "parent_id", "left").select("node_id", F.when(F.col("up").isNotNull(), F.concat(F.array("up"), F.col("parts"))).otherwise(F.col("parts")).alias("parts"), F.col("next_id").alias("parent_id"))
-    joined = F.aggregate("parts", F.lit(""), lambda acc, p: F.when(p == "", acc).otherwise(R.combine(acc, F.ltrim(p, F.lit("/")))))
-    return out.select("node_id", joined.alias("prefix"))
+        out = out.join(up, "parent_id", "left").select("node_id", F.concat(F.coalesce("up", F.lit("")), F.col("part")).alias("part"), F.col("next_id").alias("parent_id"))
+    prefix = out.select(F.col("node_id").alias("first"), F.col("part").alias("prefix"))
+    return near.join(prefix, "first").select("node_id", "prefix")
 
 
-def map_call_endpoints(calls: DataFrame, groups: DataFrame, chain: DataFrame | None = None) -> DataFrame:
+def map_call_endpoints(calls: DataFrame, groups: DataFrame, chain: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """Endpoints of map calls with a literal route. A handler that isn't one known method is inline and Inferred; the document stays whole."""
-    prefix = group_prefixes(groups).withColumnRenamed("node_id", "receiver_id")
+    prefix = group_prefixes(groups, links).withColumnRenamed("node_id", "receiver_id")
     rows = calls.filter(R.is_map_call(F.col("map_name"), F.col("first_param_type")) & F.col("route").isNotNull()).join(prefix, "receiver_id", "left")
     handler = F.when(F.col("n_args") >= 2, F.col("handler_fqn"))
     out = rows.select(
         "call_id",
         R.verb_of_map(F.col("map_name")).alias("http_method"),
-        R.combine(F.coalesce("prefix", F.lit("")), F.ltrim("route", F.lit("/"))).alias("route"),
+        R.normalise(F.concat(F.coalesce("prefix", F.lit("")), F.lit("/"), F.btrim("route", F.lit("/")))).alias("route"),
         F.when(handler.isNotNull(), F.col("handler_display")).otherwise("inline handler").alias("handler_display"),
         handler.alias("handler_fqn"),
         F.lit("MinimalApi").alias("kind"),

@@ -23,7 +23,11 @@ def symbol_rows(symbols: DataFrame, projects: DataFrame) -> DataFrame:
 
 def projects_with_counts(projects: DataFrame, symbols: DataFrame) -> DataFrame:
     counts = symbols.groupBy(F.col("project_id").alias("id")).agg(F.count("*").alias("symbol_count"))
-    return projects.join(counts, "id", "left").withColumn("symbol_count", F.coalesce("symbol_count", F.lit(0).cast("long"))).orderBy(X.nocase("name"), "id")
+    return projects.join(counts, "id", "left").withColumn("symbol_count", F.coalesce("symbol_count", F.lit(0).cast("long"))).orderBy(*project_order())
+
+
+def project_order() -> tuple:
+    return (X.nocase("name"), "id")
 
 
 def scoped(projects: DataFrame, name: str | None) -> DataFrame:
@@ -36,7 +40,11 @@ def namespaces(symbols: DataFrame, project_id: int | None = None, ordered: bool
     if project_id is not None:
         rows = rows.filter(F.col("project_id") == project_id)
     got = rows.select("project_id", F.coalesce("namespace", F.lit("")).alias("namespace")).distinct()
-    return got.orderBy("project_id", X.nocase("namespace"), "namespace") if ordered else got
+    return got.orderBy(*namespace_order()) if ordered else got
+
+
+def namespace_order() -> tuple:
+    return ("project_id", X.nocase("namespace"), "namespace")
 
 
 def types(symbols: DataFrame, project_id: int | None = None, namespace: str | None = None, ordered: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators import diagnostics, endpoints, resolve
+from strandline.operators import diagnostics, endpoints, resolve, spans
 from strandline.plans.catalog import Catalog
 from strandline.sources import facts as facts_source
 
@@ -31,7 +31,8 @@ def symbols(raw: DataFrame, project_rows: DataFrame) -> DataFrame:
 def relations(facts: dict[str, DataFrame], symbol_rows: DataFrame, project_rows: DataFrame) -> DataFrame:
     """Staged edges: calls with their own project, implementations and overrides with those of their source symbol."""
     ids = project_rows.select(F.col("name").alias("project"), F.col("id").alias("project_id"))
-    calls = endpoints.call_edges(facts["raw_calls"], symbol_rows).join(ids, "project")
+    raw = facts["raw_calls"].unionByName(spans.attributed(facts["raw_call_sites"], facts["raw_declarations"]))
+    calls = endpoints.call_edges(raw, symbol_rows).join(ids, "project")
     own = endpoints.implements_edges(facts["raw_implements"]).unionByName(endpoints.override_edges(facts["raw_methods"])).distinct()
     named = symbol_rows.groupBy(F.col("fqn").alias("target_fqn")).agg(F.min("display").alias("known"))
     of = symbol_rows.select(F.col("fqn").alias("source_fqn"), "project_id").distinct()
@@ -48,7 +49,7 @@ def endpoint_rows(facts: dict[str, DataFrame], symbol_rows: DataFrame, project_r
     ids = project_rows.select(F.col("name").alias("project"), F.col("id").alias("project_id"))
     documents = facts["raw_documents"].join(ids, "project").groupBy("document").agg(F.min("project_id").alias("project_id"))
     where = facts["raw_map_calls"].select("call_id", "document").join(documents, "document", "left").select("call_id", "project_id", F.col("document").alias("file_path"))
-    by_call = endpoints.map_call_endpoints(facts["raw_map_calls"], facts["raw_groups"], facts["raw_chain"]).join(where, "call_id").withColumn("line", F.lit(None).cast("int"))
+    by_call = endpoints.map_call_endpoints(facts["raw_map_calls"], facts["raw_groups"], facts["raw_chain"], facts["raw_group_links"]).join(where, "call_id").withColumn("line", F.lit(None).cast("int"))
     both = by_type.unionByName(by_call.select(by_type.columns))
     return endpoints.with_dependencies(both, endpoints.inline_dependencies(facts["raw_parameters"], facts["raw_inline_calls"]))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import model as M
 from strandline.functions import routes as R
 from strandline.functions import text as X
-from strandline.operators import endpoints
+from strandline.operators import diagnostics, endpoints, explorer, resolve, spans
 from strandline.queries import query
 
 MVC, BASE = R.MVC_NAMESPACE, endpoints.CONTROLLER_BASES[0]
@@ -178,3 +178,74 @@ def plural_counts(m):
     rows = explorer.projects_with_counts(m.projects, m.symbols)
     path = F.when(F.col("name") == "CANADA", "/home/u").otherwise(F.concat(F.lit("/home/u/"), F.col("name"), F.lit(".csproj")))
     return rows.select(X.plural(F.col("symbol_count"), "symbol", "symbols").alias("metric"), "name", D.home_relative(path, "/home/u").alias("place"))
+
+
+SPANS = """k as (select p_partkey as k, p_partkey & -p_partkey as low from part),
+s as (select concat('d', k % 3) as document, k * 16 as a, (k + low) * 16 as z, case when k % 7 = 0 then concat('P', k) when k % 5 <> 0 then concat('M', k) end as name from k)"""
+
+
+@query("enclosing_spans", f"with {SPANS}, l as (select *, row_number() over () as rid from lineitem) select any_value(l_orderkey * 8 + l_linenumber) as node_id, arg_max(name, a) as source_fqn from l join s on document = concat('d', l_suppkey % 3) and l_partkey * 16 + l_linenumber >= a and l_partkey * 16 + l_linenumber < z and name is not null group by rid")
+def enclosing_spans(m):
+    """Spans nested by the powers of two in their keys: members, accessors of properties, and local functions without a name; each order line is a place."""
+    k = F.col("p_partkey")
+    low = k.bitwiseAND(-k)
+    found = m.raw("part").select(name("d", k % 3).alias("document"), (k * 16).alias("start"), ((k + low) * 16).alias("end"), k.alias("ord"), F.when((k % 5 != 0) & (k % 7 != 0), name("M", k)).alias("symbol_fqn"), F.when(k % 7 == 0, name("P", k)).alias("associated_fqn"))
+    places = m.raw("lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("node_id"), name("d", F.col("l_suppkey") % 3).alias("document"), (F.col("l_partkey") * 16 + F.col("l_linenumber")).alias("at"))
+    return spans.enclosing_spans(found, places).select("node_id", "source_fqn")
+
+
+@query("group_prefix_links", """
+with recursive g as (select c_custkey as node_id, case when c_custkey % 60 <> 0 then c_custkey - 1 end as parent_id, c_custkey % 5 as k, case when c_custkey % 5 = 0 then concat('/', trim(case when c_custkey % 2 = 0 then concat('~/g', c_custkey, '/') else concat('/h', c_custkey) end, '/')) else '' end as part from customer),
+w as (select node_id, parent_id, part as prefix, case when k < 2 then 1 else 0 end as counted from g
+ union all select w.node_id, g.parent_id, concat(g.part, w.prefix), w.counted + case when g.k < 2 then 1 else 0 end from w join g on g.node_id = w.parent_id where w.counted < 8),
+r as (select c_custkey as node_id from customer where exists (select 1 from g where g.node_id <= c_custkey and g.node_id >= c_custkey - c_custkey % 60 and g.k < 2))
+select node_id, arg_max(prefix, counted) as prefix from (select node_id, prefix, counted * 1000 + length(prefix) as counted from w) join r using (node_id) group by node_id""")
+def group_prefix_links(m):
+    """Chains of 60 nodes: of five, one is a group, one a local and three are calls between; some literals start with ~/ or end with a slash."""
+    c = F.col("c_custkey")
+    literal = F.when(c % 2 == 0, name("~/g", c, "/")).otherwise(name("/h", c))
+    groups = m.raw("customer").select(c.alias("node_id"), F.when(c % 60 != 0, c - 1).alias("parent_id"), (c % 5 == 0).alias("is_map_group"), F.when(c % 5 == 0, literal).alias("literal"))
+    links = m.raw("customer").filter(c % 5 != 0).select(c.alias("node_id"), (c % 5 == 1).alias("is_local"))
+    return endpoints.group_prefixes(groups, links)
+
+
+@query("projects_in_order", "select id, name, row_number() over (order by translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), id) as seq from projects", "projects")
+def projects_in_order(m):
+    return resolve.assign_ids(m.projects.select("id", "name"), *explorer.project_order(), out="seq")
+
+
+@query("namespaces_in_order", """with n as (select distinct project_id, coalesce(namespace, '') as namespace from symbols where kind <> 'Namespace' and container_fqn is null)
+select project_id, namespace, row_number() over (order by project_id, translate(namespace, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), namespace) as seq from n""", "symbols")
+def namespaces_in_order(m):
+    return resolve.assign_ids(explorer.namespaces(m.symbols, ordered=False), *explorer.namespace_order(), out="seq")
+
+
+@query("selection_retained_all", "select id from endpoints where upper(route) like '%/API/A%'", "endpoints")
+def selection_retained_all(m):
+    """As selection_retained, with every endpoint selected."""
+    return explorer.retained(m.endpoints.select("id"), m.endpoints.filter(explorer.matches("/api/a", "route")))
+
+
+@query("compile_health_messages", """
+with x as (select project, id as ord, case when id % 3 = 0 then 'CS0246' when id % 7 = 0 then 'CS0012' else 'CS1002' end as error_id, message from diagnostics where project is not null and severity = 'Error'),
+g as (select project, count(*) as n, count(*) filter (error_id <> 'CS1002') as u, coalesce(arg_min(message, ord) filter (error_id <> 'CS1002'), arg_min(message, ord)) as example from x group by project)
+select project, 'Warning' as severity, case when u > 0 then concat(n, ' compilation error(s), among them ', u, ' unresolved reference(s), such as: ', example, '. Endpoints and relations of this project are under-reported.')
+ else concat(n, ' compilation error(s); the project is analysed in part. First: ', example) end as message from g""", "diagnostics")
+def compile_health_messages(m):
+    code = F.when(F.col("id") % 3 == 0, "CS0246").when(F.col("id") % 7 == 0, "CS0012").otherwise("CS1002")
+    rows = m.diagnostics.filter(F.col("project").isNotNull() & (F.col("severity") == "Error"))
+    return diagnostics.compile_health(rows.select("project", F.col("id").alias("ord"), code.alias("error_id"), "message")).select("project", "severity", "message")
+
+
+@query("step_and_health_texts", """
+select event_id as id, case when event_id % 3 = 0 then 'implements' else '' end as relation, case event_id % 4 when 0 then 'shown above' when 1 then 'continues deeper' else '' end as note,
+ case event_id % 5 when 0 then 'Indexing…' when 1 then 'Indexing failed' when 2 then 'Indexed with issues' when 3 then 'Index up to date' else 'Not indexed' end as health from events""")
+def step_and_health_texts(m):
+    from strandline.functions import display as D
+
+    e = F.col("event_id")
+    of = lambda n, *values: F.get(F.array(*[F.lit(v) for v in values]), (e % n).cast("int"))
+    return m.raw("events").select(
+        e.alias("id"), D.step_relation(of(3, "Implements", "Calls", "Entry")).alias("relation"), D.step_note(of(4, "Repeated", "Deeper", "Terminal", "Expanded")).alias("note"),
+        D.health_text(of(5, "Indexing", "Failed", "Warnings", "Ready", "None")).alias("health"),
+    )
