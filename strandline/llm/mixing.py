@@ -35,8 +35,10 @@ def label_domain() -> Column:
 
 
 def word_rows(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
-    w = F.explode(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+")).alias("w")
-    return docs.select(F.col(key).alias("_id"), *more, w).filter("w <> ''").select("_id", *more, F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    """(_id, bucket) of each word; a text without words has one row whose bucket is null."""
+    words = F.filter(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select(F.col(key).alias("_id"), *more, F.explode_outer(words).alias("w"))
+    return rows.select("_id", *more, F.when(F.col("w").isNotNull(), F.pmod(F.xxhash64("w"), F.lit(BUCKETS))).cast("int").alias("bucket"))
 
 
 def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str, text: str) -> tuple[DataFrame | None, dict[str, float], list[str]]:
@@ -46,7 +48,7 @@ def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], key:
         part = labelled.filter(F.col("domain") == d).select(F.col(key).alias(key), "domain").dropDuplicates([key]).orderBy(F.xxhash64(F.lit(13), key)).limit(SAMPLE)
         ids = part if ids is None else ids.unionByName(part)
     sample = docs.select(key, text).join(F.broadcast(ids), key)
-    counts = saved(word_rows(sample, key, text, "domain").groupBy("bucket").pivot("domain", domains).agg(F.count(F.lit(1))).na.fill(0), "mix-words")
+    counts = saved(word_rows(sample, key, text, "domain").filter("bucket is not null").groupBy("bucket").pivot("domain", domains).agg(F.count(F.lit(1))).na.fill(0), "mix-words")
     totals = counts.agg(*[F.coalesce(F.sum(f"`{d}`"), F.lit(0)).alias(d) for d in domains]).first()
     found = [d for d in domains if totals[d] > 0]
     if not found:
@@ -59,14 +61,14 @@ def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], key:
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
     """((_id, tokens, p array), domains in the order of p)."""
     weights, unseen, found = word_weights(docs, labelled, domains, key, text)
-    ids = docs.select(F.col(key).alias("_id")).distinct()
+    # every row of docs has a row here, so grouping gives all ids, a null one too, and nothing is joined back
     if weights is None:
-        n = word_rows(docs, key, text).groupBy("_id").agg(F.count("*").alias("tokens"))
-        return ids.join(n, "_id", "left").select("_id", F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"), F.array().cast("array<double>").alias("p")), []
+        n = word_rows(docs, key, text).groupBy("_id").agg(F.count("bucket").alias("tokens"))
+        return n.select("_id", "tokens", F.array().cast("array<double>").alias("p")), []
     scored = word_rows(docs, key, text).join(F.broadcast(weights), "bucket", "left")  # at most BUCKETS rows
-    sums = scored.groupBy("_id").agg(F.count("*").alias("tokens"), *[F.sum(F.coalesce(f"l_{i}", F.lit(unseen[d]))).alias(f"s_{i}") for i, d in enumerate(found)])
-    rows = ids.join(sums, "_id", "left")
-    n = F.coalesce("tokens", F.lit(0).cast("long"))
+    of = lambda i, d: F.sum(F.when(F.col("bucket").isNotNull(), F.coalesce(f"l_{i}", F.lit(unseen[d]))))
+    rows = scored.groupBy("_id").agg(F.count("bucket").alias("tokens"), *[of(i, d).alias(f"s_{i}") for i, d in enumerate(found)])
+    n = F.col("tokens")
     soft = F.least(n, F.lit(EVIDENCE)) / F.greatest(n, F.lit(1))
     logits = [F.coalesce(f"s_{i}", F.lit(0.0)) * soft for i in range(len(found))]
     top = F.greatest(*logits) if len(logits) > 1 else logits[0]
