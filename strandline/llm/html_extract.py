@@ -50,8 +50,12 @@ FRAME_SHARE, CLASS_SHARE = 4, 20  # a class is in the frame from a quarter of th
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEMPLATE_ROWS = 50_000
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)|[^<]+|<", re.S)
-_name = re.compile(r"</?\s*([a-zA-Z][^\s/>]*)")
+# A quote only opens a value right behind the equals sign; elsewhere it is a character, and > ends the tag.
+_token = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)*+(?:>|\Z)|[^<]+|<""",
+    re.S,
+)
+_name = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _attr = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
@@ -60,11 +64,17 @@ def h64(*parts) -> int:
 
 
 @functools.lru_cache(100_000)
-def _tag_token(path: str, shown: str) -> int:
+def _tag_token(path: int, shown: str) -> int:
     return h64("tag", path, shown)
 
 
-NOWHERE = ("", "", False, False, "")
+@functools.lru_cache(100_000)
+def _below(path: int, shown: str) -> int:
+    """The path of a block inside another: a running hash, so a page's memory doesn't follow the depth of its nesting."""
+    return h64("path", path, shown)
+
+
+NOWHERE = ("", "", False, False, 0)
 
 
 class Page:
@@ -73,7 +83,8 @@ class Page:
     def __init__(self, source: str):
         self.tags: list[tuple[int, int]] = []
         self.blocks: list[tuple[int, int, str, int, bool, bool]] = []
-        self.stack: list[tuple[str, str, bool, bool, str]] = []  # name, shown name, closed, article, path of blocks
+        self.stack: list[tuple[str, str, bool, bool, int]] = []  # name, shown name, closed, article, path of blocks
+        self.opened: dict[str, int] = defaultdict(int)
         self.text: list[str] = []
         self.links, self.in_link, self.place = 0, 0, 0
         raw_end = None
@@ -100,9 +111,6 @@ class Page:
                     raw_end = name
         self.flush()
 
-    def path(self) -> str:
-        return self.stack[-1][4] if self.stack else ""
-
     def flush(self) -> None:
         if self.text:
             # references are decoded in the whole block, then white space folds
@@ -131,11 +139,14 @@ class Page:
         if name in VOID or tag.endswith("/>"):
             return
         closed = above[2] or name in CLOSED or bool(labels and name not in ("html", "body", "article", "main") and CLOSED_NAMES.search(labels))
-        self.stack.append((name, shown, closed, above[3] or name in ("article", "main"), above[4] if name in INLINE else f"{above[4]}/{shown}"))
+        self.stack.append((name, shown, closed, above[3] or name in ("article", "main"), above[4] if name in INLINE else _below(above[4], shown)))
+        self.opened[name] += 1
         self.in_link += name == "a"
 
     def end(self, name: str, stops: tuple[str, ...]) -> None:
         """Closes the nearest open `name`, unless one of `stops` was opened inside it."""
+        if not self.opened[name]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == name:
                 self.pop(i)
@@ -147,6 +158,8 @@ class Page:
         self.place += 1
         if name not in INLINE:
             self.flush()
+        if not self.opened[name]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == name:
                 self.pop(i)
@@ -159,6 +172,7 @@ class Page:
             self.flush()
         for s in self.stack[i:]:
             self.in_link -= s[0] == "a"
+            self.opened[s[0]] -= 1
         del self.stack[i:]
 
 
