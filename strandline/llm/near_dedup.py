@@ -355,11 +355,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     """(doc_id, node, comp, class_id): comp is the class by its least node; class_id is the least id of the class, null if all its ids are."""
     spark = docs.sparkSession
     sketch = saved(sketched(docs, key, text), "near-sketch")
+    ids = saved(sketch.select("doc_id", "node"), "near-ids")
     nodes = saved(sketch.filter("n > 0").select("node", "n", "keys", "hist").dropDuplicates(["node"]), "near-nodes")
+    drop_saved(spark, sketch)  # what is wide goes as soon as it has been read for the last time
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     # histograms only move for nodes that share a key
     live = saved(keyed.join(sizes, "key").join(nodes.select("node", "n", "hist"), "node"), "near-buckets")
+    drop_saved(spark, nodes)
     id_text = docs.select(digest(text).alias("node"), F.col(text).alias("text"))
     comps, tested, take = None, None, 1
     while True:
@@ -388,16 +391,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
             live = left
             take *= GROWTH if tested is not new else 1  # the first round tests neighbours, the second pairs of classes
             continue
-        drop_saved(spark, live, still, links, pairs, nodes)
+        drop_saved(spark, live, still, links, pairs)
         break
-    least = sketch.groupBy("node").agg(F.min("doc_id").alias("least"))
+    least = ids.groupBy("node").agg(F.min("doc_id").alias("least"))
     if comps is not None:
         of = least.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         by = of.groupBy("comp").agg(F.min("least").alias("class_id"))
         least = of.join(by, "comp").select("node", "comp", "class_id")
     else:
         least = least.select("node", F.col("node").alias("comp"), F.col("least").alias("class_id"))
-    return sketch.select("doc_id", "node").join(least, "node").select("doc_id", "node", "comp", "class_id")
+    return ids.join(least, "node").select("doc_id", "node", "comp", "class_id")
 
 
 def op3(docs: DataFrame) -> DataFrame:
