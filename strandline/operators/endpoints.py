@@ -97,6 +97,24 @@ def base_chain(types: DataFrame) -> DataFrame:
             raise ValueError("a chain of bases comes back to itself")
 
 
+def along_bases(rows: DataFrame, *values: str, last: bool = False) -> DataFrame:
+    """rows (fqn, base_fqn, values) as (fqn, values): a value that is null comes from the nearest base that has it; with `last`, each value is that of the
+    furthest base that is a row. Each type keeps one row, whose link leaps twice as far each round, so n types at depth d cost n rows in log2(d) joins.
+    A base that isn't a row ends its chain; a chain that comes back to itself raises."""
+    state, rounds = rows.groupBy("fqn").agg(F.max("base_fqn").alias("up"), *[F.max(v).alias(v) for v in values]), 0
+    while True:
+        above = state.select(F.col("fqn").alias("up"), F.col("up").alias("_up"), *[F.col(v).alias(f"_{v}") for v in values])
+        both = [F.coalesce(f"_{v}", v) if last else F.coalesce(v, f"_{v}") for v in values]
+        moved = state.filter(F.col("up").isNotNull()).join(above, "up", "left").select("fqn", F.col("_up").alias("up"), *[b.alias(v) for b, v in zip(both, values, strict=True)])
+        state, rounds = state.filter(F.col("up").isNull()).unionByName(moved), rounds + 1
+        if rounds % 3 == 0:
+            state = resolve.cut(state)
+        if state.filter(F.col("up").isNotNull()).isEmpty():
+            return state.drop("up")
+        if rounds > 40:  # 2 ** 40 levels
+            raise ValueError("a chain of bases comes back to itself")
+
+
 def nearest(chain: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """(fqn, value) of the nearest type of the chain that has one; values: (owner_fqn, value)."""
     return chain.join(values.withColumnRenamed("owner_fqn", "base"), "base").groupBy("fqn").agg(F.min_by(value, "distance").alias(value))
@@ -116,17 +134,17 @@ def areas(attributes: DataFrame) -> DataFrame:
     return a.groupBy("owner_fqn").agg(F.min_by(t, "ord").alias("area"))
 
 
-def controllers(types: DataFrame, attributes: DataFrame, chain: DataFrame) -> DataFrame:
-    """Concrete classes that derive from a framework controller or carry [ApiController] themselves."""
-    derived = chain.filter(F.col("base").isin(*CONTROLLER_BASES)).select("fqn")
-    marked = attributes.filter(F.col("class_name") == "ApiControllerAttribute").select(F.col("owner_fqn").alias("fqn"))
-    return types.filter((F.col("type_kind") == "Class") & ~F.coalesce("is_abstract", F.lit(False))).join(derived.unionByName(marked).distinct(), "fqn", "left_semi")
+def controllers(types: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Concrete classes that derive from a framework controller or carry [ApiController] themselves; rows of types have `derived`."""
+    marked = attributes.filter(F.col("class_name") == "ApiControllerAttribute").select(F.col("owner_fqn").alias("fqn"), F.lit(True).alias("marked")).distinct()
+    concrete = types.filter((F.col("type_kind") == "Class") & ~F.coalesce("is_abstract", F.lit(False)))
+    return concrete.join(marked, "fqn", "left").filter(F.coalesce("derived", "marked", F.lit(False))).drop("marked")
 
 
 def override_roots(methods: DataFrame) -> DataFrame:
     """(fqn, root): the method that an override finally overrides; itself where it overrides nothing."""
-    links = methods.select("fqn", F.col("overridden_fqn").alias("base_fqn"))
-    return base_chain(links).groupBy("fqn").agg(F.max_by("base", "distance").alias("root"))
+    links = methods.select("fqn", F.col("overridden_fqn").alias("base_fqn"), F.coalesce("overridden_fqn", "fqn").alias("root"))
+    return along_bases(links, "root", last=True)
 
 
 def actions(methods: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -150,15 +168,16 @@ def verb_mappings(attributes: DataFrame) -> DataFrame:
 
 def controller_endpoints(types: DataFrame, methods: DataFrame, attributes: DataFrame) -> DataFrame:
     """One row per action, mapping, prefix and suffix: verb, route, handler and layered authorization."""
-    chain = base_chain(types)
-    ctl = controllers(types, attributes, chain).select("fqn", "name")
     own = route_templates(attributes)
-    prefix = nearest(chain, own, "templates").withColumnRenamed("templates", "prefixes")
-    area = nearest(chain, areas(attributes), "area")
+    given = own.select(F.col("owner_fqn").alias("fqn"), F.col("templates").alias("prefixes"))
+    placed = areas(attributes).withColumnRenamed("owner_fqn", "fqn")
+    base = F.col("fqn").isin(*CONTROLLER_BASES) | F.coalesce(F.col("base_fqn").isin(*CONTROLLER_BASES), F.lit(False))
+    inherited = along_bases(types.select("fqn", "base_fqn", F.when(base, True).alias("derived")).join(given, "fqn", "left").join(placed, "fqn", "left"), "derived", "prefixes", "area")
+    ctl = controllers(types.join(inherited, "fqn"), attributes)
     auth = read_authorization(attributes)
     t_auth = auth.select(F.col("owner_fqn").alias("type_fqn"), *[F.col(c).alias(f"t_{c}") for c in ("requires", "anonymous", "policies", "roles")])
     m_auth = auth.select(F.col("owner_fqn").alias("fqn"), *[F.col(c).alias(f"m_{c}") for c in ("requires", "anonymous", "policies", "roles")])
-    c = ctl.join(prefix, "fqn", "left").join(area, "fqn", "left").select(F.col("fqn").alias("type_fqn"), F.col("name").alias("controller"), "prefixes", "area")
+    c = ctl.select(F.col("fqn").alias("type_fqn"), F.col("name").alias("controller"), "prefixes", "area")
     acts = (
         actions(methods, attributes)
         .select("fqn", "type_fqn", F.col("name").alias("action"), F.coalesce("display", "name").alias("display"))

@@ -391,12 +391,34 @@ class Rebuild:
             self.folder = ""
 
 
+def _unfit(loaded: dict[str, dict[str, DataFrame]]) -> dict[str, str]:
+    """Projects whose rows hold a kind that the catalog doesn't know or lack a value it needs, with the reason; one job a table for all projects."""
+    out: dict[str, list[str]] = {}
+    for table in {t for data in loaded.values() for t in data}:
+        shape = schema.TABLES.get(table, schema.STAGED_RELATIONS)
+        words = VOCABULARY.get("relations" if table == "staged_relations" else table, {})
+        parts = []
+        for name, data in loaded.items():
+            if table in data:
+                rows = data[table]
+                need = [F.when(F.col(f.name).isNull(), f"{f.name} is null") for f in shape if not f.nullable and f.name in rows.columns]
+                known = [F.when(~F.col(c).isin(*values), F.concat(F.lit(f"unknown {c} "), F.col(c))) for c, values in words.items() if c in rows.columns]
+                parts.append(rows.select(F.lit(name).alias("project"), F.coalesce(*need, *known, F.lit(None).cast("string")).alias("why")))
+        both = parts[0]
+        for p in parts[1:]:
+            both = both.unionByName(p)
+        for r in both.filter("why is not null").groupBy("project").agg(F.count("*").alias("n"), F.min("why").alias("why")).collect():  # a row a project
+            out.setdefault(r["project"], []).append(f"{r['n']} row(s) of {table}: {r['why']}")
+    return {k: "; ".join(sorted(v)) for k, v in out.items()}
+
+
 def build_index(catalog: Catalog, source_path: str, projects: list[str], load: Callable, progress: Callable | None = None) -> dict:
     """Builds a catalog from per-project fact tables. load(name) gives a dict of DataFrames (projects, symbols, staged_relations, endpoints,
     endpoint_dependencies, diagnostics); one that raises is skipped with an Error row and the others go on. Returns the metadata."""
     tell = progress or (lambda *_: None)
     spark = catalog.spark
     notes: list[tuple] = []
+    loaded: dict[str, dict[str, DataFrame]] = {}
     with catalog.begin_rebuild() as session:
         for i, name in enumerate(projects):
             tell(f"Indexing {name}...", i, len(projects))
@@ -409,6 +431,12 @@ def build_index(catalog: Catalog, source_path: str, projects: list[str], load: C
             except Exception as e:  # one project's failure, of whatever kind, must not end the build
                 notes.append(("Error", name, f"The project was skipped, as indexing it failed: {e}"))
                 continue
+            loaded[name] = data
+        for name, why in _unfit(loaded).items():
+            del loaded[name]
+            notes.append(("Error", name, f"The project was skipped, as indexing it failed: {why}"))
+        notes.sort(key=lambda x: projects.index(x[1]))
+        for data in loaded.values():
             for table, rows in data.items():
                 session._add(table, rows)
         if not projects:

@@ -314,8 +314,7 @@ def inherited_route(m):
     c = F.col("c_custkey")
     name = lambda k: F.concat(F.lit("T"), k.cast("string"))
     types = m.raw("customer").select(name(c).alias("fqn"), F.when(c % 5 != 0, name(c - 1)).alias("base_fqn"), F.when((c % 5).isin(0, 2), F.concat(F.lit("r"), c.cast("string"))).alias("route"))
-    own = types.filter(F.col("route").isNotNull()).select(F.col("fqn").alias("owner_fqn"), "route")
-    return endpoints.nearest(endpoints.base_chain(types.select("fqn", "base_fqn")), own, "route")
+    return endpoints.along_bases(types, "route").filter(F.col("route").isNotNull())
 
 
 @query("group_prefix", "with recursive g as (select c_custkey as node_id, case when c_custkey % 4 <> 0 then c_custkey - 1 end as parent_id, case when c_custkey % 2 = 0 then concat('/g', c_custkey) else '' end as part from customer), w as (select node_id, parent_id, part as prefix, 1 as d from g union all select w.node_id, g.parent_id, concat(g.part, w.prefix), w.d + 1 from w join g on g.node_id = w.parent_id where w.d < 8) select node_id, case when arg_max(prefix, d) = '' then '' else arg_max(prefix, d) end as prefix from w group by node_id")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline import queries
 from strandline.functions import model as M
 from strandline.functions import routes as R
 from strandline.functions import text as X
-from strandline.operators import diagnostics, endpoints, explorer, resolve, spans
+from strandline.operators import diagnostics, endpoints, explorer, resolve, spans, trace
 from strandline.queries import query
 
 MVC, BASE = R.MVC_NAMESPACE, endpoints.CONTROLLER_BASES[0]
@@ -180,6 +181,13 @@ def plural_counts(m):
     return rows.select(X.plural(F.col("symbol_count"), "symbol", "symbols").alias("metric"), "name", D.home_relative(path, "/home/u").alias("place"))
 
 
+@query("trace_of_few", f"select * from ({queries.TRACE_SQL.strip()}) t where endpoint_id in (select id from endpoints where route = '/api/building/7')", "relations", "endpoint_dependencies", "endpoints", "symbols")
+def trace_of_few(m):
+    """Traces of the endpoints of one route, from the part of the graph they reach."""
+    symbols, relations = resolve.cut(m.symbols), resolve.cut(m.relations)  # stored tables, as in a catalog
+    return trace.trace_of(m.endpoints.filter("route = '/api/building/7'"), m.endpoint_dependencies, relations, symbols)
+
+
 SPANS = """k as (select p_partkey as k, p_partkey & -p_partkey as low from part),
 s as (select concat('d', k % 3) as document, k * 16 as a, (k + low) * 16 as z, case when k % 7 = 0 then concat('P', k) when k % 5 <> 0 then concat('M', k) end as name from k)"""
 

@@ -98,6 +98,16 @@ def test_one_shuffle_checks_uniqueness(spark):
     assert text.count("Exchange") == 1 and text.count("Sort ") == 1
 
 
+@pytest.fixture(scope="module")
+def live(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("store") / "c"
+    c = Catalog.open(spark, str(root))
+    with c.begin_rebuild() as s:
+        s.add_symbols(symbols(spark, 3))
+        s.complete("/w")
+    return root, c
+
+
 @pytest.mark.parametrize(("what", "build"), [
     ("name is null", lambda spark, s: s.add_symbols(symbols(spark, 5).withColumn("name", F.when(F.col("id") != 3, F.col("name"))))),
     ("unknown symbol kind", lambda spark, s: s.add_symbols(symbols(spark, 5).withColumn("kind", F.lit("Odd")))),
@@ -109,17 +119,15 @@ def test_one_shuffle_checks_uniqueness(spark):
     ("requires_auth is null", lambda spark, s: s.add_endpoints(endpoint_rows(spark, [1]).drop("requires_auth"))),
     ("message is null", lambda spark, s: s.add_diagnostics(spark.createDataFrame([("Error", None, None)], "severity string, project string, message string"))),
 ])
-def test_violations_leave_the_live_version(spark, tmp_path, what, build):
-    c = Catalog.open(spark, str(tmp_path / "c"))
-    with c.begin_rebuild() as s:
-        s.add_symbols(symbols(spark, 3))
-        s.complete("/w")
+def test_violations_leave_the_live_version(spark, live, what, build):
+    root, _ = live
+    c = Catalog.open(spark, str(root))
     with pytest.raises(ConstraintError, match=what), c.begin_rebuild() as s:
         build(spark, s)
         s.complete("/other")
-    again = Catalog.open(spark, str(tmp_path / "c"))
+    again = Catalog.open(spark, str(root))
     assert again.metadata()["source_path"] == "/w" and again.table("symbols").count() == 3
-    assert sum(f.name.startswith("v-") for f in (tmp_path / "c").iterdir()) == 1
+    assert sum(f.name.startswith("v-") for f in root.iterdir()) == 1
 
 
 def test_repeated_edges_are_seen(spark, tmp_path, monkeypatch):
