@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators import diagnostics, endpoints, resolve, spans
-from strandline.plans.catalog import Catalog
+from strandline.plans.catalog import LAYOUT, Catalog
 from strandline.sources import facts as facts_source
 
 
@@ -72,21 +72,33 @@ def notes(facts: dict[str, DataFrame]) -> DataFrame:
 
 
 def build_from_facts(catalog: Catalog, source_path: str, facts: dict[str, DataFrame], progress: Callable | None = None) -> dict:
-    """Builds and publishes a catalog from fact tables (schema.FACTS); gives its metadata."""
-    tell = progress or (lambda *_: None)
+    """Builds and publishes a catalog from fact tables (schema.FACTS); gives its metadata.
+
+    `progress` is called with (message, done, total): what is done are the written tables, two of facts and those of the catalog, each named with
+    its rows once Spark has counted them while writing."""
+    tell, total = progress or (lambda *_: None), 2 + len(LAYOUT)
+    done = 0
+
+    def written(table: str, rows: int) -> None:
+        nonlocal done
+        done += 1
+        tell(f"Wrote {rows:,} row(s) of {table}.", done, total)
+
     with catalog.begin_rebuild() as session:
-        tell("Reading projects...", 0, 3)
+        tell("Reading projects...", done, total)
         project_rows = resolve.cut(projects(facts["raw_projects"]))  # ids are looked up from several sides
+        done += 1
+        tell("Reading symbols...", done, total)
         symbol_rows = resolve.cut(symbols(facts["raw_symbols"], project_rows))
-        tell("Binding edges and endpoints...", 1, 3)
+        done += 1
+        tell("Binding edges and endpoints...", done, total)
         rows, links = endpoint_rows(facts, symbol_rows, project_rows)
         session.add_projects(project_rows)
         session.add_symbols(symbol_rows)
         session.add_relations(relations(facts, symbol_rows, project_rows))
         session.add_endpoints(rows.drop("call_id"), links)
         session.add_diagnostics(notes(facts))
-        tell("Writing index...", 2, 3)
-        session.complete(source_path)
+        session.complete(source_path, told=written)
     m = catalog.metadata()
-    tell(f"Indexed {m['symbol_count']:,} symbols in {m['project_count']} project(s).", 3, 3)
+    tell(f"Indexed {m['symbol_count']:,} symbols in {m['project_count']} project(s).", total, total)
     return m

@@ -318,6 +318,7 @@ class Rebuild:
         got, out = seen.get, spark.read.schema(shape).parquet(path)
         n = got["n"]
         self.counts[table] = n
+        self.told(table, n)
         broken = [f"{got[what]} row(s) of {table}: {what}" for what in bad if got[what]]
         whole = n == 0 or (got["least"], got["most"], got["sum"], got["squares"]) == (1, n, n * (n + 1) // 2, n * (n + 1) * (2 * n + 1) // 6)
         if numbered and not whole:
@@ -333,9 +334,11 @@ class Rebuild:
         if n != self.counts[after]:
             raise ConstraintError(f"{n} {what} came in, {self.counts[after]} rows of {after} were written")
 
-    def complete(self, source_path: str, at: datetime | None = None) -> Catalog:
-        """Resolves edges, handlers and dependencies against the written symbols, stamps metadata and makes the version live."""
+    def complete(self, source_path: str, at: datetime | None = None, told: Callable[[str, int], None] | None = None) -> Catalog:
+        """Resolves edges, handlers and dependencies against the written symbols, stamps metadata and makes the version live.
+        `told` is called after each table of LAYOUT with its name and number of rows."""
         self.counts: dict[str, int] = {}
+        self.told = told or (lambda *_: None)
         projects_in = self._all("projects")
         if projects_in is not None and "loaded" in projects_in.columns:
             projects_in = projects_in.withColumn("loaded", F.coalesce("loaded", F.lit(True)))

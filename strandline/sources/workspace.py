@@ -6,7 +6,9 @@ import hashlib
 import json
 import os
 import re
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,8 @@ from strandline.functions import text as X
 # Extensions by rank, and folder names that are never entered.
 EXTENSIONS = {".slnx": 0, ".sln": 1, ".csproj": 2}
 PRUNED = ("bin", "obj", ".git", "node_modules", ".vs", ".idea")
+SOLUTIONS = (0, 1)  # ranks
+LISTERS = 16  # folders listed at the same time
 LISTING = T.StructType().add("path", "string").add("is_dir", "boolean").add("depth", "integer")
 
 
@@ -24,33 +28,69 @@ def is_supported(path):
     return X.extension(path).isin(*EXTENSIONS)
 
 
+def _place(spark: SparkSession, path: str):
+    """(file system, path as given rows spell it): absolute, without a scheme where none was given. Any store that Hadoop reads."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = given.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = fs.makeQualified(given)
+    return fs, full.toString() if given.toUri().getScheme() else full.toUri().getPath()
+
+
 def listing(spark: SparkSession, root: str, max_depth: int = schema.MAX_WORKSPACE_DEPTH) -> DataFrame:
-    """(path, is_dir, depth) of a folder on the driver's machine: a shallow walk, errors give nothing. Pruning and stopping are DataFrame rules."""
-    rows = []
+    """(path, is_dir, depth) of the solutions, projects and folders at and below a folder of the shared file system, level by level.
+
+    Folders are pruned before they are listed: none below a solution, none that is hidden or known to hold no sources, none deeper than max_depth.
+    Those of one level are listed at the same time. What can't be listed, or isn't there, gives nothing."""
+    try:
+        fs, base = _place(spark, root)
+    except Py4JJavaError:
+        return spark.createDataFrame([], LISTING)
+    made = spark._jvm.org.apache.hadoop.fs.Path
 
-    def walk(folder: str, depth: int) -> None:
+    def entries(folder: str) -> list[tuple[str, bool]]:
         try:
-            found = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError:
-            return
-        for e in found:
-            is_dir = e.is_dir(follow_symlinks=False)
-            rows.append((e.path, is_dir, depth))
-            if is_dir and depth < max_depth and e.name not in PRUNED and not e.name.startswith("."):
-                walk(e.path, depth + 1)
-
-    if os.path.isfile(root):
-        rows.append((os.path.abspath(root), False, 0))
-    elif os.path.isdir(root):
-        walk(os.path.abspath(root), 0)
+            found = [(f.getPath().getName(), f.isDirectory()) for f in fs.listStatus(made(folder))]
+        except Py4JJavaError:
+            return []
+        return sorted((f"{folder.rstrip('/')}/{name}", is_dir) for name, is_dir in found if is_dir or _rank(name) is not None)
+
+    rows: list[tuple[str, bool, int]] = []
+    level, depth = [], 0
+    if _listable(fs, made(base), "isDirectory"):
+        level = [base]
+    elif _listable(fs, made(base), "isFile"):
+        rows.append((base, False, 0))
+    with ThreadPoolExecutor(LISTERS) as pool:
+        while level:
+            below = []
+            for found in pool.map(entries, level):
+                rows += [(path, is_dir, depth) for path, is_dir in found]
+                if depth < max_depth and not any(_rank(path) in SOLUTIONS for path, is_dir in found if not is_dir):
+                    below += [path for path, is_dir in found if is_dir and not _is_pruned(path.rsplit("/", 1)[1])]
+            level, depth = below, depth + 1
     return spark.createDataFrame(rows, LISTING)
 
 
+def _listable(fs, path, test: str) -> bool:
+    try:
+        return getattr(fs, test)(path)
+    except Py4JJavaError:
+        return False
+
+
+def _rank(path: str) -> int | None:
+    return EXTENSIONS.get(os.path.splitext(path)[1].lower())
+
+
+def _is_pruned(name: str) -> bool:
+    return name.startswith(".") or name.lower() in PRUNED
+
+
 def candidates(files: DataFrame, root: str) -> DataFrame:
     """Solutions and projects of a listing, best first: rank, depth, file name. Nothing below a folder that holds a solution, nor in pruned folders."""
     rel = F.substring(F.col("path"), F.lit(len(root.rstrip("/")) + 2), F.length("path"))
     segments = F.slice(F.split(rel, "/"), 1, F.greatest(F.size(F.split(rel, "/")) - 1, F.lit(0)))
-    pruned = F.exists(segments, lambda s: s.isin(*PRUNED) | s.startswith("."))
+    pruned = F.exists(segments, lambda s: F.lower(s).isin(*PRUNED) | s.startswith("."))
     found = files.filter(~F.col("is_dir") & is_supported(F.col("path"))).filter(~pruned | (F.col("depth") == 0))
     folder = F.regexp_replace("path", "/[^/]*$", "")
     rows = found.select("path", "depth", folder.alias("folder"), X.extension(F.col("path")).alias("ext"))
@@ -66,7 +106,12 @@ def candidates(files: DataFrame, root: str) -> DataFrame:
 
 def find_candidates(spark: SparkSession, path: str) -> DataFrame:
     """A file gives itself if supported, a folder its candidates, a missing path nothing."""
-    return candidates(listing(spark, path), path if os.path.isdir(path) else os.path.dirname(os.path.abspath(path)))
+    try:
+        fs, base = _place(spark, path)
+    except Py4JJavaError:
+        return candidates(spark.createDataFrame([], LISTING), "/")
+    inside = _listable(fs, spark._jvm.org.apache.hadoop.fs.Path(base), "isDirectory")
+    return candidates(listing(spark, path), base if inside else base.rsplit("/", 1)[0])
 
 
 def resolve(spark: SparkSession, path: str) -> str | None:

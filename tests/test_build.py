@@ -4,6 +4,7 @@ import threading
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators import diagnostics, endpoints, explorer
 from strandline.plans.build import build_from_facts
@@ -62,7 +63,9 @@ def test_build_from_facts(spark, tmp_path):
     told = []
     c = Catalog.open(spark, str(tmp_path / "c"))
     m = build_from_facts(c, "/w/All.sln", facts_source.load(spark, f"{tmp_path}/facts"), lambda *a: told.append(a))
-    assert (m["project_count"], m["symbol_count"], m["endpoint_count"]) == (2, 5, 3) and told[-1][1:] == (3, 3)
+    assert (m["project_count"], m["symbol_count"], m["endpoint_count"]) == (2, 5, 3)
+    assert [d for _, d, _ in told] == sorted(d for _, d, _ in told) and {t for *_, t in told} == {told[-1][1]} == {9}
+    assert {"Wrote 5 row(s) of symbols.", "Wrote 3 row(s) of endpoints.", "Wrote 7 row(s) of diagnostics."} <= {what for what, *_ in told}
     assert [(r["name"], r["loaded"]) for r in c.table("projects").orderBy("id").collect()] == [("core", False), ("Web", True)]
     edges = {(r["kind"], r["target_fqn"], r["target_symbol_id"] is None) for r in c.table("relations").collect()}
     assert edges == {("Calls", "Core.ITill.Ring()", False), ("Implements", "Core.ITill.Ring()", False)}  # the override's source isn't indexed
@@ -96,3 +99,35 @@ def test_cancelled_build_leaves_the_catalog(spark, tmp_path):
             s.add_symbols(spark.range(10**12).selectExpr("id", "'Class' kind", "'n' name", "'f' fqn", "'d' display"))
             s.complete("/w/b.sln")
     assert Catalog.open(spark, str(tmp_path / "c")).metadata()["source_path"] == "/w/a.sln"
+
+
+def test_progress_counts_the_work_done(spark, tmp_path):
+    """Neither number of tasks falls, both grow table by table, and at the end they are equal; an error of the listener changes nothing."""
+    told = []
+
+    def tell(p):
+        told.append(p)
+        raise RuntimeError("listener")
+
+    rows = spark.range(4000).selectExpr("id + 1 as id", "'Class' as kind", "'n' as name", "concat('f', id) as fqn", "'d' as display")
+    c = Catalog.open(spark, str(tmp_path / "c"))
+    with progress.metered(spark, tell, every=0.05) as report, c.begin_rebuild() as s:
+        s.add_symbols(rows)
+        s.add_relations(rows.selectExpr("fqn as source_fqn", "'Calls' as kind", "concat('f', id) as target_fqn", "'t' as target_display", "'Exact' as provenance", "cast(null as bigint) as project_id"))
+        s.complete("/w/a.sln", told=lambda table, n: report(f"{n} {table}", 0, 0))
+    done, total = [p.done for p in told], [p.total for p in told]
+    assert done == sorted(done) and total == sorted(total) and all(d <= t for d, t in zip(done, total, strict=True)) and done[-1] == total[-1] > 10
+    at = {p.message: p.done for p in told}
+    assert 0 < at["4000 symbols"] < at["0 endpoints"] <= at["0 diagnostics"]
+    assert c.refresh().metadata()["symbol_count"] == 4000
+
+
+def test_skipped_stages_are_not_waited_for(spark):
+    told = []
+    with progress.metered(spark, told.append, every=0.05) as report:
+        rows = spark.range(0, 1000, 1, 6).groupBy((F.col("id") % 7).alias("k")).count().persist()
+        for i in range(3):
+            rows.orderBy("k").collect()
+            report(f"pass {i}", 0, 0)
+        rows.unpersist()
+    assert told[-1].done == told[-1].total > 6

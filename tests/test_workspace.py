@@ -28,6 +28,39 @@ def test_candidates(spark, tmp_path):
     assert names(spark, tmp_path / "n.txt") == []
 
 
+def test_listing_prunes_before_it_lists(spark, tmp_path, monkeypatch):
+    touch(tmp_path, "App/A.csproj", "App/notes.txt", "Node_Modules/x/No.csproj", ".cache/x/No.csproj", "BIN/No.csproj", "s/All.SLN", "s/src/In.csproj", "a/b/c/Low.csproj", "a/b/c/d/Lower.csproj", "odd [x] {y}/E,é.CSPROJ")
+    place, listed = W._place, []
+
+    class Watched:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def listStatus(self, path):
+            listed.append(path.toUri().getPath().removeprefix(str(tmp_path)))
+            return self.fs.listStatus(path)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    monkeypatch.setattr(W, "_place", lambda s, p: (Watched(place(s, p)[0]), place(s, p)[1]))
+    assert sorted(names(spark, tmp_path)) == ["A.csproj", "All.SLN", "E,é.CSPROJ", "Low.csproj"]
+    assert sorted(listed) == ["", "/App", "/a", "/a/b", "/a/b/c", "/odd [x] {y}", "/s"]
+
+
+def test_other_file_systems(spark, tmp_path):
+    """The same candidates by a path that only Hadoop reads, spelled as it was asked for; stores that aren't there give nothing."""
+    touch(tmp_path, "p/One.csproj", "q/Two.sln", "q/deep/Three.csproj")
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.shelf.link./w", f"file://{tmp_path}")
+    found = [r["path"] for r in W.find_candidates(spark, "viewfs://shelf/w").collect()]
+    assert found == ["viewfs://shelf/w/q/Two.sln", "viewfs://shelf/w/p/One.csproj"]
+    assert [r["path"] for r in W.find_candidates(spark, str(tmp_path)).collect()] == [f.replace("viewfs://shelf/w", str(tmp_path)) for f in found]
+    assert W.resolve(spark, "viewfs://shelf/w/p/One.csproj") == found[1] and W.source_text(spark, found[1]) == "x"
+    for gone in ("viewfs://shelf/w/none", "viewfs://nowhere/w", "nosuch://x/y"):
+        assert W.find_candidates(spark, gone).collect() == []
+
+
 def test_recent_list(tmp_path):
     touch(tmp_path, *[f"p{i}" for i in range(12)])
     r = W.RecentList(str(tmp_path / "x" / "recent.json"))
