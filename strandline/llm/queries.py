@@ -15,6 +15,7 @@ QUERIES = {
     "op7_decontamination": lambda spark, d: decontaminate.op7(documents(spark, d), documents(spark, d, "benchmark")),
     "op8_html_extraction": lambda spark, d: html_extract.op8(documents(spark, d, "pages")),
     "op9_warc_revisits": lambda spark, d: warc.op9(documents(spark, d, "pages")),
+    "warc_revisits_all_pages": lambda spark, d: warc.op9(documents(spark, d, "pages"), every=1),
     "op10_suffix_dedup": lambda spark, d: suffix_dedup.op10(documents(spark, d)),
     "op11_periodic_runs": lambda spark, d: periodic_runs.op11(documents(spark, d)),
     "op12_exact_topk": lambda spark, d: exact_topk.op12(documents(spark, d, "embeddings")),
@@ -25,6 +26,7 @@ ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE_OP1,
     "op2_quality_rules": quality.ORACLE_OP2,
     "op9_warc_revisits": warc.ORACLE_OP9,
+    "warc_revisits_all_pages": warc.ORACLE_OP9_ALL,
     "op12_exact_topk": exact_topk.ORACLE_OP12,
     "op13_filter_audit": filter_audit.ORACLE_OP13,
 }

@@ -165,8 +165,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 # ---- query ---------------------------------------------------------------------------------------------------
 
 
-def captures(pages: DataFrame) -> DataFrame:
-    """Capture records of a table of pages: each page is a response, and every third a later or (every seventh of these) much earlier revisit."""
+def captures(pages: DataFrame, every: int = 3) -> DataFrame:
+    """Capture records of a table of pages: each page is a response, and one in `every` has a later or (every seventh of these) much earlier revisit.
+    A page without an id has no moment, so it is a response without a date and is never revisited."""
     p = F.col("page_id")
     tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
     when = F.lit(1_700_000_000) + (p * 7919) % 1_000_000
@@ -175,13 +176,13 @@ def captures(pages: DataFrame) -> DataFrame:
     later = when + F.when(p % 7 == 0, -900_000).otherwise(86_400)
     sent = F.when(p % 15 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag))
     age = F.concat(F.lit("max-age="), (p % 100).cast("string"))
-    again = pages.filter(p % 3 == 0).select((p * 2 + 1).alias("record_id"), F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("uri"), F.timestamp_seconds(later).alias("date"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), F.create_map(F.lit("set-cookie"), F.lit("x=1"), *common(age, later, sent)).alias("headers"), F.lit(None).cast("binary").alias("body"))
+    again = pages.filter(p % every == 0).select((p * 2 + 1).alias("record_id"), F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("uri"), F.timestamp_seconds(later).alias("date"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), F.create_map(F.lit("set-cookie"), F.lit("x=1"), *common(age, later, sent)).alias("headers"), F.lit(None).cast("binary").alias("body"))
     return full.unionByName(again)
 
 
-def op9(pages: DataFrame) -> DataFrame:
+def op9(pages: DataFrame, every: int = 3) -> DataFrame:
     """Revisits of the pages table with their merged headers and the digest of the body they stand for."""
-    records = captures(pages)
+    records = captures(pages, every)
     bodies = pages.select((F.col("page_id") * 2).alias("response_id"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("body_sha256"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("n_bytes")).filter("response_id is not null")
     bodies = bodies.groupBy("response_id").agg(F.min(F.struct("body_sha256", "n_bytes")).alias("b")).select("response_id", "b.*")
     found = resolved(records).join(bodies, "response_id", "left")
@@ -201,3 +202,5 @@ select record_id, canonical_url, case when outcome = 'resolved' then rid end as
  case when outcome = 'resolved' then 'cache-control: ' || age || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || t || chr(10) || 'etag: ' || tag end as headers,
  case when outcome = 'resolved' then sha256(coalesce(html, '')) end as body_sha256, case when outcome = 'resolved' then octet_length(encode(coalesce(html, ''))) end as n_bytes
 from o left join pages on page_id * 2 = rid"""
+#: The same with a revisit of every page.
+ORACLE_OP9_ALL = ORACLE_OP9.replace("where page_id % 3 = 0", "where page_id is not null")

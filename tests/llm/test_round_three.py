@@ -146,3 +146,20 @@ def test_clashing_columns_and_long_texts(spark, prose):
         assert same(op(odd)) == same(op(plain)), op
     words = {r["doc_id"]: r["n_words"] for r in quality.op2(odd).collect()}
     assert words == {1: len(re.findall(r"\S+", long)), 2: 90, 3: 0}
+
+
+def test_revisits_of_all_pages_equal_sql(spark):
+    """Every page with an id is revisited once; the rows of a third of them are those of the query beside it."""
+    import duckdb
+
+    from strandline.llm import queries
+
+    folder, name = "/root/testdata/sf0.001", "warc_revisits_all_pages"
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{folder}/pages.parquet'")
+    names = sorted(queries.QUERIES[name](spark, folder).columns)
+    got = [tuple(r) for r in queries.QUERIES[name](spark, folder).select(names).collect()]
+    assert sorted(got, key=repr) == sorted(con.execute(f"select {', '.join(names)} from ({queries.ORACLE[name]})").fetchall(), key=repr)
+    assert len(got) == con.execute("select count(page_id) from pages").fetchone()[0] and {r[names.index("outcome")] for r in got} == {"resolved", "mismatch", "orphan"}
+    third = queries.QUERIES["op9_warc_revisits"](spark, folder).select("record_id").collect()
+    assert {r["record_id"] for r in third} < {r[names.index("record_id")] for r in got}
