@@ -299,12 +299,11 @@ def _is_stars(edges: DataFrame) -> bool:
 
 
 def contracted(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, comp) of all nodes in edges: comp is the least node of the component. Alternating large and small stars; each round is written."""
-    e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "near-edges")
-    for _ in range(rounds):
+    """(node, comp) of all nodes in edges, which are read more than once: comp is the least node of the component. Alternating large and small stars; each round is written."""
+    e = last = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+    for turn in range(rounds):
         if _is_stars(e):
             break
-        last = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
         large = e.join(low, "v").select("u", F.col("m").alias("v"))  # an edge hangs on the least node next to its lower end
@@ -312,7 +311,9 @@ def contracted(edges: DataFrame, rounds: int = 50) -> DataFrame:
         # the lower ends of one node meet in the least of them; the row of that one keeps the node itself
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         e = saved(small, "near-edges")
-        drop_saved(e.sparkSession, last)
+        if turn:  # the first edges are the caller's
+            drop_saved(e.sparkSession, last)
+        last = e
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
@@ -324,7 +325,8 @@ def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
         return None if links.isEmpty() else saved(contracted(links), "near-classes")
     side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
     known = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    across = saved(known.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct(), "near-across")
+    ca, cb = F.coalesce("ca", "a"), F.coalesce("cb", "b")
+    across = saved(known.select(F.greatest(ca, cb).alias("a"), F.least(ca, cb).alias("b")).filter("a <> b").distinct(), "near-across")
     if across.isEmpty():
         return comps
     to = saved(contracted(across), "near-merged")
@@ -335,22 +337,34 @@ def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return out
 
 
-def dealt(live: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Rows of buckets by block: key, block, own, node, n, hist, comp, and later the keys that the node still has. Before there are classes a node is in one block. After that only buckets with
-    several classes go on, and of those with several blocks nodes outside the largest class meet all blocks, so that each pair across classes meets."""
+def dealt(state: DataFrame) -> DataFrame:
+    """Rows of buckets by block: key, block, own, node, n, hist, comp, and with classes the keys that the node still has. Before there are classes a node is in one block. After that
+    nodes outside the largest class meet all blocks of a bucket of several, so that each pair across classes meets."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     side = F.pmod(F.xxhash64("key", "node"), blocks).cast("int")
-    if comps is None:
-        return live.select("key", side.alias("block"), F.lit(True).alias("own"), "node", "n", "hist", F.col("node").alias("comp"))
-    m = live.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = m.groupBy("key", "comp").agg(F.count("*").alias("s"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("s", "comp")).alias("top")).filter("classes > 1").select("key", F.col("top.comp").alias("top"))
-    m = m.join(largest, "key").withColumn("side", side)
-    m = m.join(m.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node")
+    if "comp" not in state.columns:
+        m = state.select("node", "n", "hist", F.inline("buckets"))
+        return m.select("key", side.alias("block"), F.lit(True).alias("own"), "node", "n", "hist", F.col("node").alias("comp"))
+    m = state.select("node", "n", "hist", "comp", F.col("buckets.key").alias("keys"), F.inline("buckets")).withColumn("side", side)
     to = F.when((F.col("comp") == F.col("top")) | (blocks == 1), F.array("side")).otherwise(F.sequence(F.lit(0), blocks - 1))
     return m.withColumn("block", F.explode(to)).select("key", "block", (F.col("block") == F.col("side")).alias("own"), "node", "n", "hist", "comp", "keys")
 
 
+def narrowed(state: DataFrame, comps: DataFrame | None, still: DataFrame) -> DataFrame:
+    """The next round's nodes: (node, n, hist, comp, buckets), where buckets are those of open keys that hold several classes, each with its size and its largest class.
+    Keys are looked at without what is wide; a histogram moves once a node, not once a key."""
+    classed = state.select("node", F.col("node").alias("comp"), "buckets")
+    if comps is not None:
+        classed = state.select("node", "buckets").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "buckets")
+    each = saved(classed.select("node", "comp", F.inline("buckets")).select("node", "comp", "key", "c").join(still, "key", "left_semi"), "near-keys")
+    sizes = each.groupBy("key", "comp").agg(F.count("*").alias("s"))
+    largest = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("s", "comp")).alias("top")).filter("classes > 1").select("key", F.col("top.comp").alias("top"))
+    buckets = each.join(largest, "key").groupBy("node").agg(F.first("comp").alias("comp"), F.sort_array(F.collect_list(F.struct("key", "c", "top"))).alias("buckets"))
+    out = saved(state.select("node", "n", "hist").join(buckets, "node"), "near-state")
+    drop_saved(out.sparkSession, each)
+    return out
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, node, comp, class_id): comp is the class by its least node; class_id is the least id of the class, null if all its ids are."""
     spark = docs.sparkSession
@@ -360,13 +374,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     drop_saved(spark, sketch)  # what is wide goes as soon as it has been read for the last time
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    # histograms only move for nodes that share a key
-    live = saved(keyed.join(sizes, "key").join(nodes.select("node", "n", "hist"), "node"), "near-buckets")
+    # one row a node that shares a key: its histogram is held once, not with each key
+    shared = keyed.join(sizes, "key").groupBy("node").agg(F.collect_list(F.struct("key", "c")).alias("buckets"))
+    state = saved(nodes.select("node", "n", "hist").join(shared, "node"), "near-state")
     drop_saved(spark, nodes)
     id_text = docs.select(digest(text).alias("node"), F.col(text).alias("text"))
     comps, tested, take = None, None, 1
     while True:
-        rows = dealt(live, comps).repartition("key", "block").sortWithinPartitions("key", "block")
+        rows = dealt(state).repartition("key", "block").sortWithinPartitions("key", "block")
         found = rows.mapInArrow(_linker(take, similarity), "a binary, b binary, key long, more boolean")
         # a pair has SKETCHES keys at most, so the list is short
         pairs = saved(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.collect_set(F.when(F.col("more"), F.col("key"))).alias("open")), "near-pairs")
@@ -381,17 +396,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         # in a bucket without more, all pairs across classes that pass the bound are tested, and merging only takes pairs away
         still = pairs.select(F.explode("open").alias("key"))
         if tested is None:  # blocks haven't met yet
-            still = still.unionByName(live.filter(F.col("c") > BLOCK).select("key"))
+            still = still.unionByName(state.select(F.inline("buckets")).filter(F.col("c") > BLOCK).select("key"))
         still = saved(still.distinct(), "near-open")
         done = still.isEmpty()
         if not done:
             tested = new if tested is None else tested.unionByName(new)
-            left = saved(live.join(still, "key", "left_semi"), "near-buckets")
-            drop_saved(spark, live, still, links)
-            live = left
+            left = narrowed(state, comps, still)
+            drop_saved(spark, state, still, links)
+            state = left
             take *= GROWTH if tested is not new else 1  # the first round tests neighbours, the second pairs of classes
             continue
-        drop_saved(spark, live, still, links, pairs)
+        drop_saved(spark, state, still, links, pairs)
         break
     least = ids.groupBy("node").agg(F.min("doc_id").alias("least"))
     if comps is not None:
