@@ -33,12 +33,14 @@ def with_identity(rows: DataFrame, names: DataFrame, name_col: str, out: str) ->
 
 def merge_edges(staged: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges by source id. The source must be indexed in its own project (else the edge goes; duplicates fan out).
-    Equal (source, kind, target, display) merge, Exact wins; then the least display of each (source, kind, target) stays with its provenance."""
+    Equal (source, kind, target, display) merge, Exact wins; then the least display of each (source, kind, target) stays with its provenance.
+    Rows merge by name before they meet their sources, so a repeated edge of a repeated name gives each of its sources one row, not all of them."""
+    by_name = staged.groupBy("project_id", "source_fqn", "kind", "target_fqn", "target_display").agg(F.bool_or(F.col("provenance") == "Exact").alias("exact"))
     sources = symbols.select(F.col("project_id"), F.col("fqn").alias("source_fqn"), F.col("id").alias("source_symbol_id"))
     by_display = (
-        staged.join(sources, ["source_fqn", "project_id"])
+        by_name.join(sources, ["source_fqn", "project_id"])
         .groupBy("source_symbol_id", "kind", "target_fqn", "target_display")
-        .agg(F.bool_or(F.col("provenance") == "Exact").alias("exact"))
+        .agg(F.bool_or("exact").alias("exact"))
     )
     return (
         by_display.groupBy("source_symbol_id", "kind", "target_fqn")

@@ -1,6 +1,8 @@
 """Steps that must grow no faster than their input: repeated names, hubs, long documents."""
 
 from strandline import queries
+from strandline.operators import resolve
+from strandline.schema import STAGED_RELATIONS, TABLES
 from strandline.sources import adapter
 
 
@@ -36,3 +38,13 @@ def test_no_types_no_members(spark, tmp_path):
 
 def test_sql_of_symbols_stays(spark):
     assert "cross join n" in queries.ORACLE["callees"] and "cross join n" not in adapter.SPARK_SYMBOLS
+
+
+def test_repeated_edges_of_repeated_names_merge_before_they_meet(spark):
+    s = spark.createDataFrame([(i, "Method", n, f"X.{n}", n, 1, None, None, None, None, None, None) for i, n in enumerate("AAABBB", 1)], TABLES["symbols"])
+    staged = spark.createDataFrame([(1, "X.A", "Calls", "X.B", "b", "Inferred")] * 4 + [(1, "X.A", "Calls", "X.B", "b", "Exact"), (1, "X.A", "Calls", "X.B", "c", "Exact")], STAGED_RELATIONS)
+    merged = resolve.merge_edges(staged, s)
+    assert {tuple(r) for r in merged.collect()} == {(i, "Calls", "X.B", "b", "Exact") for i in (1, 2, 3)}
+    assert merged.count() == 3
+    plan = optimized(merged)
+    assert plan.index("Join ") < plan.rindex("Aggregate ")  # rows of one name merge below the join
