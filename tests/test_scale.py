@@ -1,7 +1,7 @@
 """Steps that must grow no faster than their input: repeated names, hubs, long documents."""
 
 from strandline import queries
-from strandline.operators import resolve
+from strandline.operators import resolve, trace
 from strandline.schema import STAGED_RELATIONS, TABLES
 from strandline.sources import adapter
 
@@ -48,3 +48,21 @@ def test_repeated_edges_of_repeated_names_merge_before_they_meet(spark):
     assert merged.count() == 3
     plan = optimized(merged)
     assert plan.index("Join ") < plan.rindex("Aggregate ")  # rows of one name merge below the join
+
+
+def test_endpoints_that_enter_alike_share_a_walk(spark):
+    s = spark.createDataFrame([(i, "Method", n, n, n, 1, None, None, None, None, None, None) for i, n in enumerate("ABC", 1)], TABLES["symbols"])
+    r = resolve.resolve_edges(spark.createDataFrame([(1, "A", "Calls", "B", "B", "Exact"), (1, "C", "Implements", "B", "B", "Exact")], STAGED_RELATIONS), s)
+    e = spark.createDataFrame([(i, "A" if i % 2 else None) for i in range(1, 7)], "id long, handler_fqn string")
+    d = spark.createDataFrame([(i, p, x) for i in (2, 4) for p, x in ((2, 1), (1, 3))], "endpoint_id long, pos long, symbol_id long")
+    walk = [(1, 0, "Entry", "Expanded"), (2, 1, "Calls", "Expanded"), (3, 2, "Implements", "Terminal")]
+    other = [(3, 0, "Entry", "Terminal"), *walk[:2], (3, 2, "Implements", "Repeated")]
+    for most in (trace.BROADCAST_EDGES, -1):
+        steps = trace.trace(e, d, r, s, broadcast_edges=most)
+        got = {}
+        for x in steps.orderBy("endpoint_id", "seq").collect():
+            got.setdefault(x["endpoint_id"], []).append((x["symbol_id"], x["depth"], x["step_kind"], x["step_end"]))
+        assert got == {1: walk, 3: walk, 5: walk, 2: other, 4: other}
+    plan = optimized(trace.trace(e, d, r, s))
+    assert "Aggregate [entry" in plan[plan.index("MapInPandas") :]
+    assert "Union" not in optimized(trace.edges(r))  # relations are read once for both kinds of edges
