@@ -1,8 +1,8 @@
 """Steps that must grow no faster than their input: repeated names, hubs, long documents."""
 
 from strandline import queries
-from strandline.operators import resolve, trace
-from strandline.schema import STAGED_RELATIONS, TABLES
+from strandline.operators import resolve, spans, trace
+from strandline.schema import FACTS, STAGED_RELATIONS, TABLES
 from strandline.sources import adapter
 
 
@@ -66,3 +66,21 @@ def test_endpoints_that_enter_alike_share_a_walk(spark):
     plan = optimized(trace.trace(e, d, r, s))
     assert "Aggregate [entry" in plan[plan.index("MapInPandas") :]
     assert "Union" not in optimized(trace.edges(r))  # relations are read once for both kinds of edges
+
+
+def test_a_long_document_is_not_one_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spans, "STRETCH", 200)
+    found = [("f", i, 6000 - i, i, f"D{i}" if i % 3 else None, None) for i in range(40)]  # nested, over all stretches
+    found += [("f", 100 + 10 * i, 106 + 10 * i, 100 + i, f"M{i}", None) for i in range(500)]
+    places = [(at, "f", at) for at in range(6100)] + [(10_000 + i, "f", 3001) for i in range(1000)]
+
+    def want(at):
+        i = (at - 100) // 10
+        if 0 <= i < 500 and (at - 100) % 10 < 6:
+            return f"M{i}"
+        return next((f"D{j}" for j in range(39, -1, -1) if j % 3 and j <= at < 6000 - j), None)
+
+    got = spans.enclosing_spans(spark.createDataFrame(found, FACTS["raw_declarations"]), spark.createDataFrame(places, "node_id long, document string, at long"))
+    assert {r["node_id"]: r["source_fqn"] for r in got.collect()} == {n: want(at) for n, _, at in places if want(at)}
+    plan = optimized(got)
+    assert "windowspecdefinition(document" not in plan and "windowspecdefinition(stretch" in plan
