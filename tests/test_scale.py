@@ -84,3 +84,22 @@ def test_a_long_document_is_not_one_tasks(spark, monkeypatch):
     assert {r["node_id"]: r["source_fqn"] for r in got.collect()} == {n: want(at) for n, _, at in places if want(at)}
     plan = optimized(got)
     assert "windowspecdefinition(document" not in plan and "windowspecdefinition(stretch" in plan
+
+
+def test_rounds_go_by_level_and_keep_no_unfinished_walk(spark, monkeypatch):
+    wide = 40
+    kids = {1: [2 + i for i in range(wide)]} | {2 + i: [100 + 3 * i, 101 + 3 * i] for i in range(wide)} | {100 + 3 * i: [102 + 3 * i, 1] for i in range(wide)} | {101 + 3 * i: [2 + (i + 1) % wide] for i in range(wide)}
+    ids = sorted({*kids, *(x for to in kids.values() for x in to)})
+    s = spark.createDataFrame([(i, "Method", f"n{i:04}", f"n{i:04}", f"n{i:04}", 1, None, None, None, None, None, None) for i in ids], TABLES["symbols"])
+    r = resolve.resolve_edges(spark.createDataFrame([(1, f"n{a:04}", "Calls", f"n{b:04}", "", "Exact") for a, to in kids.items() for b in to], STAGED_RELATIONS), s)
+    e = spark.createDataFrame([(i, f"n{i:04}") for i in ids[:45]], "id long, handler_fqn string")
+    d = spark.createDataFrame([], "endpoint_id long, pos long, symbol_id long")
+    tables = []
+    cut = resolve.cut
+    monkeypatch.setattr(resolve, "cut", lambda df: (tables.append(df.columns), cut(df))[1])
+    for depth, steps in ((8, 400), (2, 50)):
+        tables.clear()
+        rounds = trace.trace(e, d, r, s, depth, steps, broadcast_edges=-1)
+        assert len(tables) <= 6 + 2 * (depth + 4)  # a table of lists and one of walks a round
+        assert not any("walk" in c for c in tables)
+        assert sorted(map(tuple, rounds.collect())) == sorted(map(tuple, trace.trace(e, d, r, s, depth, steps).collect()))
