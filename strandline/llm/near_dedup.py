@@ -10,9 +10,10 @@ Equal texts are one node from the start. Nodes that share a key are a bucket; in
 above, and each node is linked to its nearest earlier node that passes the bound, never to all. Links are verified by banded alignment of
 the words (bit-parallel, in a band as wide as the threshold allows). Verified links are contracted to classes by alternating stars. Buckets
 that hold several classes go round again: now the nearest pair of each two classes is tested, then more of them, until no untested pair
-across classes passes: so no link inside a bucket is lost, and a group of n copies costs about n comparisons. A bucket beyond BLOCK nodes is first
-cut into blocks, in other ways for each key, so that one group of copies joins up; only if several classes are left in it does each
-node outside its largest class meet all blocks.
+across classes passes: so no link inside a bucket is lost, and a group of n copies costs about n comparisons. Only nodes with an untested pair go
+round again. A bucket beyond BLOCK nodes is first cut into blocks, in other ways for each key, so that one group of copies joins up; only if several
+classes are left in it does each node outside its largest class meet all blocks of its own and the neighbouring length bands, which no pair that
+passes the bound reaches beyond. A pair is compared by bits of its histograms first, so most are turned down at an eighth of the bound's cost or less.
 
 Defined cases: null is like the empty text, and texts without words form classes by equality only; texts of fewer than five words have one
 shingle, so these meet only if all words are equal; rows may repeat; a class whose ids are all null has a null class id; clashing columns
@@ -21,6 +22,7 @@ don't matter as only key and text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,14 @@ SHINGLE, SIMILARITY = 5, 0.8
 MINIMA = (2,) * 12 + (1,) * 10
 SKETCHES = len(MINIMA)
 BINS, BLOCK, GROWTH = 512, 2000, 32
+#: Counts whose reaching is held as a bit a bin: two histograms differ by as many words at least as bits.
+PLANES = (1, 2, 3, 4)
+#: Histograms compared at once, so that arrays stay near the cache.
+NEAR_CACHE = 128
+#: Nodes of a bucket up to which all its pairs are compared at once.
+SMALL = 24
+#: Wanted texts up to which their ids are sent to the scan.
+FEW = 50_000
 
 
 def shingled(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -120,47 +130,94 @@ def digest(text: str):
 
 
 def passing(n1: np.ndarray, n2, h1: np.ndarray, h2: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(whether enough words may align, words that can't) of one histogram h2 against rows h1."""
-    gap = np.abs(h1 - h2).sum(1, dtype=np.int64)
+    """(whether enough words may align, words that can't) of one histogram h2, or as many, against rows h1. Bytes are summed eight at once, in two halves."""
+    half, gap = np.uint64(0x00FF00FF00FF00FF), np.zeros(len(h1), np.int64)
+    for at in range(0, len(h1), NEAR_CACHE):
+        s = slice(at, at + NEAR_CACHE)
+        one, two = h1[s], h2 if h2.ndim == 1 else h2[s]
+        gaps = np.maximum(one, two)
+        gaps -= np.minimum(one, two)
+        eight = gaps.view(np.uint64)
+        sums = (eight & half).sum(1) + ((eight >> np.uint64(8)) & half).sum(1)  # four counts of 16 bits: at most 64 times 510
+        gap[s] = sums.view(np.uint16).reshape(-1, 4).sum(1, dtype=np.int64)
     return (n1 + n2 - gap) / 2 >= similarity * np.maximum(n1, n2) - 1e-9, gap
 
 
-def group_links(n, own, comp, hist, take: int, similarity: float, less: list[frozenset] | None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs (a, b) of one bucket or block that pass the bound, of different classes, and whether there were more. less None: each node is a class,
-    and up to `take` nearest earlier nodes of each are taken; else up to `take` nearest pairs of each two classes, without pairs that meet in a
+def bits(hist: np.ndarray, planes: tuple[int, ...]) -> np.ndarray:
+    """(words, rows): for each of planes a bit a bin."""
+    return np.ascontiguousarray(np.concatenate([np.packbits(hist >= k, axis=1) for k in planes], 1).view(np.uint64).T)
+
+
+def group_links(n, own, comp, hist, take: int, similarity: float, less: list[frozenset] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of one bucket or block that pass the bound, of different classes, and the rows that have more of them. less None: each node is a
+    class, and up to `take` nearest earlier nodes of each are taken; else up to `take` nearest pairs of each two classes, without pairs that meet in a
     bucket of lesser key: less has these keys of each node. One of a pair must be the block's own."""
     order = np.argsort(n, kind="stable")
     single = less is None
-    n, own, hist = n[order], own[order], hist[order].astype(np.int16)
-    _, kind = np.unique(comp[order], axis=0, return_inverse=True)
+    n, own, hist, comp = n[order], own[order], hist[order], comp[order]
+    if len(n) <= SMALL:
+        i, at = np.tril_indices(len(n), -1)
+        ok = (comp[at] != comp[i]).any(1) & (own[at] | own[i]) & (n[at] >= similarity * n[i] - 1e-9)
+        i, at = i[ok], at[ok]
+        ok, gap = passing(n[at], n[i], hist[at], hist[i], similarity)
+        i, at, gap = i[ok], at[ok], gap[ok]
+        if less and len(at):
+            alone = np.array([less[a].isdisjoint(less[b]) for a, b in zip(order[i].tolist(), order[at].tolist(), strict=True)], bool)
+            i, at, gap = i[alone], at[alone], gap[alone]
+        if len(at) <= 1:
+            return order[i], order[at], order[:0]
+        kind = None if single else np.unique(comp, axis=0, return_inverse=True)[1].ravel()
+        keep = _nearest(i if single else np.minimum(kind[at], kind[i]) * len(n) + np.maximum(kind[at], kind[i]), gap, take)
+        left = np.ones(len(at), bool)
+        left[keep] = False
+        return order[i[keep]], order[at[keep]], order[np.union1d(i[left], at[left])]
+    _, kind = np.unique(comp, axis=0, return_inverse=True)
     kind = kind.ravel()
+    first, rest = bits(hist, PLANES[:1]), bits(hist, PLANES[1:])
+    differing = lambda planes, j, i: np.bitwise_count(planes[:, j] ^ planes[:, i : i + 1]).sum(0, dtype=np.int64)
+    mine = None if own.all() else np.flatnonzero(own)
     found: list[np.ndarray] = []
-    more = False
+    more = np.zeros(len(n), bool)
+
+    def leave(i: np.ndarray, at: np.ndarray, keep: np.ndarray) -> None:
+        left = np.ones(len(at), bool)
+        left[keep] = False
+        more[at[left]] = more[i[left]] = True
+
     low = np.searchsorted(n, np.ceil(similarity * n - 1e-9).astype(np.int64))
     for i in range(1, len(n)):
-        j = slice(low[i], i)
-        ok = (kind[j] != kind[i]) & (own[j] | own[i])
-        at = np.flatnonzero(ok) + low[i]
+        if mine is None or own[i]:
+            j = slice(low[i], i)
+            at = np.arange(low[i], i)
+        else:
+            j = at = mine[np.searchsorted(mine, low[i]) : np.searchsorted(mine, i)]
+        if not len(at):
+            continue
+        room = n[j] + n[i] - 2 * similarity * n[i] + 2e-9  # words that may differ
+        ok = np.flatnonzero((kind[j] != kind[i]) & (differing(first, j, i) <= room))
+        at, room = at[ok], room[ok]
+        if not len(at):
+            continue
+        at = at[differing(first, at, i) + differing(rest, at, i) <= room]
         if not len(at):
             continue
         ok, gap = passing(n[at], n[i], hist[at], hist[i], similarity)
         at, gap = at[ok], gap[ok]
-        if less and len(at) and (mine := less[order[i]]):
-            first = np.array([mine.isdisjoint(less[j]) for j in order[at].tolist()], bool)
-            at, gap = at[first], gap[first]
-        of = np.zeros(len(at), np.int64) if single else kind[at]
-        keep = _nearest(of, gap, take)
-        more |= len(keep) < len(at)
+        if less and len(at) and (of := less[order[i]]):
+            alone = np.array([of.isdisjoint(less[j]) for j in order[at].tolist()], bool)
+            at, gap = at[alone], gap[alone]
+        keep = _nearest(np.zeros(len(at), np.int64) if single else kind[at], gap, take)
+        leave(np.full(len(at), i), at, keep)
         at, gap = at[keep], gap[keep]
         found.append(np.stack([np.full(len(at), i), at, gap, np.minimum(kind[at], kind[i]), np.maximum(kind[at], kind[i])]))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, at, gap, x, y = np.concatenate(found, 1)
     if not single:
         keep = _nearest(x * len(n) + y, gap, take)
-        more |= len(keep) < len(i)
+        leave(i, at, keep)
         i, at = i[keep], at[keep]
-    return order[i], order[at], more
+    return order[i], order[at], order[np.flatnonzero(more)]
 
 
 def _nearest(group: np.ndarray, gap: np.ndarray, take: int) -> np.ndarray:
@@ -174,7 +231,7 @@ def _nearest(group: np.ndarray, gap: np.ndarray, take: int) -> np.ndarray:
 
 
 def stream_links(batches: Iterator[pa.RecordBatch], take: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of a partition whose rows are sorted by (key, block); more: the bucket has pairs left. A bucket may straddle batches; pairs are done as arrays, larger buckets one by one."""
+    """Links of a partition whose rows are sorted by (key, block), and after them the nodes with pairs left, as a, without b. A bucket may straddle batches; pairs are done as arrays, larger buckets one by one."""
     rest: list[pa.RecordBatch] = []
 
     def flush(table: pa.Table) -> pa.RecordBatch:
@@ -187,22 +244,24 @@ def stream_links(batches: Iterator[pa.RecordBatch], take: int, similarity: float
         keys = table["keys"].to_pylist() if "keys" in table.column_names else None
         key_of = ids[0]
         two = cut[size == 2]
-        ok, _ = passing(n[two], n[two + 1], hist[two].astype(np.int16), hist[two + 1].astype(np.int16), similarity)
+        ok, _ = passing(n[two], n[two + 1], hist[two], hist[two + 1], similarity)
         two = two[ok & (comp[two] != comp[two + 1]).any(1) & (own[two] | own[two + 1])]
         if keys is not None:
             two = np.array([i for i in two.tolist() if not any(x < key_of[i] and x in keys[i + 1] for x in keys[i])], np.int64)
-        a, b, m = [two], [two + 1], [np.zeros(len(two), bool)]
+        a, b, more = [two], [two + 1], []
         for at, g in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             s = slice(at, at + g)
             less = None if keys is None else [frozenset(x for x in of if x < key_of[at]) for of in keys[s]]
-            x, y, more = group_links(n[s], own[s], comp[s], hist[s], take, similarity, less)
+            x, y, left = group_links(n[s], own[s], comp[s], hist[s], take, similarity, less)
             a.append(x + at)
             b.append(y + at)
-            m.append(np.full(len(x), more))
+            more.append(left + at)
         node = table["node"].combine_chunks()
         key = table["key"].combine_chunks()
-        pick = lambda of, x: of.take(pa.array(np.concatenate(x)))
-        return pa.RecordBatch.from_arrays([pick(node, a), pick(node, b), pick(key, a), pa.array(np.concatenate(m))], ["a", "b", "key", "more"])
+        none = np.zeros(sum(map(len, more)), np.int64)
+        pick = lambda of, *x: of.take(pa.array(np.concatenate([*x, none[:0]])))
+        ends = pa.array(np.concatenate([*b, none]), mask=np.repeat([False, True], [sum(map(len, b)), len(none)]))
+        return pa.RecordBatch.from_arrays([pick(node, *a, *more), node.take(ends), pick(key, *a, *more)], ["a", "b", "key"])
 
     for batch in batches:
         if not len(batch):
@@ -337,29 +396,41 @@ def merged(comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return out
 
 
-def dealt(state: DataFrame) -> DataFrame:
+def _band(n: str, similarity: float):
+    """A number of n's length band: nodes that pass the bound are of one band or of two next to each other. A band is a little wider than the bound allows."""
+    return F.floor(F.ln(F.col(n)) / (-1.001 * math.log(similarity))).cast("int") if similarity < 1 else F.col(n).cast("int")
+
+
+def dealt(state: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows of buckets by block: key, block, own, node, n, hist, comp, and with classes the keys that the node still has. Before there are classes a node is in one block. After that
-    nodes outside the largest class meet all blocks of a bucket of several, so that each pair across classes meets."""
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    side = F.pmod(F.xxhash64("key", "node"), blocks).cast("int")
+    nodes outside the largest class meet all blocks of their band and of those beside it, so that each pair across classes that may pass meets."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("long")
+    side = lambda of: F.pmod(F.xxhash64("key", "node"), of)
     if "comp" not in state.columns:
         m = state.select("node", "n", "hist", F.inline("buckets"))
-        return m.select("key", side.alias("block"), F.lit(True).alias("own"), "node", "n", "hist", F.col("node").alias("comp"))
-    m = state.select("node", "n", "hist", "comp", F.col("buckets.key").alias("keys"), F.inline("buckets")).withColumn("side", side)
-    to = F.when((F.col("comp") == F.col("top")) | (blocks == 1), F.array("side")).otherwise(F.sequence(F.lit(0), blocks - 1))
-    return m.withColumn("block", F.explode(to)).select("key", "block", (F.col("block") == F.col("side")).alias("own"), "node", "n", "hist", "comp", "keys")
-
-
-def narrowed(state: DataFrame, comps: DataFrame | None, still: DataFrame) -> DataFrame:
-    """The next round's nodes: (node, n, hist, comp, buckets), where buckets are those of open keys that hold several classes, each with its size and its largest class.
-    Keys are looked at without what is wide; a histogram moves once a node, not once a key."""
-    classed = state.select("node", F.col("node").alias("comp"), "buckets")
+        return m.select("key", side(blocks).alias("block"), F.lit(True).alias("own"), "node", "n", "hist", F.col("node").alias("comp"))
+    m = state.select("node", "n", "hist", "comp", F.col("buckets.key").alias("keys"), F.inline("buckets")).withColumn("band", _band("n", similarity))
+    number = lambda band, i: F.shiftleft(band.cast("long"), 32) + i
+    home = number(F.col("band"), side(F.greatest(F.lit(1), F.ceil(F.col("here") / BLOCK))))
+    of = lambda count, band: F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(count) / BLOCK) - 1), lambda i: number(band, i))).otherwise(F.array().cast("array<long>"))
+    near = F.concat(of("under", F.col("band") - 1), of("here", F.col("band")), of("over", F.col("band") + 1))
+    to = F.when(blocks == 1, F.array(F.lit(-1).cast("long"))).when(F.col("comp") == F.col("top"), F.array("home")).otherwise(near)
+    return m.withColumn("home", F.when(blocks == 1, F.lit(-1).cast("long")).otherwise(home)).withColumn("block", F.explode(to)).select("key", "block", (F.col("block") == F.col("home")).alias("own"), "node", "n", "hist", "comp", "keys")
+
+
+def narrowed(state: DataFrame, comps: DataFrame | None, still: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The next round's nodes: (node, n, hist, comp, buckets), where buckets are those of open (key, node) that hold several classes, each with its size, its largest class
+    and the sizes of the node's length band and those beside it. Keys are looked at without what is wide; a histogram moves once a node, not once a key."""
+    classed = state.select("node", "n", F.col("node").alias("comp"), "buckets")
     if comps is not None:
-        classed = state.select("node", "buckets").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "buckets")
-    each = saved(classed.select("node", "comp", F.inline("buckets")).select("node", "comp", "key", "c").join(still, "key", "left_semi"), "near-keys")
+        classed = state.select("node", "n", "buckets").join(comps, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "buckets")
+    each = saved(classed.select("node", "comp", _band("n", similarity).alias("band"), F.inline("buckets")).select("node", "comp", "band", "key").join(still, ["key", "node"], "left_semi"), "near-keys")
     sizes = each.groupBy("key", "comp").agg(F.count("*").alias("s"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("s", "comp")).alias("top")).filter("classes > 1").select("key", F.col("top.comp").alias("top"))
-    buckets = each.join(largest, "key").groupBy("node").agg(F.first("comp").alias("comp"), F.sort_array(F.collect_list(F.struct("key", "c", "top"))).alias("buckets"))
+    largest = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("s").alias("c"), F.max(F.struct("s", "comp")).alias("top")).filter("classes > 1").select("key", "c", F.col("top.comp").alias("top"))
+    bands = each.groupBy("key", "band").agg(F.count("*").alias("s")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "s"))).alias("bands"))
+    size = lambda by: F.coalesce(F.try_element_at("bands", F.col("band") + by), F.lit(0))
+    sized = each.join(largest.join(bands, "key"), "key").select("node", "comp", F.struct("key", "c", "top", size(-1).alias("under"), size(0).alias("here"), size(1).alias("over")).alias("bucket"))
+    buckets = sized.groupBy("node").agg(F.first("comp").alias("comp"), F.sort_array(F.collect_list("bucket")).alias("buckets"))
     out = saved(state.select("node", "n", "hist").join(buckets, "node"), "near-state")
     drop_saved(out.sparkSession, each)
     return out
@@ -381,27 +452,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     id_text = docs.select(digest(text).alias("node"), F.col(text).alias("text"))
     comps, tested, take = None, None, 1
     while True:
-        rows = dealt(state).repartition("key", "block").sortWithinPartitions("key", "block")
-        found = rows.mapInArrow(_linker(take, similarity), "a binary, b binary, key long, more boolean")
-        # a pair has SKETCHES keys at most, so the list is short
-        pairs = saved(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.collect_set(F.when(F.col("more"), F.col("key"))).alias("open")), "near-pairs")
-        new = pairs.select("a", "b") if tested is None else saved(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "near-new")
+        rows = dealt(state, similarity).repartition("key", "block").sortWithinPartitions("key", "block")
+        found = rows.mapInArrow(_linker(take, similarity), "a binary, b binary, key long")
+        # a pair without b is a node with pairs left; a node has SKETCHES keys at most, so the list is short
+        whole = found.groupBy(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b"))
+        pairs = saved(whole.agg(F.collect_set(F.when(F.col("b").isNull(), F.col("key"))).alias("open")), "near-pairs")
+        linked = pairs.filter("b is not null").select("a", "b")
+        new = linked if tested is None else saved(linked.join(tested, ["a", "b"], "left_anti"), "near-new")
         links = None
         if not new.isEmpty():
             wanted = new.select(F.col("a").alias("node")).unionByName(new.select(F.col("b").alias("node"))).distinct()
-            # wanted ids grow with the corpus: merged at every size, never broadcast
-            texts = id_text.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+            # wanted ids grow with the corpus: only while they are few do they go to the texts, else both are merged
+            few = wanted.limit(FEW + 1).count() <= FEW
+            texts = id_text.join(wanted.hint("broadcast" if few else "merge"), "node", "left_semi").dropDuplicates(["node"])
             links = saved(verified(new, texts, similarity), "near-links")
             comps = merged(comps, links)
-        # in a bucket without more, all pairs across classes that pass the bound are tested, and merging only takes pairs away
-        still = pairs.select(F.explode("open").alias("key"))
+        # of a node without more, all pairs across classes that pass the bound are tested, and merging only takes pairs away
+        still = pairs.filter("b is null").select(F.explode("open").alias("key"), F.col("a").alias("node"))
         if tested is None:  # blocks haven't met yet
-            still = still.unionByName(state.select(F.inline("buckets")).filter(F.col("c") > BLOCK).select("key"))
+            still = still.unionByName(state.select("node", F.inline("buckets")).filter(F.col("c") > BLOCK).select("key", "node"))
         still = saved(still.distinct(), "near-open")
         done = still.isEmpty()
         if not done:
             tested = new if tested is None else tested.unionByName(new)
-            left = narrowed(state, comps, still)
+            left = narrowed(state, comps, still, similarity)
             drop_saved(spark, state, still, links)
             state = left
             take *= GROWTH if tested is not new else 1  # the first round tests neighbours, the second pairs of classes

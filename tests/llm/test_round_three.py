@@ -163,3 +163,33 @@ def test_revisits_of_all_pages_equal_sql(spark):
     assert len(got) == con.execute("select count(page_id) from pages").fetchone()[0] and {r[names.index("outcome")] for r in got} == {"resolved", "mismatch", "orphan"}
     third = queries.QUERIES["op9_warc_revisits"](spark, folder).select("record_id").collect()
     assert {r["record_id"] for r in third} < {r[names.index("record_id")] for r in got}
+
+
+def test_hot_buckets_meet_by_length_and_only_with_pairs_left(spark):
+    r = np.random.default_rng(5)
+    size, longest = 6 * near_dedup.BLOCK, 3000
+    n = np.exp(r.uniform(np.log(20), np.log(longest), size)).astype(int)
+    nodes = spark.createDataFrame([(bytes([i % 256, i // 256]), int(x), bytes(2), [(7, size)]) for i, x in enumerate(n)], "node binary, n long, hist binary, buckets array<struct<key:long,c:long>>")
+    still = nodes.select("node", F.inline("buckets")).select("key", "node")
+    rows = near_dedup.dealt(near_dedup.narrowed(nodes, None, still))
+    met = rows.groupBy("block").agg(F.sum(F.col("own").cast("int")).alias("own"), F.collect_list("n").alias("all")).collect()
+    assert sum(x["own"] for x in met) == size  # each node is at home once
+    assert sum(len(x["all"]) for x in met) < 4 * size  # before: each of the bucket's blocks, so 6 times
+    at = {(x["node"], x["block"]): x for x in rows.select("node", "block", "own", "n").collect()}
+    home = {node: (block, x["n"]) for (node, block), x in at.items() if x["own"]}
+    some = list(home.items())[::97]
+    pairs = [(a, b) for a, (_, x) in some for b, (_, y) in some if 0.8 * max(x, y) <= min(x, y)]
+    assert pairs and all((a, home[b][0]) in at or (b, home[a][0]) in at for a, b in pairs)
+
+
+def test_nodes_without_pairs_left_leave_the_bucket():
+    hist = np.zeros((40, near_dedup.BINS), np.uint8)
+    for i in range(40):
+        hist[i, (i * 12) : (i * 12) + 12] = 1
+    hist[1:4] = hist[0]  # four that pass, all others far apart
+    n = np.full(40, 12)
+    comp = np.stack([np.arange(40)] * 2, 1).astype(np.uint64)
+    a, b, left = near_dedup.group_links(n, np.ones(40, bool), comp, hist, 1, 0.8, None)
+    assert len(a) == len(b) == 3 and set(left.tolist()) == {1, 2, 3}  # the pairs left are among these
+    a, b, left = near_dedup.group_links(n, np.ones(40, bool), comp, hist, 32, 0.8, [frozenset()] * 40)
+    assert len(a) == 6 and not len(left)
